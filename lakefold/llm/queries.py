@@ -9,7 +9,9 @@ from pyspark.sql import functions as F
 
 from lakefold.llm.encoding import repair_encoding
 from lakefold.llm.leakage import leaked_passages
+from lakefold.llm.mixing import mix_to_targets, mixture_shares
 from lakefold.llm.nearest_time import nearest_by_time
+from lakefold.llm.personal import find_personal, mask_personal, name_lexicon
 from lakefold.llm.splitting import split_oversized
 from lakefold.llm.transcripts import speaker_turns
 from lakefold.sources import table
@@ -72,6 +74,35 @@ def p8_found(spark: SparkSession, root: str) -> DataFrame:
     return p8_leaks(spark, root).select("item_id", "doc_id")
 
 
+def p9_mix(spark: SparkSession, root: str) -> DataFrame:
+    """The mixture at the largest size at which every source with text holds its target share."""
+    docs = table(spark, root, "documents", "doc_id", "source", "text")
+    return mix_to_targets(docs, table(spark, root, "mix_targets"), "doc_id", "source", "text")
+
+
+def p9_shares(spark: SparkSession, root: str) -> DataFrame:
+    return mixture_shares(p9_mix(spark, root), table(spark, root, "mix_targets"))
+
+
+def _lexicon(spark: SparkSession, root: str) -> tuple[frozenset[str], frozenset[str]]:
+    return name_lexicon(table(spark, root, "call_roster", "speaker", "job").filter("job is null or job <> 'Operator'"), "speaker")
+
+
+def p10_mentions(spark: SparkSession, root: str) -> DataFrame:
+    """Every mention of personal information in every document."""
+    return find_personal(table(spark, root, "documents", "doc_id", "text"), "doc_id", "text", *_lexicon(spark, root))
+
+
+def p10_found(spark: SparkSession, root: str) -> DataFrame:
+    return p10_mentions(spark, root).select("doc_id", "kind", "start_pos").distinct()
+
+
+def p10_masked(spark: SparkSession, root: str) -> DataFrame:
+    """The documents concerned with typed placeholders, and with surrogates."""
+    docs = table(spark, root, "documents", "doc_id", "text")
+    return mask_personal(docs, "doc_id", "text", *_lexicon(spark, root), key="lakefold")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "p2_found": p2_found, "p2_pieces": p2_pieces,
@@ -79,6 +110,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "p5_found": p5_found,
         "p6_found": p6_found, "p6_repaired": p6_repaired,
         "p8_found": p8_found, "p8_leaks": p8_leaks,
+        "p9_mix": p9_mix, "p9_shares": p9_shares,
+        "p10_found": p10_found, "p10_mentions": p10_mentions, "p10_masked": p10_masked,
     }
 
 
