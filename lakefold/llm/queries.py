@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from lakefold.llm.encoding import repair_encoding
 from lakefold.llm.leakage import leaked_passages
+from lakefold.llm.matching import match_companies
 from lakefold.llm.mixing import mix_to_targets, mixture_shares
 from lakefold.llm.nearest_time import nearest_by_time
 from lakefold.llm.personal import find_personal, mask_personal, name_lexicon
@@ -19,6 +20,18 @@ from lakefold.sources import table
 FIVE_DAYS_US = 5 * 86_400 * 1_000_000
 
 
+def p1_matches(spark: SparkSession, root: str) -> DataFrame:
+    """Companies of the second list found in the first, with a confidence each."""
+    columns = ("company_name", "industry", "face_value", "listed_on")
+    second = table(spark, root, "list_b", "bse_code", "scrip_name", *columns)
+    master = table(spark, root, "company_master", "nse_symbol", *columns).withColumn("_code", F.col("nse_symbol"))
+    return match_companies(second, master, "bse_code", "nse_symbol", "scrip_name", "_code")
+
+
+def p1_found(spark: SparkSession, root: str) -> DataFrame:
+    return p1_matches(spark, root).select("bse_code", "nse_symbol")
+
+
 def p2_pieces(spark: SparkSession, root: str) -> DataFrame:
     """Pieces of every section and deck: at most 3,200 characters, up to 280 repeated."""
     parts = [
@@ -105,6 +118,7 @@ def p10_masked(spark: SparkSession, root: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "p1_found": p1_found, "p1_matches": p1_matches,
         "p2_found": p2_found, "p2_pieces": p2_pieces,
         "p3_found": p3_found, "p3_turns": p3_turns,
         "p5_found": p5_found,
