@@ -13,6 +13,7 @@ from lakefold.llm.matching import match_companies
 from lakefold.llm.mixing import mix_to_targets, mixture_shares
 from lakefold.llm.nearest_time import nearest_by_time
 from lakefold.llm.personal import find_personal, mask_personal, name_lexicon
+from lakefold.llm.scanned import repair_scanned
 from lakefold.llm.splitting import split_oversized
 from lakefold.llm.transcripts import speaker_turns
 from lakefold.sources import table
@@ -55,6 +56,17 @@ def p3_found(spark: SparkSession, root: str) -> DataFrame:
     return p3_turns(spark, root).select("call_id", "turn", "speaker")
 
 
+def p4_repaired(spark: SparkSession, root: str) -> DataFrame:
+    """Noise and repaired text of every report section and rating note."""
+    both = table(spark, root, "annual_report", "rec_id", "text").withColumn("src", F.lit("annual_report"))
+    both = both.unionByName(table(spark, root, "credit_rating", "rec_id", "text").withColumn("src", F.lit("credit_rating")))
+    return repair_scanned(both, ["src", "rec_id"], "text")
+
+
+def p4_found(spark: SparkSession, root: str) -> DataFrame:
+    return p4_repaired(spark, root).select("src", "rec_id", F.explode("noise").alias("noise")).distinct()
+
+
 def p5_found(spark: SparkSession, root: str) -> DataFrame:
     """The bar nearest to the end of each filing's period."""
     bars = table(spark, root, "prices", "symbol", "date", "close", "px_id").filter("close is not null and not isnan(close)")
@@ -121,6 +133,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "p1_found": p1_found, "p1_matches": p1_matches,
         "p2_found": p2_found, "p2_pieces": p2_pieces,
         "p3_found": p3_found, "p3_turns": p3_turns,
+        "p4_found": p4_found, "p4_repaired": p4_repaired,
         "p5_found": p5_found,
         "p6_found": p6_found, "p6_repaired": p6_repaired,
         "p8_found": p8_found, "p8_leaks": p8_leaks,
