@@ -6,17 +6,18 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-_SQL: dict[str, str] = {}
+from lakefold.plans import prices, wide
+
+_MODULES = [wide, prices]
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return dict(_QUERIES)
+    return {name: query for module in _MODULES for name, query in module.QUERIES.items()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return dict(_SQL)
+    return {name: sql for module in _MODULES for name, sql in getattr(module, "SQL", {}).items()}
 
 
 def flagship(spark: SparkSession, root: str) -> DataFrame:
-    return _QUERIES["screen_funnel"](spark, root)
+    return wide.p7_companies(spark, root)
