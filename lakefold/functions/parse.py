@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -12,6 +14,18 @@ _MONTHS = "janfebmaraprmayjunjulaugsepoctnovdec"
 #: The rupee sign, also as it looks when read with a wrong encoding.
 _CURRENCY = r"(?:₹|rs\.?|inr|\$|â‚¹|â\x{82}¹|‚çπ|‚Çπ|γé╣|Γé╣|ã¢â€šâ¹|Ã¢â€šÂ¹)"
 
+_NUMBER = r"^[-+]?\s?(?:\d[\d,]*(?:\.\d*)?|\.\d+)(?:e[-+]?\d{1,3})?$"
+_DATES = (
+    (r"^\d{4}-\d{1,2}-\d{1,2}$", "yyyy-M-d"),
+    (r"^\d{1,2}/\d{1,2}/\d{4}$", "d/M/yyyy"),
+    (r"^\d{1,2}\.\d{1,2}\.\d{4}$", "d.M.yyyy"),
+    (r"^\d{1,2} [A-Za-z]{3} \d{4}$", "d MMM yyyy"),
+    (r"^\d{1,2}-[A-Za-z]{3}-\d{4}$", "d-MMM-yyyy"),
+    (r"^\d{1,2} [A-Za-z]{4,9} \d{4}$", "d MMMM yyyy"),
+    (r"^[A-Za-z]{4,9} \d{1,2}, \d{4}$", "MMMM d, yyyy"),
+    (r"^[A-Za-z]{3} \d{1,2}, \d{4}$", "MMM d, yyyy"),
+)
+
 
 def tidy(value: Column) -> Column:
     """Trimmed, with every kind of space as one blank and ASCII digits and minus."""
@@ -22,8 +36,12 @@ def tidy(value: Column) -> Column:
 
 def present(value: Column) -> Column:
     """The tidy value, null if it is only an empty mark."""
-    x = tidy(value)
-    return F.when(~F.lower(x).isin(*EMPTY_MARKS), x)
+    return let(tidy(value), lambda x: F.when(~F.lower(x).isin(*EMPTY_MARKS), x))
+
+
+def let(x: Column, f: Callable[[Column], Column]) -> Column:
+    """``f(x)`` with ``x`` evaluated once, however often ``f`` uses it."""
+    return F.transform(F.array(x), f)[0]
 
 
 def _plain_number(x: Column) -> Column:
@@ -31,47 +49,63 @@ def _plain_number(x: Column) -> Column:
     y = F.regexp_replace(F.lower(x), rf"^([(\-+ ]*){_CURRENCY}\s*", "$1")
     y = F.trim(F.regexp_replace(y, r"\s*[*†‡#^]+$", ""))
     y = F.regexp_replace(y, r"\s*(?:cr\.?|crores?|nos\.?|units?|days?)$", "")
-    negative = y.rlike(r"^\(.*\)$")
-    y = F.regexp_replace(y, r"^\(\s*(.*?)\s*\)$", "$1")
-    ok = y.rlike(r"^[-+]?\s?(?:\d[\d,]*(?:\.\d*)?|\.\d+)(?:e[-+]?\d{1,3})?$")
-    number = F.regexp_replace(y, r"[,\s]", "").try_cast("double")
-    return F.when(ok & negative, -number).when(ok, number)
+
+    def signed(y: Column) -> Column:
+        inner = F.regexp_replace(y, r"^\(\s*(.*?)\s*\)$", "$1")
+        sign = F.when(y.startswith("("), -1.0).otherwise(1.0)
+        return let(inner, lambda z: F.when(z.rlike(_NUMBER), F.regexp_replace(z, r"[,\s]", "").try_cast("double") * sign))
+
+    return let(y, signed)
+
+
+def _percent(x: Column) -> Column:
+    return _plain_number(F.regexp_replace(F.lower(x), r"\s*(?:%|pct\.?|per\s?cent)\s*(\)?)\s*$", "$1"))
+
+
+def _date(x: Column) -> Column:
+    parsed = [F.when(x.rlike(pattern), F.try_to_timestamp(x, F.lit(form)).cast("date")) for pattern, form in _DATES]
+    millis = F.date_from_unix_date(F.floor(x.try_cast("bigint") / 86_400_000).cast("int"))
+    return F.coalesce(*parsed, F.when(x.rlike(r"^-?\d{1,15}$"), millis))
+
+
+def _flag(x: Column) -> Column:
+    y = F.lower(F.regexp_replace(x, r"[.\s]+$", ""))
+    return let(y, lambda z: F.when(z.isin("yes", "y", "true", "t", "1"), True).when(z.isin("no", "n", "false", "f", "0"), False))
 
 
 def read_number(value: Column) -> Column:
-    return _plain_number(present(value))
+    return let(present(value), _plain_number)
 
 
 def read_percent(value: Column) -> Column:
     """One percentage, with or without its sign or word."""
-    x = present(value)
-    y = F.regexp_replace(F.lower(x), r"\s*(?:%|pct\.?|per\s?cent)\s*(\)?)\s*$", "$1")
-    return _plain_number(y)
+    return let(present(value), _percent)
 
 
 def read_date(value: Column) -> Column:
     """One valid calendar date; with slashes the day stands first, a bare integer counts milliseconds."""
-    x = present(value)
-    parsed = [
-        F.when(x.rlike(pattern), F.try_to_timestamp(x, F.lit(form)).cast("date"))
-        for pattern, form in (
-            (r"^\d{4}-\d{1,2}-\d{1,2}$", "yyyy-M-d"),
-            (r"^\d{1,2}/\d{1,2}/\d{4}$", "d/M/yyyy"),
-            (r"^\d{1,2}\.\d{1,2}\.\d{4}$", "d.M.yyyy"),
-            (r"^\d{1,2} [A-Za-z]{3} \d{4}$", "d MMM yyyy"),
-            (r"^\d{1,2}-[A-Za-z]{3}-\d{4}$", "d-MMM-yyyy"),
-            (r"^\d{1,2} [A-Za-z]{4,9} \d{4}$", "d MMMM yyyy"),
-            (r"^[A-Za-z]{4,9} \d{1,2}, \d{4}$", "MMMM d, yyyy"),
-            (r"^[A-Za-z]{3} \d{1,2}, \d{4}$", "MMM d, yyyy"),
-        )
-    ]
-    millis = F.date_from_unix_date(F.floor(x.try_cast("bigint") / 86_400_000).cast("int"))
-    return F.coalesce(*parsed, F.when(x.rlike(r"^-?\d{1,15}$"), millis))
+    return let(present(value), _date)
 
 
 def read_flag(value: Column) -> Column:
-    x = F.lower(F.regexp_replace(present(value), r"[.\s]+$", ""))
-    return F.when(x.isin("yes", "y", "true", "t", "1"), True).when(x.isin("no", "n", "false", "f", "0"), False)
+    return let(present(value), _flag)
+
+
+def read_typed(value: Column, value_type: Column) -> Column:
+    """The value read in its type as a struct (number, day, flag, text); null if it can't be read. Only
+    the reader of the type runs."""
+
+    def read(v: Column) -> Column:
+        number = F.when(value_type == "number", _plain_number(v)).when(value_type == "percent", _percent(v))
+        return F.struct(
+            number.alias("number"), F.when(value_type == "date", _date(v)).alias("day"),
+            F.when(value_type == "flag", _flag(v)).alias("flag"), F.when(value_type == "text", v).alias("text"),
+        )
+
+    def filled(s: Column) -> Column:
+        return F.when(s["number"].isNotNull() | s["day"].isNotNull() | s["flag"].isNotNull() | s["text"].isNotNull(), s)
+
+    return let(let(present(value), read), filled)
 
 
 def label_key(label: Column) -> Column:
@@ -82,12 +116,13 @@ def label_key(label: Column) -> Column:
 
 def period_month(label: Column) -> Column:
     """``yyyy-MM`` of a period label such as ``Mar 2024``, ``Mar-24``, ``31 Mar 2024``, ``2024-03``."""
-    x = F.lower(tidy(label))
-    iso = F.regexp_extract(x, r"^(\d{4})-(0[1-9]|1[0-2])(?:-\d{2})?$", 1)
-    iso_month = F.regexp_extract(x, r"^(\d{4})-(0[1-9]|1[0-2])(?:-\d{2})?$", 2)
     named = r"^(?:\d{1,2}[ -])?([a-z]{3})[a-z]*[ ,'-]+(\d{4}|\d{2})$"
-    mon, year = F.regexp_extract(x, named, 1), F.regexp_extract(x, named, 2)
-    at = F.instr(F.lit(_MONTHS), mon)
-    full = F.when(F.length(year) == 2, F.concat(F.lit("20"), year)).otherwise(year)
-    by_name = F.when((mon != "") & (at > 0) & ((at - 1) % 3 == 0), F.concat(full, F.lit("-"), F.lpad(((at - 1) / 3 + 1).cast("int").cast("string"), 2, "0")))
-    return F.when(iso != "", F.concat(iso, F.lit("-"), iso_month)).otherwise(by_name)
+
+    def by_name(x: Column) -> Column:
+        at = F.instr(F.lit(_MONTHS), F.regexp_extract(x, named, 1))
+        year = F.lpad(F.regexp_extract(x, named, 2), 4, "20")
+        month = F.lpad(((at - 1) / 3 + 1).cast("int").cast("string"), 2, "0")
+        return F.when(x.rlike(named) & (at > 0) & ((at - 1) % 3 == 0), F.concat(year, F.lit("-"), month))
+
+    iso = r"^\d{4}-(?:0[1-9]|1[0-2])(?:-\d{2})?$"
+    return let(F.lower(tidy(label)), lambda x: F.when(x.rlike(iso), F.substring(x, 1, 7)).otherwise(by_name(x)))

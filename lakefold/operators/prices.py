@@ -7,10 +7,13 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-SERIES = Window.partitionBy("symbol").orderBy("d")
 TRADING_DAYS = 252
 
 
+def _series():
+    return Window.partitionBy("symbol").orderBy("d")
+
+
 def daily_bars(bars: DataFrame) -> DataFrame:
     """One row per symbol and day (symbol, d, open, high, low, close, volume) from bars that may be
     intraday, redelivered (same px_id) or halted (null close). Aggregates before anything is ordered, so
@@ -26,12 +29,12 @@ def daily_bars(bars: DataFrame) -> DataFrame:
 
 def sma(column: str, n: int) -> Column:
     """Simple moving average, null until the window is full."""
-    w = SERIES.rowsBetween(-n + 1, 0)
+    w = _series().rowsBetween(-n + 1, 0)
     return F.when(F.count(column).over(w) == n, F.avg(column).over(w))
 
 
 def pct_change(column: str, n: int = 1) -> Column:
-    return F.col(column) / F.lag(column, n).over(SERIES) - 1
+    return F.col(column) / F.lag(column, n).over(_series()) - 1
 
 
 def last_rows(df: DataFrame, n: int = 1, out: str = "back") -> DataFrame:
@@ -69,7 +72,7 @@ def macd_last(daily: DataFrame, fast: int = 12, slow: int = 26, signal: int = 9)
 
 
 def _moves(daily: DataFrame) -> DataFrame:
-    change = F.col("close") - F.lag("close").over(SERIES)
+    change = F.col("close") - F.lag("close").over(_series())
     moved = daily.withColumn("_x", change).filter("_x is not null")
     return moved.groupBy("symbol").agg(F.array_sort(F.collect_list(F.struct("d", "_x"))).alias("s"))
 
@@ -125,7 +128,7 @@ def range_stats(daily: DataFrame, n: int = TRADING_DAYS) -> DataFrame:
 
 def drawdowns(daily: DataFrame) -> DataFrame:
     """symbol, max_drawdown_pct, drawdown_pct (at the last row)."""
-    peak = F.max("close").over(SERIES.rowsBetween(Window.unboundedPreceding, 0))
+    peak = F.max("close").over(_series().rowsBetween(Window.unboundedPreceding, 0))
     dd = daily.withColumn("dd", (F.col("close") / peak - 1) * 100)
     return dd.groupBy("symbol").agg(F.min("dd").alias("max_drawdown_pct"), F.max_by("dd", "d").alias("drawdown_pct"))
 

@@ -2,27 +2,15 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from lakefold.functions.parse import (
-    label_key, period_month, present, read_date, read_flag, read_number, read_percent,
-)
+from lakefold.functions.parse import label_key, period_month, read_typed
 
 #: Value type of a catalogue -> field of a cell, type of the column.
 TYPES = {"number": ("number", "double"), "percent": ("number", "double"), "date": ("day", "date"), "flag": ("flag", "boolean"), "text": ("text", "string")}
 
 
-def typed_cell(value: Column, value_type: Column) -> Column:
-    """The value read in its type, as one struct with a field per type; null if it can't be read."""
-    number = F.when(value_type == "number", read_number(value)).when(value_type == "percent", read_percent(value))
-    day = F.when(value_type == "date", read_date(value))
-    flag = F.when(value_type == "flag", read_flag(value))
-    text = F.when(value_type == "text", present(value))
-    cell = F.struct(number.alias("number"), day.alias("day"), flag.alias("flag"), text.alias("text"))
-    return F.when(F.coalesce(number.isNotNull(), F.lit(False)) | day.isNotNull() | flag.isNotNull() | text.isNotNull(), cell)
-
-
 def global_ordinals(entities: DataFrame, key: str, buckets: int = 256) -> DataFrame:
     """``key`` and ``ordinal``: distinct keys numbered 0..n-1 without gaps, without a global sort. Hash
     buckets are numbered on their own and begin where the buckets before them end; only the bucket
@@ -36,7 +24,7 @@ def global_ordinals(entities: DataFrame, key: str, buckets: int = 256) -> DataFr
 def stitch_wide(cells: DataFrame, entities: DataFrame, key: str, columns: dict[str, str], block: int = 64) -> DataFrame:
     """One row per entity, one typed column per attribute of ``columns`` (attribute -> value type).
 
-    ``cells`` has ``key``, ``attribute``, ``cell`` (as of ``typed_cell``), at most one per key and
+    ``cells`` has ``key``, ``attribute``, ``cell`` (as of ``read_typed``), at most one per key and
     attribute. Positional stitching: every entity gets a global ordinal; each attribute is written as a
     typed column segment over a range of ``block`` ordinals, addressed by position in the range; then
     the segments of a range are laid side by side and read out position by position. Groups are bounded
@@ -81,7 +69,7 @@ def wide_companies(rows: DataFrame, catalog: DataFrame) -> DataFrame:
     labels = catalog.filter("src = 'tijori'").select(label_key(F.col("label")).alias("_k"), "attribute", "value_type").dropDuplicates(["_k"])
     known = rows.filter("slug is not null").select("slug", label_key(F.col("metrics")).alias("_k"), "val", "scraped_at", "rec_id").join(labels, "_k")
     newest = known.groupBy("slug", "attribute", "value_type").agg(F.max(F.struct("scraped_at", "rec_id", "val")).alias("m"))
-    cells = newest.select("slug", "attribute", typed_cell(F.col("m.val"), F.col("value_type")).alias("cell"))
+    cells = newest.select("slug", "attribute", read_typed(F.col("m.val"), F.col("value_type")).alias("cell"))
     return stitch_wide(cells, rows.select("slug"), "slug", columns)
 
 
@@ -107,7 +95,7 @@ def wide_statements(records: DataFrame, catalog: DataFrame) -> DataFrame:
     values = values.filter("_label <> 'metric'").withColumn("_month", month).filter("_month is not null")
     values = values.select(
         F.concat_ws("|", "symbol", "basis", "statement", "_month").alias("entity"), "attribute", "_pos",
-        typed_cell(F.col("_value"), F.col("value_type")).alias("cell"),
+        read_typed(F.col("_value"), F.col("value_type")).alias("cell"),
     )
     cells = values.groupBy("entity", "attribute").agg(F.min_by("cell", F.when(F.col("cell").isNotNull(), F.col("_pos"))).alias("cell"))
     return stitch_wide(cells, values.select("entity"), "entity", columns)

@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lakefold.plans import prices, wide
+from lakefold.plans import fundamentals, prices, reference_data, screening, text, valuation, wide
 
-_MODULES = [wide, prices]
+_MODULES = [screening, prices, fundamentals, valuation, reference_data, text, wide]
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -20,4 +20,4 @@ def oracle_sql() -> dict[str, str]:
 
 
 def flagship(spark: SparkSession, root: str) -> DataFrame:
-    return wide.p7_companies(spark, root)
+    return screening.screen_funnel(spark, root)
