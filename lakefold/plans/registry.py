@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lakefold.plans import fundamentals, prices, reference_data, screening, text, valuation, wide
+from lakefold.plans import fundamentals, prices, reference_data, screening, streams, text, valuation, wide
 
-_MODULES = [screening, prices, fundamentals, valuation, reference_data, text, wide]
+_MODULES = [screening, prices, fundamentals, valuation, reference_data, text, streams, wide]
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
