@@ -16,12 +16,13 @@ def _series():
 
 def daily_bars(bars: DataFrame) -> DataFrame:
     """One row per symbol and day (symbol, d, open, high, low, close, volume) from bars that may be
-    intraday, redelivered (same px_id) or halted (null close). Aggregates before anything is ordered, so
-    a symbol with many marks a day costs no more than its days."""
+    intraday, redelivered (same px_id) or halted (null close). One shuffle by symbol and day serves both
+    the removal of redeliveries and the aggregation; a symbol with many rows is spread over its days."""
     clean = bars.filter("close is not null and symbol is not null and date is not null")
-    clean = clean.select("px_id", "symbol", "date", "open", "high", "low", "close", "volume").distinct()
+    clean = clean.select("px_id", "symbol", F.col("date").cast("date").alias("d"), "date", "open", "high", "low", "close", "volume")
+    clean = clean.repartition("symbol", "d").dropDuplicates(["symbol", "d", "px_id"])
     at = F.struct("date", "px_id")
-    return clean.groupBy("symbol", F.col("date").cast("date").alias("d")).agg(
+    return clean.groupBy("symbol", "d").agg(
         F.min_by("open", at).alias("open"), F.max("high").alias("high"), F.min("low").alias("low"),
         F.max_by("close", at).alias("close"), F.sum("volume").alias("volume"),
     )
