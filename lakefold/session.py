@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import os
 import tempfile
 import uuid
+import zipfile
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -42,6 +44,24 @@ def shared_dir(spark: SparkSession) -> str:
     return jsc.getCheckpointDir().get()
 
 
+def ship(spark: SparkSession) -> None:
+    """Make this package importable in the Python workers of all executors, once per application: Spark
+    distributes an archive of it, so it needs no installation on the machines."""
+    sc = spark.sparkContext
+    if getattr(sc, "_lakefold_shipped", False):
+        return
+    home = os.path.dirname(os.path.abspath(__file__))
+    archive = os.path.join(tempfile.mkdtemp(prefix="lakefold_"), "lakefold.zip")
+    with zipfile.ZipFile(archive, "w", zipfile.ZIP_DEFLATED) as z:
+        for folder, _, files in os.walk(home):
+            for name in files:
+                if name.endswith(".py"):
+                    path = os.path.join(folder, name)
+                    z.write(path, os.path.relpath(path, os.path.dirname(home)))
+    sc.addPyFile(archive)
+    sc._lakefold_shipped = True
+
+
 def stored(df: DataFrame, name: str = "stage") -> DataFrame:
     """Write ``df`` once to the shared folder and read it back: the lineage ends there, the result
     survives the loss of any executor, and later reads prune columns."""
