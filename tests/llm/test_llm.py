@@ -49,6 +49,12 @@ def test_companies_empty(companies):
     assert _match(companies[0], companies[1].limit(0)).count() == 0
 
 
+def test_large_groups_give_the_same(companies, monkeypatch):
+    want = {(r["bse_code"], r["nse_symbol"]) for r in _match(*companies).collect()}
+    monkeypatch.setattr(matching, "GROUP", 1)
+    assert {(r["bse_code"], r["nse_symbol"]) for r in _match(*companies).collect()} == want
+
+
 @settings(max_examples=150, deadline=None)
 @given(st.text("abdegiklmnoprtuvwyz", min_size=8, max_size=12), st.integers(0, 3), st.integers(0, 7), st.sampled_from("abkz"))
 def test_one_typing_error_shares_a_key(word, kind, at, letter):
