@@ -27,3 +27,34 @@ def p7_found(spark: SparkSession, root: str) -> DataFrame:
 
 
 QUERIES = {"p7_found": p7_found, "p7_companies": p7_companies, "p7_statements": p7_statements}
+
+
+def _key_sql(label: str) -> str:
+    return f"regexp_replace(regexp_replace(lower({label}), '[(\\[{{][^)\\]}}]*[)\\]}}]', ' ', 'g'), '[^\\p{{L}}\\p{{N}}]+', '', 'g')"
+
+
+_TIDY = "trim(translate(regexp_replace(val, '[\\s\\x{00a0}\\x{2007}\\x{202f}\\x{200b}]+', ' ', 'g'), '０１２３４５６７８９०१२३४५६७८९−', '01234567890123456789-'))"
+_CURRENCY_SQL = "(₹|rs\\.?|inr|\\$|â‚¹|â\\x{82}¹|‚Çπ|Γé╣|Ã¢â€šÂ¹)?\\s*"
+_PLAIN = "[-+]?\\s?(\\d[\\d,]*(\\.\\d*)?|\\.\\d+)(e[-+]?\\d{1,3})?"
+_READABLE = f"""case when lower(v) in ('', '-', '--', '–', '—', 'na', 'n/a', 'n.a.', 'n.a', 'nil', 'null', 'none', 'nan') then false
+    when value_type = 'text' then true
+    when value_type = 'flag' then lower(regexp_replace(v, '[.\\s]+$', '')) in ('yes', 'y', 'true', 't', '1', 'no', 'n', 'false', 'f', '0')
+    when value_type = 'number' then regexp_full_match(v, '(?i){_CURRENCY_SQL}{_PLAIN}(\\s*[*†‡#^]+)?|\\(\\s*{_CURRENCY_SQL}{_PLAIN}\\s*\\)(\\s*[*†‡#^]+)?')
+    when value_type = 'percent' then regexp_full_match(v, '(?i){_PLAIN}\\s*(%|pct\\.?|per\\s?cent)?|\\(\\s*{_PLAIN}\\s*(%|pct\\.?|per\\s?cent)?\\s*\\)')
+    when value_type = 'date' then coalesce(try_strptime(v, '%Y-%m-%d'), try_strptime(v, '%d/%m/%Y'), try_strptime(v, '%d %b %Y'), try_strptime(v, '%d-%b-%Y'), try_strptime(v, '%B %d, %Y'), try_strptime(v, '%b %d, %Y')) is not null
+      or regexp_full_match(v, '-?\\d{{1,15}}') end"""
+SQL = {
+    "p7_found": f"""with cat as (select src, statement, attribute, value_type, {_key_sql('label')} as k from metric_catalog),
+      t0 as (select slug, attribute, value_type, val, row_number() over (partition by slug, attribute order by scraped_at desc nulls last, rec_id desc) as n
+        from tijori join cat on cat.src = 'tijori' and {_key_sql('metrics')} = cat.k where slug is not null),
+      t1 as (select slug, attribute, value_type, {_TIDY} as v from t0 where n = 1 and val is not null),
+      s0 as (select *, row_number() over (partition by symbol, basis, statement order by scraped_at desc nulls last, rec_id desc) as n from screener where symbol is not null and basis is not null and statement is not null),
+      s1 as (select symbol, basis, statement, unnest(rows) as r from s0 where n = 1),
+      s2 as (select symbol, basis, s1.statement, attribute, value_type, unnest(map_entries(r)) as e from s1 join cat on cat.src = 'screener' and cat.statement = s1.statement and {_key_sql("r['metric']")} = cat.k),
+      s3 as (select symbol, basis, statement, attribute, value_type, e.value as val, lower(trim(e.key)) as p from s2 where e.key <> 'metric' and e.value is not null),
+      s4 as (select *, regexp_extract(p, '^(\\d{{1,2}}[ -])?([a-z]{{3}})[a-z]*[ ,''-]+(\\d{{4}}|\\d{{2}})$', 2) as mon, regexp_extract(p, '^(\\d{{1,2}}[ -])?([a-z]{{3}})[a-z]*[ ,''-]+(\\d{{4}}|\\d{{2}})$', 3) as y from s3),
+      s5 as (select symbol, basis, statement, attribute, value_type, {_TIDY} as v, case when regexp_full_match(p, '\\d{{4}}-\\d{{2}}') then p
+        when mon <> '' then lpad(y, 4, '20') || '-' || lpad(list_position(['jan','feb','mar','apr','may','jun','jul','aug','sep','oct','nov','dec'], mon)::varchar, 2, '0') end as month from s4)
+      select distinct 'tijori' as src, slug as entity, attribute from t1 where {_READABLE}
+      union select distinct 'screener', concat_ws('|', symbol, basis, statement, month), attribute from s5 where month is not null and {_READABLE}""",
+}
