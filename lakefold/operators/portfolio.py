@@ -47,6 +47,7 @@ def tail_risk(series: DataFrame, levels: tuple[float, ...] = (0.95, 0.99)) -> Da
             F.lit(level).alias("level"), F.percentile("r", F.lit(cut)).alias("var"),
             F.avg(F.when(F.col("i") <= F.floor((F.col("n") - 1) * F.lit(cut)) + 1, F.col("r"))).alias("cvar"),
         )
+        row = row.filter("var is not null")  # an empty series has no tail
         out = row if out is None else out.unionByName(row)
     return out
 
