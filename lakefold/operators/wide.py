@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lakefold.functions.parse import label_key, period_month, read_typed
+from lakefold.session import stored
 
 #: Value type of a catalogue -> field of a cell, type of the column.
 TYPES = {"number": ("number", "double"), "percent": ("number", "double"), "date": ("day", "date"), "flag": ("flag", "boolean"), "text": ("text", "string")}
@@ -69,7 +70,7 @@ def wide_companies(rows: DataFrame, catalog: DataFrame) -> DataFrame:
     labels = catalog.filter("src = 'tijori'").select(label_key(F.col("label")).alias("_k"), "attribute", "value_type").dropDuplicates(["_k"])
     known = rows.filter("slug is not null").select("slug", label_key(F.col("metrics")).alias("_k"), "val", "scraped_at", "rec_id").join(labels, "_k")
     newest = known.groupBy("slug", "attribute", "value_type").agg(F.max(F.struct("scraped_at", "rec_id", "val")).alias("m"))
-    cells = newest.select("slug", "attribute", read_typed(F.col("m.val"), F.col("value_type")).alias("cell"))
+    cells = stored(newest.select("slug", "attribute", read_typed(F.col("m.val"), F.col("value_type")).alias("cell")), "cells")
     return stitch_wide(cells, rows.select("slug"), "slug", columns)
 
 
@@ -98,7 +99,8 @@ def wide_statements(records: DataFrame, catalog: DataFrame) -> DataFrame:
         read_typed(F.col("_value"), F.col("value_type")).alias("cell"),
     )
     cells = values.groupBy("entity", "attribute").agg(F.min_by("cell", F.when(F.col("cell").isNotNull(), F.col("_pos"))).alias("cell"))
-    return stitch_wide(cells, values.select("entity"), "entity", columns)
+    cells = stored(cells, "cells")
+    return stitch_wide(cells, cells.select("entity"), "entity", columns)
 
 
 def filled_cells(wide: DataFrame, key: str) -> DataFrame:

@@ -153,7 +153,13 @@ QUERIES = {f.__name__: f for f in (
     stale_or_missing, parsed_form_first, guidance_tracker, flat_metric_map,
 )}
 _TOPIC = "case " + " ".join("when " + " or ".join(f"lower(text) like '%{w}%'" for w in words) + f" then '{name}'" for name, words in D.TOPICS.items()) + " else 'other' end"
+_FIRST = "split_part(split_part(text, E'\\r', 1), E'\\n', 1)"
 SQL = {
+    "letter_subjects": "select doc_id, trim(regexp_extract(text, '(?im)^\\s*sub(?:ject)?\\s*[-:]\\s*(.+)$', 1)) as subject from documents where text is not null",
+    "headline_types": f"""select doc_id, regexp_extract({_FIRST}, '^(.*?)\\s+[-–:]\\s+(.*)$', 1) as kind,
+        case when regexp_matches({_FIRST}, '\\s+[-–:]\\s+') then length(regexp_extract({_FIRST}, '^(.*?)\\s+[-–:]\\s+(.*)$', 2)) else length({_FIRST}) end::int as n_chars from documents where text is not null""",
+    "announcement_bodies": """select doc_id, length(trim(regexp_replace(regexp_replace(text, '(?is)^.*?\\b(dear (sir|madam)[^\\n]*)\\n', ''), '(?is)\\n\\s*(yours (faithfully|sincerely|truly)|thanking you|for and on behalf of)\\b.*$', '')))::int as n_chars
+        from documents where text is not null and doc_type = 'announcement'""",
     "string_functions": """select rec_id, coalesce(nullif(trim(nse_symbol), ''), floor(try_cast(bse_code as double))::bigint::varchar) as listing_key, 'FY' || strftime(loaded_at, '%y') as fy,
         '[' || concat_ws(' ', symbol, 'Q1 FY24', 'questions and answers') || ']' as context, case when symbol is not null then 'A' end as suffix from entities""",
     "fact_labels": "select distinct item, regexp_replace(item, '([a-z0-9])([A-Z])', '\\1 \\2', 'g') as label from (select unnest(map_keys(facts)) as item from xbrl)",
