@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import io
 import os
 import tempfile
 import uuid
@@ -45,20 +46,24 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def ship(spark: SparkSession) -> None:
-    """Make this package importable in the Python workers of all executors, once per application: Spark
-    distributes an archive of it, so it needs no installation on the machines."""
+    """Make this package importable in the Python workers of all executors, once per application: an
+    archive of it goes to the shared folder and Spark hands it out, so it needs no installation."""
     sc = spark.sparkContext
     if getattr(sc, "_lakefold_shipped", False):
         return
     home = os.path.dirname(os.path.abspath(__file__))
-    archive = os.path.join(tempfile.mkdtemp(prefix="lakefold_"), "lakefold.zip")
-    with zipfile.ZipFile(archive, "w", zipfile.ZIP_DEFLATED) as z:
+    packed = io.BytesIO()
+    with zipfile.ZipFile(packed, "w", zipfile.ZIP_DEFLATED) as z:
         for folder, _, files in os.walk(home):
             for name in files:
                 if name.endswith(".py"):
                     path = os.path.join(folder, name)
                     z.write(path, os.path.relpath(path, os.path.dirname(home)))
-    sc.addPyFile(archive)
+    target = sc._jvm.org.apache.hadoop.fs.Path(f"{shared_dir(spark)}/{uuid.uuid4().hex}/lakefold.zip")
+    out = target.getFileSystem(sc._jsc.hadoopConfiguration()).create(target)
+    out.write(bytearray(packed.getvalue()))
+    out.close()
+    sc.addPyFile(target.toString())
     sc._lakefold_shipped = True
 
 
