@@ -15,12 +15,16 @@ LETTERHEAD = (
 )
 
 
+#: No-break, figure and narrow spaces and curly quotes; ``normalise_text`` makes them plain.
+ODD_SIGNS = "\u00a0\u2007\u202f‘’“”"
+
+
 def normalise_text(text: Column) -> Column:
     """Plain text: marks of emphasis and headings gone, line ends as one kind, odd spaces and zero-width
     signs gone, runs of blanks and of empty lines shortened. The steps have this order."""
     x = F.regexp_replace(text, r"\r\n?", "\n")
     x = F.regexp_replace(x, r"[\x{200b}\x{200c}\x{200d}\x{feff}\x{00ad}]", "")
-    x = F.translate(x, "   ‘’“”", "   ''\"\"")
+    x = F.translate(x, ODD_SIGNS, "   ''\"\"")
     x = F.regexp_replace(x, r"\*\*", "")
     x = F.regexp_replace(x, r"(?m)^#+[ \t]+", "")
     x = F.regexp_replace(x, r"[ \t]+", " ")

@@ -9,7 +9,9 @@ from lakefold.functions import strings as X
 from lakefold.operators import cleaning as C
 from lakefold.operators import documents as D
 from lakefold.operators.metric_map import flat_metrics
+from lakefold.operators.text import LETTERHEAD
 from lakefold.plans.prices import rounded
+from lakefold.plans.text import lines_sql
 from lakefold.plans.wide import p7_statements
 from lakefold.sources import table
 
@@ -154,7 +156,19 @@ QUERIES = {f.__name__: f for f in (
 )}
 _TOPIC = "case " + " ".join("when " + " or ".join(f"lower(text) like '%{w}%'" for w in words) + f" then '{name}'" for name, words in D.TOPICS.items()) + " else 'other' end"
 _FIRST = "split_part(split_part(text, E'\\r', 1), E'\\n', 1)"
+_MARKED = " or ".join(f"regexp_matches(lower(line), '{p}')" for p in LETTERHEAD)
 SQL = {
+    "cover_letter": f"""with {lines_sql('documents', 'doc_id')} select doc_id, coalesce(max(pos + 1) filter (pos < 120 and ({_MARKED})), 0)::int as n_cover_lines from l group by 1""",
+    "handoff_cut": """select call_id, length(trim(text[1:greatest(length(text) - 250, 0)] || regexp_replace(right(text, 250), '(?is)\\b(thank you\\.?\\s*)?(the )?(next|our next) question (is|comes) from\\b.*$', ''), ' '))::int as n_chars
+        from concall_transcript where text is not null""",
+    "boilerplate_skip": f"""with {lines_sql('credit_rating', 'rec_id')}, s as (select *, coalesce(last_value(case when regexp_matches(line, '(?i)press release') then true when regexp_matches(line, '^\\s*$') then false end ignore nulls)
+        over (partition by rec_id order by pos rows unbounded preceding), false) as skip from l) select rec_id, count(*) as n_lines from s where not skip group by 1""",
+    "section_labels": f"""with {lines_sql('concall_presentation', 'rec_id')}, b as (select *, trim(regexp_replace(lower(line), '[#*>:|]+', ' ', 'g'), ' ') as bare from l),
+        s as (select *, last_value(case when bare in ('net debt in pump sets', 'utilisation in bulk drugs', 'freight cost in solar modules') then bare end ignore nulls) over (partition by rec_id order by pos rows unbounded preceding) as section from b)
+        select section, count(*) as n_lines from s where section is not null group by 1""",
+    "numeric_blocks": f"""with {lines_sql('annual_report', 'rec_id')}, b as (select *, sum((trim(line, ' ') = '')::int) over (partition by rec_id order by pos) as block from l),
+        n as (select *, (regexp_matches(line, '\\d') and length(regexp_replace(line, '[\\d.,%()\\s-]', '', 'g')) <= 0.4 * length(line))::int::double as num from b where trim(line, ' ') <> '')
+        select rec_id, min(pos) as first_pos, count(*) as n, round(avg(num), 6) as numeric_share from n group by rec_id, block having count(*) >= 2 and avg(num) >= 0.5""",
     "letter_subjects": "select doc_id, trim(regexp_extract(text, '(?im)^\\s*sub(?:ject)?\\s*[-:]\\s*(.+)$', 1)) as subject from documents where text is not null",
     "headline_types": f"""select doc_id, regexp_extract({_FIRST}, '^(.*?)\\s+[-–:]\\s+(.*)$', 1) as kind,
         case when regexp_matches({_FIRST}, '\\s+[-–:]\\s+') then length(regexp_extract({_FIRST}, '^(.*?)\\s+[-–:]\\s+(.*)$', 2)) else length({_FIRST}) end::int as n_chars from documents where text is not null""",

@@ -156,7 +156,23 @@ QUERIES = {f.__name__: f for f in (
 _MARKERS = " + ".join(f"regexp_matches(lower(text), '{p}')::int" for p in T.LETTERHEAD)
 _Q = "q as (select embedding::double[] as q from embeddings where vec_id = 0), s as (select vec_id, label, vec_id % 20 as grp, vec_id % 30 as day, list_dot_product(embedding::double[], q) as score from embeddings, q)"
 
+
+
+def lines_sql(source: str, key: str) -> str:
+    """Lines of one text per key, with their position."""
+    return f"""d as (select {key}, any_value(text) as text from {source} where text is not null group by 1), a as (select {key}, regexp_split_to_array(text, '\\r\\n|\\r|\\n') as a from d),
+      l as (select {key}, unnest(range(len(a)))::int as pos, unnest(a) as line from a)"""
+
+
 SQL = {
+    "text_normalize": f"""with a as (select doc_id, regexp_replace(regexp_replace(text, '\\r\\n?', E'\\n', 'g'), '[\\x{{200b}}\\x{{200c}}\\x{{200d}}\\x{{feff}}\\x{{00ad}}]', '', 'g') as x from documents),
+        b as (select doc_id, replace(translate(x, '{T.ODD_SIGNS}', '   ' || chr(39) || chr(39) || chr(34) || chr(34)), '**', '') as x from a),
+        c as (select doc_id, regexp_replace(regexp_replace(regexp_replace(x, '(?m)^#+[ \\t]+', '', 'g'), '[ \\t]+', ' ', 'g'), ' ?\\n ?', E'\\n', 'g') as x from b),
+        e as (select doc_id, trim(regexp_replace(x, '\\n{{3,}}', E'\\n\\n', 'g'), ' ') as x from c) select doc_id, md5(x) as digest, length(x)::int as n_chars from e""",
+    "strip_page_headers": f"""with {lines_sql('credit_rating', 'rec_id')}, c as (select *, count(*) over (partition by rec_id, trim(line, ' ')) as n from l), k as (select * from c where trim(line, ' ') = '' or n < 3)
+        select rec_id, (coalesce(sum(length(line)), 0) + greatest(count(pos) - 1, 0))::int as n_chars from d left join k using (rec_id) group by 1""",
+    "numeric_runs": f"""with {lines_sql('annual_report', 'rec_id')}, n as (select *, regexp_matches(line, '^\\s*[-+]?[\\d.,%]+\\s*$') as num from l where trim(line, ' ') <> ''),
+        i as (select *, sum((not num)::int) over (partition by rec_id order by pos) as island from n) select rec_id, min(pos) as first_pos, count(*) as n from i where num group by rec_id, island""",
     "line_frequency": """with d as (select rec_id, any_value(text) as text from annual_report group by 1), l as (select rec_id, trim(unnest(regexp_split_to_array(text, '\\r\\n|\\r|\\n')), E' ') as line from d)
         select rec_id, line, count(*) as n from l where line <> '' group by 1, 2 having count(*) >= 2""",
     "letterhead_markers": f"select doc_id, ({_MARKERS})::int as n_markers from documents where text is not null",
