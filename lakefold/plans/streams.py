@@ -8,7 +8,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lakefold.session import shared_dir
+from lakefold.sources import table
 from lakefold.streaming import events as E
+from lakefold.streaming.indicators import online_ema
 
 
 def _stream(spark: SparkSession, root: str) -> DataFrame:
@@ -56,7 +58,14 @@ def stream_upsert(spark, root):
     return E.newest_version(spark, f"{place}/t").select("user_id", "event_id", "event_type")
 
 
-QUERIES = {f.__name__: f for f in (stream_tumbling, stream_sliding, stream_session, stream_dedup, stream_upsert)}
+def stream_ema(spark, root):
+    """The running mean of each user's values, span 9, kept as state; the last of each user."""
+    table(spark, root, "events")
+    out = _run(spark, online_ema(_stream(spark, root), "user_id", "ts", "value", 9), "ema")
+    return out.groupBy("user_id").agg(F.round(F.max_by("ema", "ts"), 6).alias("ema"))
+
+
+QUERIES = {f.__name__: f for f in (stream_tumbling, stream_sliding, stream_session, stream_dedup, stream_upsert, stream_ema)}
 _END = "(select max(ts) from events)"
 SQL = {
     "stream_tumbling": f"""select date_trunc('hour', ts) as window_start, event_type, count(*) as n, round(sum(value), 4) as total from events
@@ -66,6 +75,8 @@ SQL = {
     "stream_session": f"""with g as (select user_id, ts, case when ts - lag(ts) over w < interval 30 minute then 0 else 1 end as new from events window w as (partition by user_id order by ts)),
         s as (select *, sum(new) over (partition by user_id order by ts) as k from g)
         select user_id, min(ts) as session_start, count(*) as n from s group by user_id, k having max(ts) + interval 30 minute <= {_END}""",
+    "stream_ema": """with r as (select user_id, value, row_number() over (partition by user_id order by ts) as rn from events)
+        select user_id, round(sum(value * pow(0.8, -rn)) / sum(pow(0.8, -rn)), 6) as ema from r group by 1""",
     "stream_dedup": "select distinct user_id, event_type from events",
     "stream_upsert": "select user_id, event_id, event_type from (select *, row_number() over (partition by user_id order by ts desc, event_id desc) as n from events) where n = 1",
 }
