@@ -21,33 +21,27 @@ _UNDEFINED = {0x81, 0x8D, 0x8F, 0x90, 0x9D}
 
 #: Anything outside this needs no search: printable ASCII without an escape.
 _SUSPECT = re.compile(r"[^\x20-\x7e\s]|&[#A-Za-z]\w{1,30};|\\u[0-9a-fA-F]{4}|=[0-9A-F]{2}=[0-9A-F]{2}")
+_CONTROL = re.compile(r"[\x00-\x08\x0b\x0c\x0e-\x1f]")
+_SPACE = re.compile(r"[ \t\n\r]+")
 _ESCAPE = re.compile(r"\\u([0-9a-fA-F]{4})")
 _LETTER_SCRIPTS = ("LATIN", "GREEK", "CYRILLIC", "DEVANAGARI", "ARABIC", "HEBREW", "CJK", "HIRAGANA", "KATAKANA", "HANGUL", "TAMIL", "BENGALI", "TELUGU", "GUJARATI", "GURMUKHI", "KANNADA", "MALAYALAM")
 
 
+#: cp1252 as a table over latin-1, its undefined bytes standing for themselves.
+_CP1252 = {b: bytes((b,)).decode("cp1252") for b in range(0x80, 0xA0) if b not in _UNDEFINED}
+_CP1252_BACK = {ord(c): b for b, c in _CP1252.items()} | {b: 0xFFFF for b in _CP1252}
+
+
 def _encode(text: str, codec: str) -> bytes | None:
-    if codec != "cp1252":
-        try:
-            return text.encode(codec)
-        except UnicodeEncodeError:
-            return None
-    out = bytearray()
-    for ch in text:
-        if ord(ch) in _UNDEFINED:
-            out.append(ord(ch))
-            continue
-        try:
-            out += ch.encode("cp1252")
-        except UnicodeEncodeError:
-            return None
-    return bytes(out)
+    try:
+        return text.translate(_CP1252_BACK).encode("latin-1") if codec == "cp1252" else text.encode(codec)
+    except UnicodeEncodeError:
+        return None
 
 
 def _decode(raw: bytes, codec: str) -> str | None:
     try:
-        if codec == "cp1252":
-            return "".join(chr(b) if b in _UNDEFINED else bytes((b,)).decode("cp1252") for b in raw)
-        return raw.decode(codec)
+        return raw.decode("latin-1").translate(_CP1252) if codec == "cp1252" else raw.decode(codec)
     except UnicodeDecodeError:
         return None
 
@@ -64,12 +58,10 @@ def plausibility_cost(text: str) -> float:
     characters no writer types (controls, replacement and private-use characters, box drawing) cost a
     lot, and so does a word that mixes scripts.
     """
-    cost, scripts = 0.0, set()
-    for ch in text:
+    cost, scripts = 8.0 * len(_CONTROL.findall(text)), set()
+    for ch in " ".join(w for w in _SPACE.split(text) if not w.isascii()):  # ASCII words cost nothing
         code = ord(ch)
         if code < 0x80:
-            if code < 0x20 and ch not in "\t\n\r":
-                cost += 8
             if ch.isalpha():
                 scripts.add("LATIN")
             else:
