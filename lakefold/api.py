@@ -62,7 +62,7 @@ class Lake:
         """Identity, technical position, peers and how many documents of each kind there are."""
         e = self.entities().filter(F.col("symbol") == symbol).select("symbol", "company_name", "industry", "sector", "market_cap_cr", "pe", "about")
         d = self.daily(symbol)
-        tech = P.range_stats(d).select("symbol", "close", "from_high_pct").join(P.dma_state(d), "symbol", "left")
+        tech = P.technicals(d).select("symbol", "close", "from_high_pct", "dma_short", "dma_long", "state", "rsi")
         docs = self._t("documents", "symbol", "doc_type").filter(F.col("symbol") == symbol).groupBy("symbol").agg(F.count(F.lit(1)).alias("n_documents"))
         peers = M.peers(self.entities(), "symbol", "industry", "market_cap_cr", 6).filter(F.col("symbol") == symbol).groupBy("symbol").agg(F.array_join(F.sort_array(F.collect_list("peer")), ",").alias("peers"))
         return e.join(tech, "symbol", "left").join(docs, "symbol", "left").join(peers, "symbol", "left")
@@ -135,13 +135,12 @@ class Lake:
         return d if interval == "daily" else P.resample(d, interval)
 
     def technicals_momentum(self, symbol: str) -> DataFrame:
-        d = self.daily(symbol)
-        return P.dma_state(d).join(P.rsi_live(d), "symbol", "left").join(P.macd_last(d), "symbol", "left").join(P.range_stats(d), "symbol", "left")
+        return P.technicals(self.daily(symbol))
 
     def price_analytics(self, symbol: str) -> DataFrame:
         d = self.daily(symbol)
         rs = P.relative_strength(d, P.market_series(self.daily()), {"rs_3m": 63, "rs_1y": 252})
-        return P.stack_columns([P.range_stats(d), P.drawdowns(d), P.volatility(d), P.volume_trend(d), rs])
+        return P.stack_columns([P.technicals(d), P.volume_trend(d), rs])
 
     def valuation_summary(self, symbol: str, terminal: float = 0.05, cost: float = 0.1234, years: int = 10) -> DataFrame:
         """Multiples, own PE band, peer PE, implied growth and three scenarios of one company."""
@@ -185,7 +184,7 @@ class Lake:
                       exclude: dict[str, list[str]] | None = None, sort_by: str = "market_cap_cr", ascending: bool = False, limit: int = 25, tolerance_pct: float = 15.0) -> dict[str, DataFrame]:
         """matches, funnel, near misses and excluded companies of a screen over entities and technicals."""
         d = self.daily()
-        tech = P.stack_columns([P.offset_returns(d, {"r_3m": 63, "r_1y": 252}), P.volatility(d).drop("n_returns"), P.dma_state(d).withColumnRenamed("state", "dma_state")])
+        tech = P.stack_columns([P.offset_returns(d, {"r_3m": 63, "r_1y": 252}), P.technicals(d).withColumnRenamed("state", "dma_state").drop("n_days", "n_returns")])
         u = self.entities().join(tech, "symbol", "left")
         reason = S.exclusion_reason(exclude or {}, ["industry", "sector", "nse_industry", "company_name", "about"])
         marked = u.withColumn("excluded_for", reason)

@@ -54,44 +54,102 @@ def _ewm_last(series: Column, alpha: float) -> Column:
     return F.when(end["w"] > 0, end["s"] / end["w"])
 
 
-def macd_last(daily: DataFrame, fast: int = 12, slow: int = 26, signal: int = 9) -> DataFrame:
-    """symbol, n, macd, macd_signal at the last row of each symbol. The series is folded once: the state
-    holds both averages and the signal average, never the history."""
+def _macd_start() -> Column:
+    return F.struct(*[F.lit(0.0).alias(k) for k in ("fs", "fw", "ss", "sw", "gs", "gw", "m")])
+
+
+def _macd_step(fast: int, slow: int, signal: int):
+    """One close folded into both averages and the signal average; weights are normalised by the history
+    there is, and the history itself is not kept."""
     a, b, c = 2 / (fast + 1), 2 / (slow + 1), 2 / (signal + 1)
-    series = daily.groupBy("symbol").agg(F.array_sort(F.collect_list(F.struct("d", "close"))).alias("s"))
-    zero = F.lit(0.0)
-    start = F.struct(*[zero.alias(k) for k in ("fs", "fw", "ss", "sw", "gs", "gw", "m")])
 
     def step(acc: Column, x: Column) -> Column:
-        fs, fw = acc["fs"] * (1 - a) + x["close"], acc["fw"] * (1 - a) + 1
-        ss, sw = acc["ss"] * (1 - b) + x["close"], acc["sw"] * (1 - b) + 1
+        fs, fw = acc["fs"] * (1 - a) + x, acc["fw"] * (1 - a) + 1
+        ss, sw = acc["ss"] * (1 - b) + x, acc["sw"] * (1 - b) + 1
         m = fs / fw - ss / sw
         return F.struct(fs.alias("fs"), fw.alias("fw"), ss.alias("ss"), sw.alias("sw"), (acc["gs"] * (1 - c) + m).alias("gs"), (acc["gw"] * (1 - c) + 1).alias("gw"), m.alias("m"))
 
-    end = series.select("symbol", F.size("s").alias("n"), F.aggregate("s", start, step).alias("e"))
-    return end.select("symbol", "n", F.col("e.m").alias("macd"), (F.col("e.gs") / F.col("e.gw")).alias("macd_signal"))
+    return step
 
 
-def _moves(daily: DataFrame) -> DataFrame:
-    change = F.col("close") - F.lag("close").over(_series())
-    moved = daily.withColumn("_x", change).filter("_x is not null")
-    return moved.groupBy("symbol").agg(F.array_sort(F.collect_list(F.struct("d", "_x"))).alias("s"))
+def _wilder_start() -> Column:
+    return F.struct(F.lit(None).cast("double").alias("g"), F.lit(None).cast("double").alias("l"))
 
 
-def rsi_live(daily: DataFrame, n: int = 14) -> DataFrame:
-    """symbol, rsi at the last row: Wilder smoothing that starts at the first move; no losses gives null."""
+def _wilder_step(n: int):
     alpha = 1 / n
-    start = F.struct(F.lit(None).cast("double").alias("g"), F.lit(None).cast("double").alias("l"))
 
     def step(acc: Column, x: Column) -> Column:
-        up, down = F.greatest(x["_x"], F.lit(0.0)), F.greatest(-x["_x"], F.lit(0.0))
+        up, down = F.greatest(x, F.lit(0.0)), F.greatest(-x, F.lit(0.0))
         return F.struct(
             F.when(acc["g"].isNull(), up).otherwise(acc["g"] * (1 - alpha) + up * alpha).alias("g"),
             F.when(acc["l"].isNull(), down).otherwise(acc["l"] * (1 - alpha) + down * alpha).alias("l"),
         )
 
-    e = _moves(daily).select("symbol", F.aggregate("s", start, step).alias("e"))
-    return e.select("symbol", F.when(F.col("e.l") > 0, 100 - 100 / (1 + F.col("e.g") / F.col("e.l"))).alias("rsi"))
+    return step
+
+
+def _wilder_rsi(end: Column) -> Column:
+    return F.when(end["l"] > 0, 100 - 100 / (1 + end["g"] / end["l"]))
+
+
+def macd_last(daily: DataFrame, fast: int = 12, slow: int = 26, signal: int = 9) -> DataFrame:
+    """symbol, n, macd, macd_signal at the last row of each symbol, by one fold of its closes."""
+    series = daily.groupBy("symbol").agg(F.array_sort(F.collect_list(F.struct("d", "close"))).alias("s"))
+    closes = F.transform("s", lambda x: x["close"])
+    end = series.select("symbol", F.size("s").alias("n"), F.aggregate(closes, _macd_start(), _macd_step(fast, slow, signal)).alias("e"))
+    return end.select("symbol", "n", F.col("e.m").alias("macd"), (F.col("e.gs") / F.col("e.gw")).alias("macd_signal"))
+
+
+def technicals(daily: DataFrame, short: int = 50, long: int = 200, year: int = TRADING_DAYS, least: int = 30) -> DataFrame:
+    """All last-row figures of every symbol in one row: n_days, close, dma_short, dma_long, state, rsi,
+    macd, macd_signal, high_n, low_n, from_high_pct, max_drawdown_pct, drawdown_pct, n_returns,
+    annual_vol_pct. The series of a symbol is brought together once and folded; no figure shuffles or
+    scans on its own. Definitions as in the single operators."""
+    s = daily.groupBy("symbol").agg(F.array_sort(F.collect_list(F.struct("d", "close"))).alias("s"))
+    s = s.select("symbol", F.transform("s", lambda x: x["close"]).alias("c")).withColumn("n", F.size("c"))
+    one, n = F.lit(1), F.col("n")
+    later, earlier = F.slice("c", F.lit(2), n - 1), F.slice("c", one, n - 1)
+    s = s.withColumns({
+        "_x": F.zip_with(later, earlier, lambda b, a: b - a), "_r": F.zip_with(later, earlier, lambda b, a: b / a - 1),
+        "_y": F.slice("c", F.greatest(n - year + 1, one), year),
+    })
+
+    def mean_of_last(k: int) -> Column:
+        return F.when(n >= k, F.aggregate(F.slice("c", F.greatest(n - k + 1, one), k), F.lit(0.0), lambda a, x: a + x) / k)
+
+    def fall(acc: Column, x: Column) -> Column:
+        peak = F.greatest(acc["peak"], x)
+        now = (x / peak - 1) * 100
+        return F.struct(peak.alias("peak"), F.least(acc["worst"], now).alias("worst"), now.alias("now"))
+
+    start = F.struct(F.lit(float("-inf")).alias("peak"), F.lit(0.0).alias("worst"), F.lit(0.0).alias("now"))
+    s = s.withColumns({
+        "dma_short": mean_of_last(short), "dma_long": mean_of_last(long), "_m": F.aggregate("c", _macd_start(), _macd_step(12, 26, 9)),
+        "_w": F.aggregate("_x", _wilder_start(), _wilder_step(14)), "_d": F.aggregate("c", start, fall), "high_n": F.array_max("_y"), "low_n": F.array_min("_y"),
+        "_r": F.slice("_r", F.greatest(F.size("_r") - year + 1, one), year),
+    }).withColumns({"n_returns": F.size("_r"), "_mean": F.aggregate("_r", F.lit(0.0), lambda a, x: a + x) / F.size("_r")})
+    spread = F.aggregate("_r", F.lit(0.0), lambda a, x: a + (x - F.col("_mean")) * (x - F.col("_mean")))
+    close = F.element_at("c", -1)
+    return s.select(
+        "symbol", n.cast("bigint").alias("n_days"), close.alias("close"), "dma_short", "dma_long",
+        F.when(F.col("dma_long").isNotNull(), F.when(F.col("dma_short") > F.col("dma_long"), "golden").otherwise("death")).alias("state"),
+        _wilder_rsi(F.col("_w")).alias("rsi"), F.col("_m.m").alias("macd"), (F.col("_m.gs") / F.col("_m.gw")).alias("macd_signal"),
+        "high_n", "low_n", ((close / F.col("high_n") - 1) * 100).alias("from_high_pct"), F.col("_d.worst").alias("max_drawdown_pct"), F.col("_d.now").alias("drawdown_pct"),
+        F.col("n_returns").cast("bigint").alias("n_returns"), F.when(F.col("n_returns") >= least, F.sqrt(spread / (F.col("n_returns") - 1)) * (TRADING_DAYS**0.5) * 100).alias("annual_vol_pct"),
+    )
+
+
+def _moves(daily: DataFrame) -> DataFrame:
+    change = F.col("close") - F.lag("close").over(_series())
+    moved = daily.withColumn("_x", change).filter("_x is not null")
+    return moved.groupBy("symbol").agg(F.array_sort(F.collect_list(F.struct("d", "_x"))).alias("s"))
+
+
+def rsi_live(daily: DataFrame, n: int = 14) -> DataFrame:
+    """symbol, rsi at the last row: Wilder smoothing that starts at the first move; no losses gives null."""
+    moves = F.transform("s", lambda x: x["_x"])
+    return _moves(daily).select("symbol", F.aggregate(moves, _wilder_start(), _wilder_step(n)).alias("e")).select("symbol", _wilder_rsi(F.col("e")).alias("rsi"))
 
 
 def rsi_batch(daily: DataFrame, n: int = 14) -> DataFrame:

@@ -101,19 +101,14 @@ def asof_price(spark, root):
 
 
 def price_analytics(spark, root):
-    """Range, drawdown, volatility, volume trend and averages of every symbol with 30 rows or more."""
-    d = _daily(spark, root)
-    n = d.groupBy("symbol").agg(F.count("*").alias("n_days")).filter("n_days >= 30")
-    parts = [P.range_stats(d).select("symbol", "close", "from_high_pct"), P.drawdowns(d), P.volatility(d).drop("n_returns"), P.dma_state(d).select("symbol", "state")]
-    return rounded(n.join(P.stack_columns(parts), "symbol"))
+    """Range, drawdown, volatility and averages of every symbol with 30 rows or more."""
+    t = P.technicals(_daily(spark, root)).filter("n_days >= 30")
+    return rounded(t.select("symbol", "n_days", "close", "from_high_pct", "max_drawdown_pct", "drawdown_pct", "annual_vol_pct", "state"))
 
 
 def technical_snapshot(spark, root):
     """The technical view per symbol with 20 rows or more: averages, oscillators, position and zone."""
-    d = _daily(spark, root)
-    n = d.groupBy("symbol").agg(F.count("*").alias("n_days")).filter("n_days >= 20")
-    t = n.join(P.dma_state(d).select("symbol", "dma_short", "dma_long"), "symbol").join(P.rsi_live(d), "symbol").join(P.macd_last(d).drop("n"), "symbol")
-    t = t.join(P.last_rows(d).select("symbol", "close"), "symbol")
+    t = P.technicals(_daily(spark, root)).filter("n_days >= 20")
     zone = F.when(F.col("rsi") < 30, "oversold").when(F.col("rsi") > 70, "overbought").when(F.col("rsi").isNotNull(), "neutral")
     above50, above200 = F.coalesce(F.col("close") > F.col("dma_short"), F.lit(False)), F.coalesce(F.col("close") > F.col("dma_long"), F.lit(False))
     bullish = F.coalesce(F.col("macd") > F.col("macd_signal"), F.lit(False))

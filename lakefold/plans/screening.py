@@ -35,8 +35,7 @@ def _entities(spark: SparkSession, root: str) -> DataFrame:
 
 
 def _universe(spark: SparkSession, root: str) -> DataFrame:
-    tech = P.dma_state(_daily(spark, root)).join(P.last_rows(_daily(spark, root)).select("symbol", "close"), "symbol")
-    tech = tech.select("symbol", (F.col("close") > F.col("dma_short")).alias("a50"), (F.col("close") > F.col("dma_long")).alias("a200"))
+    tech = P.technicals(_daily(spark, root)).select("symbol", (F.col("close") > F.col("dma_short")).alias("a50"), (F.col("close") > F.col("dma_long")).alias("a200"))
     out = _entities(spark, root).join(tech, "symbol", "left")
     return out.withColumns({"above_dma50": F.coalesce("a50", F.lit(False)), "above_dma200": F.coalesce("a200", F.lit(False))}).drop("a50", "a200")
 
