@@ -1,4 +1,4 @@
-"""Exact vector retrieval: filtered top-k, per-group cap, timeline."""
+"""Exact vector retrieval: filtered top-k, per-group cap, timeline, each for one query or a table of queries."""
 
 from __future__ import annotations
 
@@ -38,6 +38,38 @@ def timeline(vectors: DataFrame, query: list[float], key: str, date: str, n_date
     return s.join(F.broadcast(dates), date).withColumn("_n", rank).filter(F.col("_n") <= per_date).drop("_n")
 
 
+def scored_all(vectors: DataFrame, queries: DataFrame, query_key: str, vector: str = "embedding") -> DataFrame:
+    """Every row of ``vectors`` with every row of ``queries`` (``query_key`` and ``vector``) and their
+    ``score``. Spark broadcasts the queries or, if they are many, joins blocks of both sides."""
+    q = queries.select(query_key, F.col(vector).alias("_q"))
+    return vectors.crossJoin(q).withColumn("score", dot(F.col(vector), F.col("_q"))).drop(vector, "_q")
+
+
+def _first(rows: DataFrame, by: list[str], key: str, n: int) -> DataFrame:
+    """The ``n`` best rows of each group; the limit is applied to each partition before the shuffle."""
+    rank = F.row_number().over(Window.partitionBy(*by).orderBy(F.col("score").desc(), key))
+    return rows.withColumn("_n", rank).filter(F.col("_n") <= n).drop("_n")
+
+
+def top_k_all(vectors: DataFrame, queries: DataFrame, query_key: str, key: str, k: int = 8, where: Column | None = None) -> DataFrame:
+    """``top_k`` for every row of ``queries``."""
+    base = vectors if where is None else vectors.filter(where)
+    return _first(scored_all(base, queries, query_key), [query_key], key, k)
+
+
+def top_k_capped_all(vectors: DataFrame, queries: DataFrame, query_key: str, key: str, group: str, k: int = 8, most: int = 2, fetch: int = 5) -> DataFrame:
+    """``top_k_capped`` for every row of ``queries``."""
+    best = top_k_all(vectors, queries, query_key, key, k * fetch)
+    return _first(_first(best, [query_key, group], key, most), [query_key], key, k)
+
+
+def timeline_all(vectors: DataFrame, queries: DataFrame, query_key: str, key: str, date: str, n_dates: int = 8, per_date: int = 1) -> DataFrame:
+    """``timeline`` for every row of ``queries``."""
+    known = vectors.filter(F.col(date) > 0)
+    dates = known.select(date).distinct().orderBy(F.col(date).desc()).limit(n_dates)
+    return _first(scored_all(known.join(F.broadcast(dates), date), queries, query_key), [query_key, date], key, per_date)
+
+
 def where(doc_types: list | None = None, date_from: int | None = None, date_to: int | None = None, date_eq: int | None = None,
           type_column: str = "doc_type", date_column: str = "date_int") -> Column:
     """Metadata conditions as one predicate that scans can push down; an exact date overrides a range."""

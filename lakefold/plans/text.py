@@ -148,13 +148,36 @@ def timeline_topk(spark, root):
     return rounded(V.timeline(_vectors(spark, root), _query_vector(spark, root), "vec_id", "day", 8, 2).select("vec_id", "day", "score"), 4)
 
 
+def _query_vectors(spark: SparkSession, root: str) -> DataFrame:
+    """Every vector whose number is divisible by 100 is a query."""
+    return table(spark, root, "embeddings").filter("vec_id % 100 = 0").select(F.col("vec_id").alias("query_id"), "embedding")
+
+
+def vector_topk_all(spark, root):
+    s = V.top_k_all(_vectors(spark, root), _query_vectors(spark, root), "query_id", "vec_id", 8, F.col("label") < 7)
+    return rounded(s.select("query_id", "vec_id", "label", "score"), 4)
+
+
+def vector_topk_capped_all(spark, root):
+    s = V.top_k_capped_all(_vectors(spark, root), _query_vectors(spark, root), "query_id", "vec_id", "grp", 8, 1)
+    return rounded(s.select("query_id", "vec_id", "grp", "score"), 4)
+
+
+def timeline_topk_all(spark, root):
+    s = V.timeline_all(_vectors(spark, root), _query_vectors(spark, root), "query_id", "vec_id", "day", 8, 2)
+    return rounded(s.select("query_id", "vec_id", "day", "score"), 4)
+
+
 QUERIES = {f.__name__: f for f in (
     text_normalize, line_frequency, strip_page_headers, numeric_runs, letterhead_markers, leak_scrub, html_to_text, numeric_parse, date_parse, label_date, filing_year, token_stats, prose_yield,
     roster_lines, exchange_grouping, chunk_sliding, pack_blocks, corpus_stats, metadata_filter, recency_gate, latest_dates, vector_topk, vector_topk_capped, timeline_topk,
+    vector_topk_all, vector_topk_capped_all, timeline_topk_all,
 )}
 
 _MARKERS = " + ".join(f"regexp_matches(lower(text), '{p}')::int" for p in T.LETTERHEAD)
 _Q = "q as (select embedding::double[] as q from embeddings where vec_id = 0), s as (select vec_id, label, vec_id % 20 as grp, vec_id % 30 as day, list_dot_product(embedding::double[], q) as score from embeddings, q)"
+_QA = """q as (select vec_id as query_id, embedding::double[] as q from embeddings where vec_id % 100 = 0),
+        s as (select query_id, vec_id, label, vec_id % 20 as grp, vec_id % 30 as day, list_dot_product(embedding::double[], q) as score from embeddings, q)"""
 
 
 
@@ -201,4 +224,10 @@ SQL = {
         select vec_id, grp, round(score, 4) as score from r where n <= 1 order by r.score desc, vec_id limit 8""",
     "timeline_topk": f"""with {_Q}, d as (select distinct day from s where day > 0 order by day desc limit 8), r as (select s.*, row_number() over (partition by day order by score desc, vec_id) as n from s join d using (day))
         select vec_id, day, round(score, 4) as score from r where n <= 2""",
+    "vector_topk_all": f"""with {_QA}, r as (select *, row_number() over (partition by query_id order by score desc, vec_id) as n from s where label < 7)
+        select query_id, vec_id, label, round(score, 4) as score from r where n <= 8""",
+    "vector_topk_capped_all": f"""with {_QA}, b as (select *, row_number() over (partition by query_id order by score desc, vec_id) as i from s), r as (select *, row_number() over (partition by query_id, grp order by score desc, vec_id) as n from b where i <= 40),
+        c as (select *, row_number() over (partition by query_id order by score desc, vec_id) as m from r where n <= 1) select query_id, vec_id, grp, round(score, 4) as score from c where m <= 8""",
+    "timeline_topk_all": f"""with {_QA}, d as (select distinct day from s where day > 0 order by day desc limit 8), r as (select s.*, row_number() over (partition by query_id, day order by score desc, vec_id) as n from s join d using (day))
+        select query_id, vec_id, day, round(score, 4) as score from r where n <= 2""",
 }

@@ -242,6 +242,23 @@ def test_retrieval_cap_and_ties(spark):
     assert [r["id"] for r in retrieval.top_k_capped(v, [1.0, 0.0], "id", "g", 4, 1).collect()] == [0, 1]
 
 
+def test_retrieval_for_a_table_of_queries(spark):
+    v = spark.createDataFrame([(i, i % 3, i % 4, [float((i * 7) % 5), float((i * 3) % 4)]) for i in range(24)], "id int, g int, day int, embedding array<float>")
+    q = spark.createDataFrame([(i, [float(i), 1.0 - i]) for i in range(3)], "query int, embedding array<float>")
+    one_by_one = {r["query"]: [float(x) for x in r["embedding"]] for r in q.collect()}
+
+    def rows(df, *first):
+        return sorted((*first, *(r[c] for c in ("query", "id", "score") if c in df.columns)) for r in df.collect())
+
+    for all_, single in (
+        (retrieval.top_k_all(v, q, "query", "id", 5, F.col("g") > 0), lambda x: retrieval.top_k(v, x, "id", 5, F.col("g") > 0)),
+        (retrieval.top_k_capped_all(v, q, "query", "id", "g", 3, 1), lambda x: retrieval.top_k_capped(v, x, "id", "g", 3, 1)),
+        (retrieval.timeline_all(v, q, "query", "id", "day", 2, 2), lambda x: retrieval.timeline(v, x, "id", "day", 2, 2)),
+    ):
+        assert rows(all_) == sorted(x for i, vec in one_by_one.items() for x in rows(single(vec), i))
+
+
+
 def test_sinks(spark, tmp_path):
     path, calls = str(tmp_path / "v"), []
 
