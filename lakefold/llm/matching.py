@@ -202,9 +202,8 @@ def match_companies(left: DataFrame, right: DataFrame, left_key: str, right_key:
 
     Both sides need company_name, industry, face_value, listed_on and a code (a ticker or short name).
     The name's own part, its business words and the code become fixed bit vectors of their bigrams.
-    Candidates: first the pairs at distance 0 (same own part, or same code), then, for left rows that
-    found no good partner, all pairs whose own-part or code vectors differ in at most ``RADIUS`` bits,
-    found exactly by multi-index hashing and checked. Dice scores per field become levels of agreement;
+    Candidates: the pairs of the same own part or code by equality, and, for all left rows, the pairs whose
+    own-part or code vectors differ in at most ``RADIUS`` bits, by multi-index hashing and checked. Dice scores per field become levels of agreement;
     how much each level tells is estimated from all candidate pairs, which yields a calibrated
     confidence. A pair comes out if its confidence is at least one half, its business words don't
     contradict each other, and it is the best for both of its records.
@@ -271,20 +270,16 @@ def match_companies(left: DataFrame, right: DataFrame, left_key: str, right_key:
             "face": F.when(F.col("l_face").isNull() | F.col("r_face").isNull() | F.isnan("l_face") | F.isnan("r_face"), 1).when(F.col("l_face") == F.col("r_face"), 2).otherwise(0),
         }).select("_lk", "_rk", *FIELDS, "own_dice", "business_dice", "code_dice")
 
-    good = "(own >= 1 and business >= 2 and (listed >= 1 or code >= 2)) or (code = 3 and business >= 2)"
     stage1 = stored(levels(first), "pairs")
-    done = stage1.filter(good).select("_lk").distinct()
-    rest = lhs.join(done, "_lk", "left_anti")
-
     keys = F.udf(band_keys, "array<bigint>", useArrow=True)
     hashed = []
     for field in ("own", "code"):
-        probe = rest.filter(F.length(f"l_{field}") >= 5).select(F.col(f"l_{field}_v").alias("_lv")).distinct()
+        probe = lhs.filter(F.length(f"l_{field}") >= 5).select(F.col(f"l_{field}_v").alias("_lv")).distinct()
         index = rhs.filter(F.length(f"r_{field}") >= 5).select(F.col(f"r_{field}_v").alias("_rv")).distinct()
         close = probe.select("_lv", F.explode(keys("_lv")).alias("_key")).join(index.select("_rv", F.explode(keys("_rv")).alias("_key")).hint("merge"), "_key")
         close = close.filter(_hamming(F.col("_lv"), F.col("_rv")) <= RADIUS).select("_lv", "_rv").distinct()
-        pairs = rest.join(close, F.col(f"l_{field}_v") == F.col("_lv")).join(rhs, F.col("_rv") == F.col(f"r_{field}_v"))
-        hashed.append(pairs.drop("_lv", "_rv"))
+        pairs = lhs.join(close, F.col(f"l_{field}_v") == F.col("_lv")).join(rhs, F.col("_rv") == F.col(f"r_{field}_v"))
+        hashed.append(pairs.filter(F.col(f"l_{field}") != F.col(f"r_{field}")).drop("_lv", "_rv"))  # equal ones are in the first stage
     stage2 = stored(levels(hashed[0].unionByName(hashed[1]).distinct()), "near")
 
     pairs = stage1.unionByName(stage2).distinct()

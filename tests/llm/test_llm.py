@@ -55,6 +55,13 @@ def test_large_groups_give_the_same(companies, monkeypatch):
     assert {(r["bse_code"], r["nse_symbol"]) for r in _match(*companies).collect()} == want
 
 
+def test_a_near_name_that_agrees_better_beats_the_same_name(spark, companies):
+    left = companies[0].unionByName(spark.createDataFrame([("10", "Zinmorub Telecom", None, "Telecom", 10.0, D)], LEFT))
+    more = spark.createDataFrame([("ZINMORUTE", "Zinmorub Telecom", None, None, None), ("ZINMOURTE", "Zinmourb Telecom", "Telecom", 10.0, D)], RIGHT)
+    got = _match(left, companies[1].unionByName(more.withColumn("_code", F.col("nse_symbol")))).collect()
+    assert {r["nse_symbol"] for r in got if r["bse_code"] == "10"} == {"ZINMOURTE"}
+
+
 @settings(max_examples=150, deadline=None)
 @given(st.text("abdegiklmnoprtuvwyz", min_size=8, max_size=12), st.integers(0, 3), st.integers(0, 7), st.sampled_from("abkz"))
 def test_one_typing_error_shares_a_key(word, kind, at, letter):
