@@ -62,6 +62,19 @@ def test_a_near_name_that_agrees_better_beats_the_same_name(spark, companies):
     assert {r["nse_symbol"] for r in got if r["bse_code"] == "10"} == {"ZINMOURTE"}
 
 
+def test_large_groups_give_the_same_without_business_words(spark, companies, monkeypatch):
+    rows = [("20", "Vudo Ceramics", None, None, 10.0, D), ("21", "Zerri", None, None, 10.0, D), ("22", "Moppa", None, None, 10.0, D), ("23", "Sukki Paper Mills", None, None, 10.0, D)]
+    more = [("VUDO", "Vudo", None, 10.0, D), ("ZERRICE", "Zerri Ceramics", None, 10.0, D), ("MOPPA", "Moppa", None, 10.0, D), ("SUKKIPA", "Sukki Paper Mills", None, 10.0, D)]
+    more += [(f"{s}X", f"{s.title()} Foods", "Foods", 5.0, dt.date(1990, 5, 5)) for s in ("VUDO", "ZERRI", "MOPPA", "SUKKI")]
+    left = companies[0].unionByName(spark.createDataFrame(rows, LEFT))
+    right = companies[1].unionByName(spark.createDataFrame(more, RIGHT).withColumn("_code", F.col("nse_symbol")))
+    got = []
+    for most in (10**9, 1):
+        monkeypatch.setattr(matching, "GROUP", most)
+        got.append({(r["bse_code"], r["nse_symbol"]) for r in _match(left, right).collect()})
+    assert got[0] == got[1] and {("20", "VUDO"), ("21", "ZERRICE"), ("22", "MOPPA"), ("23", "SUKKIPA")} <= got[0]
+
+
 @settings(max_examples=150, deadline=None)
 @given(st.text("abdegiklmnoprtuvwyz", min_size=8, max_size=12), st.integers(0, 3), st.integers(0, 7), st.sampled_from("abkz"))
 def test_one_typing_error_shares_a_key(word, kind, at, letter):
