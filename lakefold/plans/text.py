@@ -9,6 +9,7 @@ from lakefold.functions.parse import read_date, read_number
 from lakefold.operators import retrieval as V
 from lakefold.operators import text as T
 from lakefold.plans.prices import rounded
+from lakefold.plans.wide import _TIDY
 from lakefold.sources import table
 
 
@@ -63,6 +64,16 @@ def date_parse(spark, root):
     return t.select("rec_id", read_date(F.col("val")).alias("day"))
 
 
+def numeric_parse_all(spark, root):
+    """The number in every value; null where there is none to read."""
+    return rounded(table(spark, root, "tijori", "rec_id", "val").select("rec_id", read_number(F.col("val")).alias("number")))
+
+
+def date_parse_all(spark, root):
+    """The day in every value; null where there is none to read."""
+    return table(spark, root, "tijori", "rec_id", "val").select("rec_id", read_date(F.col("val")).alias("day"))
+
+
 def label_date(spark, root):
     return table(spark, root, "concall_transcript", "call_id", "period").distinct().select("call_id", T.label_date(F.col("period")).alias("date_int"))
 
@@ -171,7 +182,7 @@ def timeline_topk_all(spark, root):
 QUERIES = {f.__name__: f for f in (
     text_normalize, line_frequency, strip_page_headers, numeric_runs, letterhead_markers, leak_scrub, html_to_text, numeric_parse, date_parse, label_date, filing_year, token_stats, prose_yield,
     roster_lines, exchange_grouping, chunk_sliding, pack_blocks, corpus_stats, metadata_filter, recency_gate, latest_dates, vector_topk, vector_topk_capped, timeline_topk,
-    vector_topk_all, vector_topk_capped_all, timeline_topk_all,
+    vector_topk_all, vector_topk_capped_all, timeline_topk_all, numeric_parse_all, date_parse_all,
 )}
 
 _MARKERS = " + ".join(f"regexp_matches(lower(text), '{p}')::int" for p in T.LETTERHEAD)
@@ -187,6 +198,10 @@ def lines_sql(source: str, key: str) -> str:
       l as (select {key}, unnest(range(len(a)))::int as pos, unnest(a) as line from a)"""
 
 
+_CURRENCY = "(?:₹|rs\\.?|inr|\\$|â‚¹|â\\x{82}¹|‚çπ|‚Çπ|γé╣|Γé╣|ã¢â€šâ¹|Ã¢â€šÂ¹)"
+_VALUES = f"v as (select rec_id, case when lower({_TIDY}) not in ('', '-', '--', '–', '—', 'na', 'n/a', 'n.a.', 'n.a', 'nil', 'null', 'none', 'nan') then {_TIDY} end as v from tijori)"
+_DATES = (("\\d{4}-\\d{1,2}-\\d{1,2}", "%Y-%m-%d"), ("\\d{1,2}/\\d{1,2}/\\d{4}", "%d/%m/%Y"), ("\\d{1,2}\\.\\d{1,2}\\.\\d{4}", "%d.%m.%Y"), ("\\d{1,2} [A-Za-z]{3} \\d{4}", "%d %b %Y"), ("\\d{1,2}-[A-Za-z]{3}-\\d{4}", "%d-%b-%Y"),
+          ("\\d{1,2} [A-Za-z]{4,9} \\d{4}", "%d %B %Y"), ("[A-Za-z]{4,9} \\d{1,2}, \\d{4}", "%B %d, %Y"), ("[A-Za-z]{3} \\d{1,2}, \\d{4}", "%b %d, %Y"))
 SQL = {
     "text_normalize": f"""with a as (select doc_id, regexp_replace(regexp_replace(text, '\\r\\n?', E'\\n', 'g'), '[\\x{{200b}}\\x{{200c}}\\x{{200d}}\\x{{feff}}\\x{{00ad}}]', '', 'g') as x from documents),
         b as (select doc_id, replace(translate(x, '{T.ODD_SIGNS}', '   ' || chr(39) || chr(39) || chr(34) || chr(34)), '**', '') as x from a),
@@ -230,4 +245,10 @@ SQL = {
         c as (select *, row_number() over (partition by query_id order by score desc, vec_id) as m from r where n <= 1) select query_id, vec_id, grp, round(score, 4) as score from c where m <= 8""",
     "timeline_topk_all": f"""with {_QA}, d as (select distinct day from s where day > 0 order by day desc limit 8), r as (select s.*, row_number() over (partition by query_id, day order by score desc, vec_id) as n from s join d using (day))
         select query_id, vec_id, day, round(score, 4) as score from r where n <= 2""",
+    "numeric_parse_all": f"""with {_VALUES}, a as (select rec_id, trim(regexp_replace(regexp_replace(lower(v), '^([(\\-+ ]*){_CURRENCY}\\s*', '\\1'), '\\s*[*†‡#^]+$', '')) as y from v),
+        b as (select rec_id, regexp_replace(y, '\\s*(?:cr\\.?|crores?|nos\\.?|units?|days?)$', '') as y from a), c as (select rec_id, case when y like '(%' then -1 else 1 end as sign, regexp_replace(y, '^\\(\\s*(.*?)\\s*\\)$', '\\1') as z from b)
+        , d as (select rec_id, case when regexp_full_match(z, '[-+]?\\s?(\\d[\\d,]*(\\.\\d*)?|\\.\\d+)(e[-+]?\\d{{1,3}})?') then round(try_cast(regexp_replace(z, '[,\\s]', '', 'g') as double) * sign, 6) end as number from c)
+        select rec_id, case when number = 0 then 0 else number end as number from d -- no negative zero""",
+    "date_parse_all": f"""with {_VALUES} select rec_id, case {' '.join(f"when regexp_full_match(v, '{r}') then try_strptime(v, '{f}')::date" for r, f in _DATES)}
+        when regexp_full_match(v, '-?\\d{{1,15}}') then date '1970-01-01' + floor(v::bigint / 86400000.0)::int end as day from v""",
 }
