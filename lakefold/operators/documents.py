@@ -65,6 +65,21 @@ def section_lines(docs: DataFrame, key: str, text: str, headings: list[str]) ->
     return lines.withColumn("section", F.last(heading, ignorenulls=True).over(w)).withColumn("is_heading", heading.isNotNull())
 
 
+#: Heading lines of decks by form: hash marks, bold, a slide number, or at least two words all with capitals.
+DECK_HEADING = r"^(?:#{1,6}\s+(.+?)[\s#]*|\*\*([^*]+)\*\*:?|Slide\s+\d+\s*[:.-]\s*(.+)|([A-Z][A-Za-z&/'-]*(?: [A-Z][A-Za-z&/'-]*)+))$"
+
+
+def deck_sections(docs: DataFrame, key: str, text: str) -> DataFrame:
+    """Lines below a heading of any deck, with the heading's words and its position (``section``,
+    ``section_pos``); a heading of any name ends the section before it and counts to its own."""
+    lines = text_lines(docs, key, text)
+    words = F.lower(F.trim(F.concat(*[F.coalesce(F.regexp_extract(F.trim("line"), DECK_HEADING, i), F.lit("")) for i in range(1, 5)])))
+    heading = F.when(words != "", F.struct(words.alias("section"), F.col("pos").alias("section_pos")))
+    w = Window.partitionBy(key).orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)
+    out = lines.withColumn("_h", F.last(heading, ignorenulls=True).over(w)).filter("_h is not null")
+    return out.select("*", "_h.section", "_h.section_pos").drop("_h")
+
+
 def skip_boilerplate(docs: DataFrame, key: str, text: str, opens: str, closes: str) -> DataFrame:
     """Lines outside boilerplate: a line that matches ``opens`` starts it, one that matches ``closes`` ends
     it; the state is carried forward over the lines."""

@@ -63,6 +63,12 @@ def section_labels(spark, root):
     return s.filter("section is not null").groupBy("section").agg(F.count(F.lit(1)).alias("n_lines"))
 
 
+def section_labels_all(spark, root):
+    """Lines of every section of every slide deck, headings recognised by their form."""
+    d = table(spark, root, "concall_presentation", "rec_id", "text").dropDuplicates(["rec_id"]).filter("text is not null")
+    return D.deck_sections(d, "rec_id", "text").groupBy("rec_id", "section_pos", "section").agg(F.count(F.lit(1)).alias("n_lines"))
+
+
 def boilerplate_skip(spark, root):
     d = table(spark, root, "credit_rating", "rec_id", "text").dropDuplicates(["rec_id"]).filter("text is not null")
     return D.skip_boilerplate(d, "rec_id", "text", "(?i)press release", r"^\s*$").groupBy("rec_id").agg(F.count(F.lit(1)).alias("n_lines"))
@@ -152,12 +158,16 @@ def fact_search(spark, root):
 QUERIES = {f.__name__: f for f in (
     deck_blocks, report_paragraphs, rating_notes, announcement_bodies, string_functions, fact_labels, headline_types, fact_search,
     topic_classify, page_kinds, cover_letter, letter_fields, letter_subjects, document_dates, handoff_cut, fiscal_quarters, section_labels, boilerplate_skip, numeric_blocks, quality_gate,
-    stale_or_missing, parsed_form_first, guidance_tracker, flat_metric_map,
+    stale_or_missing, parsed_form_first, guidance_tracker, flat_metric_map, section_labels_all,
 )}
 _TOPIC = "case " + " ".join("when " + " or ".join(f"lower(text) like '%{w}%'" for w in words) + f" then '{name}'" for name, words in D.TOPICS.items()) + " else 'other' end"
 _FIRST = "split_part(split_part(text, E'\\r', 1), E'\\n', 1)"
 _MARKED = " or ".join(f"regexp_matches(lower(line), '{p}')" for p in LETTERHEAD)
+_HEADING = D.DECK_HEADING.replace("'", "''")
 SQL = {
+    "section_labels_all": f"""with {lines_sql('concall_presentation', 'rec_id')}, h as (select rec_id, pos, lower(trim(concat({', '.join(f"regexp_extract(trim(line, ' '), '{_HEADING}', {i})" for i in range(1, 5))}), ' ')) as h from l),
+        s as (select rec_id, pos, last_value(case when h <> '' then pos end ignore nulls) over (partition by rec_id order by pos rows unbounded preceding) as section_pos from h)
+        select s.rec_id, s.section_pos, h.h as section, count(*) as n_lines from s join h on h.rec_id = s.rec_id and h.pos = s.section_pos group by 1, 2, 3""",
     "cover_letter": f"""with {lines_sql('documents', 'doc_id')} select doc_id, coalesce(max(pos + 1) filter (pos < 120 and ({_MARKED})), 0)::int as n_cover_lines from l group by 1""",
     "handoff_cut": """select call_id, length(trim(text[1:greatest(length(text) - 250, 0)] || regexp_replace(right(text, 250), '(?is)\\b(thank you\\.?\\s*)?(the )?(next|our next) question (is|comes) from\\b.*$', ''), ' '))::int as n_chars
         from concall_transcript where text is not null""",

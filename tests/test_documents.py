@@ -121,3 +121,9 @@ def test_streams_resume_and_replace(spark, tmp_path):
     old = spark.createDataFrame([("s1", "k1"), ("s1", "k2"), ("s2", "k3")], "src string, k string")
     new = spark.createDataFrame([("s1", "k4"), ("s1", "k4")], "src string, k string")
     assert sorted(tuple(r) for r in events.reindex_by_source(old, new, "src", "k").collect()) == [("s1", "k4"), ("s2", "k3")]
+
+
+def test_deck_sections_by_form(spark):
+    d = spark.createDataFrame([(1, "intro line\n## Net Debt In Pump Sets\n- a b\n\n**Interest Cover In Tile Adhesives**\n- c\nSlide 3: Freight Cost In Yarn\n- d\nGross Margin In Cement\n- e of f")], "id int, t string")
+    got = [(r["section"], r["line"]) for r in documents.deck_sections(d, "id", "t").orderBy("pos").collect() if r["line"].startswith("-")]
+    assert got == [("net debt in pump sets", "- a b"), ("interest cover in tile adhesives", "- c"), ("freight cost in yarn", "- d"), ("gross margin in cement", "- e of f")]
