@@ -253,6 +253,34 @@ def test_encoding_edges(spark):
     assert [r["restored"] for r in encoding.repair_encoding(arrays, "rec_id", "t").collect()] == ["é"]
 
 
+@pytest.mark.parametrize("text,right,wrong", [("Привет", "cp1251", "latin-1"), ("Привет, мир", "koi8-r", "latin-1"), ("你好世界", "gbk", "latin-1"), ("Ελληνικά", "iso8859-7", "latin-1"), ("Ångström Optics", "cp1252", "cp1251")])
+def test_other_encodings(text, right, wrong):
+    assert encoding.repair(encoding._decode(text.encode(right), wrong)) == (True, text)
+
+
+def test_a_lost_byte_costs_one_character():
+    text = "Énergie – “santé” à côté"
+    for errors in ("ignore", "replace"):
+        damaged, best = encoding.repair(text.encode().decode("cp1252", errors))
+        assert damaged and best.replace("�", "") == text.replace("”", "") and "�" in best
+
+
+def test_many_readings_end(spark):
+    text = " ".join(encoding._decode(w.encode("utf-8"), "cp1252") for w in CORRECT * 20)
+    assert encoding.repair(text) == (True, " ".join(CORRECT * 20))
+
+
+def test_batches_without_damage(spark):
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1")
+    try:
+        clean = spark.createDataFrame([(i, t) for i, t in enumerate(CORRECT)], "rec_id long, t string").coalesce(1)
+        assert encoding.repair_encoding(clean, "rec_id", "t").count() == 0
+        mixed = clean.unionByName(spark.createDataFrame([(99, "CafÃ©")], "rec_id long, t string")).coalesce(1)
+        assert [r["restored"] for r in encoding.repair_encoding(mixed, "rec_id", "t").collect()] == ["Café"]
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+
+
 # 8 leakage ----------------------------------------------------------------------------------------
 def _leaks(docs, items, window=20, span=10):
     out = set()
