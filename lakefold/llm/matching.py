@@ -5,6 +5,7 @@ from __future__ import annotations
 import math
 import re
 import zlib
+from bisect import bisect_left
 from collections.abc import Iterator
 from itertools import combinations, product
 
@@ -17,39 +18,58 @@ from lakefold.session import stored
 #: Words that say nothing about which company it is.
 _STOP = frozenset({"limited", "ltd", "the", "co", "company", "india", "pvt", "private", "and", "of", "corp", "corporation", "plc", "inc"})
 _BITS, _BAND = 256, 4
-#: Differing bits of two q-gram vectors that one typing error can cause: a swap of neighbours changes three bigrams.
-RADIUS = 6
+_BANDS = _BITS // _BAND
 
-#: Rows with one own part beyond which pairs whose business words contradict each other are left out. They can't
-#: come out; the estimation of confidences then counts fewer of them.
-GROUP = 200
 
-
-def bigrams(text: str) -> set[str]:
+def grams(text: str) -> set[str]:
+    """The pairs of neighbouring letters without regard to their order, so that a swap of neighbours
+    changes as little as any other typing error: at most two pairs on either side."""
     padded = f"^{text}$"
-    return {padded[i : i + 2] for i in range(len(padded) - 1)} if text else set()
+    return {"".join(sorted(padded[i : i + 2])) for i in range(len(padded) - 1)} if text else set()
 
 
 def vector(text: str) -> list[int]:
     """The fixed bit vector of a text's q-grams, as four signed 64-bit words."""
     bits = 0
-    for gram in bigrams(text):
+    for gram in grams(text):
         bits |= 1 << (zlib.crc32(gram.encode()) % _BITS)
     parts = [(bits >> (64 * i)) & (2**64 - 1) for i in range(_BITS // 64)]
     return [p - 2**64 if p >= 2**63 else p for p in parts]
 
 
-def band_keys(words: list[int], radius: int = RADIUS) -> list[int]:
-    """Multi-index keys: every pair of non-empty bands. Two vectors that differ in at most ``radius``
-    bits differ in at most as many bands, so they share two bands, hence a key, whenever one of them
-    has ``radius + 2`` non-empty bands. Shorter texts have fewer and tolerate fewer errors."""
-    filled = []
+def bands(words: list[int]) -> list[int]:
+    """The non-empty bands of a vector, each as band number and content: at most ``_BANDS << _BAND`` kinds."""
+    out = []
     for w, word in enumerate(words):
         for i in range(64 // _BAND):
             value = (word >> (_BAND * i)) & (2**_BAND - 1)
             if value:
-                filled.append(((w * (64 // _BAND) + i) << _BAND) | value)
-    return [(a << 32) | b for a, b in combinations(filled, 2)] if len(filled) > 1 else [x << 32 for x in filled]
+                out.append(((w * (64 // _BAND) + i) << _BAND) | value)
+    return out
+
+
+def radius(filled: int) -> int:
+    """How many bits two vectors may differ in to be close, by the non-empty bands of the fuller one: two
+    typing errors in longer values, one in short ones, none in two letters."""
+    return 6 if filled >= 8 else 4 if filled >= 5 else 2 if filled >= 3 else 0
+
+
+def band_keys(words: list[int], rank: dict[int, int], width: int) -> list[int]:
+    """Multi-index keys. Two vectors that differ in at most ``r = radius(F)`` bits, ``F`` being the larger number
+    of non-empty bands, differ in at most ``r`` bands and so share ``F - r`` or more. Whatever common order the
+    bands are put in, they share ``c`` of the first ``r + c`` of either; a key is ``c`` of these bands. ``c`` is
+    ``width``, which grows with the logarithm of the number of values, or ``F - r`` where that is less. A
+    vector that may meet fuller ones gets the keys for each of their radii, so no close pair is missed at
+    any length. Rare bands (``rank``) come first, which keeps the groups behind the keys small."""
+    own = sorted(bands(words), key=lambda t: (rank.get(t, 0), t))
+    out: set[int] = set()
+    for r, c in {(radius(most), min(width, most - radius(most))) for most in range(len(own), len(own) + 7) if own and len(own) >= most - radius(most)}:
+        for part in combinations(sorted(own[: r + c]), c):
+            key = r * 8 + c
+            for band in part:
+                key = key << 10 | band  # a band's number and content take ten bits, so keys are exact
+            out.add(key)
+    return list(out)
 
 
 def tokens(name: str | None) -> list[str]:
@@ -67,6 +87,11 @@ def _near(a: str, b: str) -> bool:
     return x[1:] == y[1:] or x[1:] == y or x == y[1:] or (x[:2] == y[:2][::-1] and x[2:] == y[2:])
 
 
+def _shortened(word: str) -> set[str]:
+    """The word and all forms with one letter left out: words one error apart share one."""
+    return {word, *(word[:i] + word[i + 1 :] for i in range(len(word)))}
+
+
 class Namer:
     """Splits a company name into its own part and the words for its business, given the vocabulary of
     such words. Cut, abbreviated and misspelt business words are read as the word they stand for."""
@@ -75,6 +100,13 @@ class Namer:
         self.descriptors = sorted(descriptors)
         self.known = set(descriptors)
         self.memo: dict[str, str | None] = {}
+        self.near: dict[str, list[str]] = {}
+        self.first: dict[str, list[str]] = {}
+        for d in self.descriptors:
+            self.first.setdefault(d[0], []).append(d)
+            for k in range(4, len(d) + 1):  # the word and what is left of it when cut
+                for form in _shortened(d[:k]):
+                    self.near.setdefault(form, []).append(d)
 
     def descriptor(self, token: str) -> str | None:
         if token not in self.memo:
@@ -85,20 +117,24 @@ class Namer:
         if t in self.known:
             return t
         if len(t) >= 3:
-            full = [d for d in self.descriptors if d.startswith(t)]
+            i, full = bisect_left(self.descriptors, t), []
+            while i < len(self.descriptors) and self.descriptors[i].startswith(t):
+                full.append(self.descriptors[i])
+                i += 1
             if full:
                 return min(full, key=len)
         if len(t) >= 4:
-            near = [d for d in self.descriptors if len(d) >= 4 and _near(t, d)]
+            close = sorted({d for form in _shortened(t) for d in self.near.get(form, ())})
+            near = [d for d in close if len(d) >= 4 and _near(t, d)]
             if near:
                 return near[0]
-            cut = [d for d in self.descriptors if len(t) >= 6 and len(d) > len(t) and _near(t, d[: len(t)])]
+            cut = [d for d in close if len(t) >= 6 and len(d) > len(t) and _near(t, d[: len(t)])]
             if cut:
                 return cut[0]
         if 3 <= len(t) <= 4 and sum(c in "aeiou" for c in t) <= 1:
-            for d in self.descriptors:
+            for d in self.first.get(t[0], ()):
                 rest = iter(d)
-                if d[0] == t[0] and len(d) > len(t) + 2 and all(c in rest for c in t):
+                if len(d) > len(t) + 2 and all(c in rest for c in t):
                     return d
         return None
 
@@ -124,42 +160,56 @@ def _hamming(a: Column, b: Column) -> Column:
     return sum((F.bit_count(a[i].bitwiseXOR(b[i])) for i in range(_BITS // 64)), F.lit(0))
 
 
-def descriptor_words(names: DataFrame, column: str, least: int = 2, most: int = 5_000) -> list[str]:
-    """Words that follow at least ``least`` different first words; the ``most`` frequent of them."""
+def descriptor_words(names: DataFrame, column: str, least: int, heads: DataFrame | None = None, most: int = 100_000) -> list[str]:
+    """Words that follow at least ``least`` different first words, one of them of ``heads`` (a column ``head``) if that
+    is given: the broken end of a name follows none. They are the language's words for kinds of business and are broadcast; more than ``most`` are refused."""
     parts = names.select(F.expr(f"filter(split(lower(`{column}`), '[^a-z0-9]+'), x -> x <> '')").alias("p")).filter(F.size("p") > 1)
-    tails = parts.select(F.col("p")[0].alias("head"), F.explode(F.slice("p", 2, 100)).alias("w")).filter(~F.col("w").isin(*_STOP) & (F.length("w") > 2))
-    rows = tails.groupBy("w").agg(F.countDistinct("head").alias("n")).filter(F.col("n") >= least).orderBy(F.col("n").desc(), "w").limit(most)
-    return [r["w"] for r in rows.collect()]
-
-
-def _prepared(rows: DataFrame, key: str, code: str, namer, schema_types: dict[str, str]) -> DataFrame:
-    """Adds own part, business words, code and their vectors to distinct rows."""
+    tails = parts.select(F.col("p")[0].alias("head"), F.explode(F.slice("p", 2, 100)).alias("w")).filter(~F.col("w").isin(*_STOP) & (F.length("w") > 2)).distinct()
+    tails = tails.join(heads.withColumn("_in", F.lit(1)), "head", "left") if heads is not None else tails.withColumn("_in", F.lit(1))
+    rows = tails.groupBy("w").agg(F.count("*").alias("n"), F.count("_in").alias("known")).filter((F.col("n") >= least) & (F.col("known") > 0)).limit(most + 1).collect()
+    if len(rows) > most:
+        raise ValueError(f"more than {most} business words")
+    return sorted(r["w"] for r in rows)
+
+
+def _prepared(rows: DataFrame, key: str, code: str, namer) -> DataFrame:
+    """Distinct rows as own part, business words, code, their vectors and the other fields. Of rows that agree in
+    all of these the one with the smallest key stands for all: the others could only tie with it."""
+    key_type = dict(rows.dtypes)[key]
     schema = (
-        f"`{key}` {schema_types[key]}, own string, business string, code string, bones string, industry string, face double, "
-        "listed date, own_v array<bigint>, business_v array<bigint>, code_v array<bigint>"
+        f"key {key_type}, own string, business string, code string, bones string, industry string, face double, "
+        "listed date, own_v array<bigint>, code_v array<bigint>, business_v array<bigint>, own_n int, code_n int"
     )
 
     def prepare(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         reader = Namer(namer.value)
+        strings = lambda values: pd.Series(list(values), dtype=object)
         for frame in frames:
             split = [reader.split(n) for n in frame["company_name"]]
-            codes = [re.sub(r"[^a-z0-9]", "", c.lower()) if isinstance(c, str) else None for c in frame["_code"]]
+            codes = [re.sub(r"[^a-z0-9]", "", c.lower()) or None if isinstance(c, str) else None for c in frame["_code"]]
+            own_v, code_v = [vector(o) for o, _ in split], [vector(c or "") for c in codes]
             yield pd.DataFrame({
-                key: frame["_key"], "own": [o for o, _ in split], "business": [b for _, b in split], "code": codes,
-                "bones": [re.sub(r"[aeiou]", "", o) for o, _ in split], "industry": frame["industry"],
-                "face": frame["face_value"].astype("float64"), "listed": frame["listed_on"],
-                "own_v": [vector(o) for o, _ in split], "business_v": [vector(b) for _, b in split], "code_v": [vector(c or "") for c in codes],
+                "key": frame["_key"].reset_index(drop=True), "own": strings(o for o, _ in split), "business": strings(b for _, b in split), "code": strings(codes),
+                "bones": strings(re.sub(r"[aeiou]", "", o) for o, _ in split), "industry": strings(frame["industry"]),
+                "face": frame["face_value"].astype("float64").reset_index(drop=True), "listed": frame["listed_on"].reset_index(drop=True),
+                "own_v": strings(own_v), "code_v": strings(code_v), "business_v": strings(vector(b) for _, b in split),
+                "own_n": pd.Series([len(bands(v)) for v in own_v], dtype="int32"), "code_n": pd.Series([len(bands(v)) for v in code_v], dtype="int32"),
             })
 
     picked = rows.select(F.col(key).alias("_key"), "company_name", F.col(code).alias("_code"), "industry", "face_value", "listed_on")
-    return picked.filter("_key is not null and company_name is not null").distinct().mapInPandas(prepare, schema)
+    made = picked.filter("_key is not null and company_name is not null").distinct().mapInPandas(prepare, schema)
+    fields = ["own", "business", "code", "industry", "face", "listed"]
+    kept = made.groupBy(*fields).agg(F.min("key").alias("key"), *[F.first(c).alias(c) for c in ("bones", "own_v", "code_v", "business_v", "own_n", "code_n")])
+    return kept.withColumn("id", F.xxhash64("key", *fields))
 
 
 #: Levels of agreement per field, worst to best; 1 is "unknown".
-FIELDS = {"own": 3, "business": 4, "code": 4, "industry": 3, "listed": 4, "face": 3}
+FIELDS = {"own": 4, "business": 4, "code": 4, "industry": 3, "listed": 4, "face": 3}
+#: The Dice score from which close values count as much alike: one typing error in seven letters.
+ALIKE = 0.7
 #: Where the estimation starts: P(level | same), P(level | different).
 _START = {
-    "own": ((0.05, 0.2, 0.75), (0.1, 0.1, 0.8)),
+    "own": ((0.05, 0.02, 0.18, 0.75), (0.1, 0.07, 0.03, 0.8)),
     "business": ((0.01, 0.09, 0.1, 0.8), (0.85, 0.09, 0.03, 0.03)),
     "code": ((0.03, 0.2, 0.37, 0.4), (0.5, 0.2, 0.295, 0.005)),
     "industry": ((0.02, 0.2, 0.78), (0.7, 0.2, 0.1)),
@@ -197,13 +247,81 @@ def fit_confidence(patterns: dict[tuple[int, ...], int], expected: int, rounds:
     return {p: posterior(p) for p in product(*(range(k) for k in FIELDS.values()))}
 
 
-def _compatible(lhs: DataFrame, rhs: DataFrame, same: Column) -> DataFrame:
-    """The pairs with ``same`` that share a business word or have none on either side, once each."""
-    l_word, r_word = lhs.withColumn("_lw", F.explode(F.split("l_business", " "))), rhs.withColumn("_rw", F.explode(F.split("r_business", " ")))
-    shared = F.array_intersect(F.split("l_business", " "), F.split("r_business", " "))
-    by_word = l_word.join(r_word, same & (F.col("_lw") == F.col("_rw"))).filter(F.col("_lw") == shared[0]).drop("_lw", "_rw")
-    left_open = lhs.filter("l_business = ''").join(rhs.filter("r_business <> ''"), same)
-    return by_word.unionByName(left_open).unionByName(lhs.filter("l_business <> ''").join(rhs.filter("r_business = ''"), same))
+def _close(lv: Column, rv: Column, ln: Column, rn: Column) -> Column:
+    most = F.greatest(ln, rn)
+    allowed = F.when(most >= 8, 6).when(most >= 5, 4).when(most >= 3, 2).otherwise(0)  # radius()
+    return (ln > 0) & (rn > 0) & (_hamming(lv, rv) <= allowed)
+
+
+def close_values(left: DataFrame, right: DataFrame, field: str) -> DataFrame:
+    """All pairs (``lv``, ``rv``) of values of ``field`` whose vectors are close, equal ones included, by multi-index
+    hashing over the distinct values of both sides and a check. However many rows hold a value it is looked
+    up once; the keys widen with the logarithm of the number of values."""
+    sides = [df.filter(F.col(f"{field}_n") > 0).select(F.col(field).alias("v"), F.col(f"{field}_v").alias("x"), F.col(f"{field}_n").alias("n")).distinct() for df in (left, right)]
+    both = sides[0].unionByName(sides[1]).distinct()
+    kinds = F.udf(bands, "array<int>", useArrow=True)
+    rank = {r["t"]: r["count"] for r in both.select(F.explode(kinds("x")).alias("t")).groupBy("t").count().collect()}  # at most _BANDS << _BAND
+    width = max(2, min(5, math.ceil(math.log2(max(2, both.count())) / 8)))
+    shared = left.sparkSession.sparkContext.broadcast((rank, width))
+    keys = F.udf(lambda x: band_keys(x, *shared.value), "array<bigint>", useArrow=True)
+    lhs, rhs = (df.select("v", "x", "n", F.explode(keys("x")).alias("_key")) for df in sides)
+    lhs, rhs = (df.select("_key", *[F.col(c).alias(f"{side}{c}") for c in ("v", "x", "n")]) for df, side in ((lhs, "l"), (rhs, "r")))
+    found = lhs.join(rhs, "_key").filter(_close(F.col("lx"), F.col("rx"), F.col("ln"), F.col("rn"))).select("lv", "rv").distinct()
+    return stored(found, f"close_{field}")
+
+
+_ANY = -10_000_000
+
+
+def _keyed(rows: DataFrame, left: bool) -> DataFrame:
+    """Rows per key of the second level. ``b``: business words, so placed that two rows share one if their words
+    don't contradict each other (a word in common, or none on one side), and one key for whatever words, whose
+    pairs can't come out but teach what the fields tell. ``t``: any time, and the 32 days of the listing with
+    those around it (left) or itself (right)."""
+    words = F.filter(F.split("business", " "), lambda w: w != "")
+    none = F.size(words) == 0
+    marks = lambda *m: F.array(*map(F.lit, m))
+    by_word = F.when(none, marks("#", "?")).otherwise(F.concat(words, marks("*", "?"))) if left else F.when(none, marks("*", "#", "?")).otherwise(F.concat(words, marks("#", "?")))
+    bucket = F.floor(F.unix_date("listed") / 32).cast("int")
+    around = F.transform(F.array(*([F.lit(-1)] if left else []), F.lit(0), *([F.lit(1)] if left else [])), lambda d: bucket + d)
+    times = F.concat(F.array(F.lit(None).cast("int")), F.when(F.col("listed").isNotNull(), around).otherwise(F.array().cast("array<int>")))
+    out = rows.select("id", "key", "own", "code", "industry", "face", "listed", "bones", F.explode(by_word).alias("b"), times.alias("ts"))
+    return out.select("*", F.explode("ts").alias("t")).withColumn("t", F.coalesce("t", F.lit(_ANY))).drop("ts").filter(f"b <> '?' or t = {_ANY}")
+
+
+def _standing(rows: DataFrame, field: str) -> DataFrame:
+    """Of keyed rows with one value of ``field`` that no field sets apart for a partner that is not close in the
+    other name field, the one with the smallest key: the others could only tie with it."""
+    other = "code" if field == "own" else "own"
+    day = F.when(F.col("t") == _ANY, F.col("listed").isNull().cast("int")).otherwise(F.unix_date("listed"))
+    kept = rows.groupBy(field, "b", "t", "industry", "face", (F.coalesce(other, F.lit("")) == "").alias("_n"), day.alias("_d")).agg(F.min(F.struct("key", "id")).alias("m"))
+    return kept.select(field, "b", "t", F.col("m.id").alias("id"))
+
+
+def candidate_pairs(a: DataFrame, b: DataFrame) -> DataFrame:
+    """Pairs of ids (``_l``, ``_r``) of prepared rows: close in one name field and standing for their kind, from
+    either side, or close in both name fields."""
+    close = {field: close_values(a, b, field) for field in ("own", "code")}
+
+    la, rb = stored(_keyed(a, True), "left_keys"), stored(_keyed(b, False), "right_keys")
+    found = []
+    for field in ("own", "code"):
+        for lhs, rhs in ((la, _standing(rb, field)), (_standing(la, field), rb)):
+            lhs, rhs = lhs.select(F.col("id").alias("_l"), F.col(field).alias("lv"), "b", "t"), rhs.select(F.col("id").alias("_r"), F.col(field).alias("rv"), "b", "t")
+            found.append(lhs.join(close[field], "lv").join(rhs, ["rv", "b", "t"]).select("_l", "_r"))
+    once = (F.col("t") == _ANY) & (F.col("b") != "?")
+    starts = F.transform(F.sequence(F.lit(1), F.length("code")), lambda n: F.substring(F.col("code"), F.lit(1), n))
+    codes = F.array_distinct(F.concat(F.when(F.length("code") > 0, starts).otherwise(F.array().cast("array<string>")), F.array("bones")))
+    links = rb.filter(once).select(F.col("id").alias("_r"), F.col("own").alias("rv"), "b", F.explode(codes).alias("_code"))
+    links = links.unionByName(rb.filter(once).join(close["code"].select(F.col("rv").alias("code"), F.col("lv").alias("_code")), "code").select(F.col("id").alias("_r"), F.col("own").alias("rv"), "b", "_code"))
+    found.append(
+        la.filter(once & (F.length("code") > 0)).select(F.col("id").alias("_l"), F.col("own").alias("lv"), "b", F.col("code").alias("_code"))
+        .join(close["own"], "lv").join(links, ["rv", "b", "_code"]).select("_l", "_r")
+    )
+    ids = found[0]
+    for more in found[1:]:
+        ids = ids.unionByName(more)
+    return stored(ids.distinct(), "candidates")
 
 
 def match_companies(left: DataFrame, right: DataFrame, left_key: str, right_key: str, left_code: str, right_code: str) -> DataFrame:
@@ -211,95 +329,75 @@ def match_companies(left: DataFrame, right: DataFrame, left_key: str, right_key:
     ``own_dice``, ``business_dice``, ``code_dice``.
 
     Both sides need company_name, industry, face_value, listed_on and a code (a ticker or short name).
-    The name's own part, its business words and the code become fixed bit vectors of their bigrams.
-    Candidates: the pairs of the same own part or code by equality, and, for all left rows, the pairs whose
-    own-part or code vectors differ in at most ``RADIUS`` bits, by multi-index hashing and checked. Dice scores per field become levels of agreement;
-    how much each level tells is estimated from all candidate pairs, which yields a calibrated
+    The name's own part, its business words and the code become fixed bit vectors of their letter pairs.
+    Candidates are the rows whose own parts or codes are close: all pairs of values within the radius, found
+    exactly by multi-index hashing. Dice scores per field become levels of agreement; how much each level
+    weighs is estimated from the candidates, and the weighted sum is the log-odds behind a calibrated
     confidence. A pair comes out if its confidence is at least one half, its business words don't
     contradict each other, and it is the best for both of its records.
 
-    A group with more than ``GROUP`` rows is joined by own part and business word, so no group emits all
-    its pairs; hashing works on distinct vectors. Only word and pattern counts reach the driver, both
-    bounded. Defined results: rows without key or name match nothing; repeated rows count once; several
-    rows per key are compared each, and the key's best one counts; ties go to the smaller keys; missing
-    fields neither help nor harm; empty tables give an empty result; extra columns are ignored.
+    Hot values: rows equal in all fields stand once; two values that are close don't pair all their rows but
+    those that share a business word (or leave it open) and are close in the other name field too, and
+    otherwise each row with the few that stand for all rows it can't tell apart (``_standing``, on either side).
+    The best partner of every row is among these, so nothing is lost, at any size. Only word, band and
+    pattern counts reach the driver, all bounded. Defined results: rows without key or name match nothing;
+    repeated rows count once; several rows per key are compared each, and the key's best one counts; ties go
+    to the smaller keys; missing fields neither help nor harm; empty tables give an empty result; extra
+    columns are ignored.
     """
     spark = left.sparkSession
-    words = descriptor_words(right.select("company_name"), "company_name")
-    reader = Namer(words)  # and frequent words of the other list that can't be read as one of these
-    least = max(3, left.count() // 500)
-    words += [w for w in descriptor_words(left.select("company_name"), "company_name", least) if reader.descriptor(w) is None]
+    words = descriptor_words(right.select("company_name"), "company_name", 2)
+    reader = Namer(words)  # and words of the other list that can't be read as one of these
+    heads = right.select(F.regexp_extract(F.lower("company_name"), "[a-z0-9]+", 0).alias("head")).distinct()
+    words += [w for w in descriptor_words(left.select("company_name"), "company_name", 3, heads) if reader.descriptor(w) is None]
     namer = spark.sparkContext.broadcast(words)
-    a = stored(_prepared(left, left_key, left_code, namer, dict(left.dtypes)).withColumnRenamed(left_key, "_lk"), "left")
-    b = stored(_prepared(right, right_key, right_code, namer, dict(right.dtypes)).withColumnRenamed(right_key, "_rk"), "right")
-    lhs = a.select(*[F.col(c).alias(f"l_{c}") if c != "_lk" else F.col(c) for c in a.columns])
-    rhs = b.select(*[F.col(c).alias(f"r_{c}") if c != "_rk" else F.col(c) for c in b.columns])
-
-    # Same own part. In small groups all pairs are looked at, also contradicting ones, which teach what
-    # the fields tell; in a group of many rows only pairs that share a business word or leave it open.
-    big = stored(rhs.groupBy("r_own").count().filter(F.col("count") > GROUP).select(F.col("r_own").alias("_own")), "big")
-    same = F.col("l_own") == F.col("r_own")
-    by_own = lhs.filter("l_own <> ''").join(rhs.join(big, F.col("r_own") == F.col("_own"), "left_anti"), same)
-    l_big, r_big = lhs.join(big, F.col("l_own") == F.col("_own"), "left_semi"), rhs.join(big, F.col("r_own") == F.col("_own"), "left_semi")
-    by_own = by_own.unionByName(_compatible(l_big, r_big, same))
-    by_code = lhs.join(rhs, (F.col("l_code") == F.col("r_code")) & (F.length("l_code") >= 5))
-    first = by_own.unionByName(by_code).distinct()
-
-    # which industries of the left list go with which business: from pairs that agree in all of the name
-    sure = by_own.filter("l_business = r_business and l_industry is not null")
-    kinds = sure.groupBy("l_industry", "r_business").count().withColumn(
+    a = stored(_prepared(left, left_key, left_code, namer), "left")
+    b = stored(_prepared(right, right_key, right_code, namer), "right")
+    ids = candidate_pairs(a, b)
+
+    # which industries of the left list go with which business: from rows that agree in all of the name
+    sure = a.filter("industry is not null and own <> ''").join(b.select("own", "business").distinct(), ["own", "business"], "left_semi")
+    kinds = sure.groupBy(F.col("industry").alias("l_industry"), F.col("business").alias("r_business")).count().withColumn(
         "_share", F.col("count") / F.sum("count").over(Window.partitionBy("r_business"))
     ).filter("_share >= 0.02")
     kinds = stored(kinds.select("l_industry", "r_business", F.lit(1).alias("_goes")), "kinds")
     seen = kinds.groupBy("r_business").agg(F.lit(1).alias("_seen"))
-
     # business words that are the whole business of some right row are not a cut form of more words
-    whole = rhs.select(F.col("r_business").alias("l_business")).distinct().withColumn("_whole", F.lit(1))
-
-    def levels(pairs: DataFrame) -> DataFrame:
-        pairs = pairs.join(whole, "l_business", "left").join(kinds, ["l_industry", "r_business"], "left").join(seen, "r_business", "left")
-        own, code = _dice(F.col("l_own_v"), F.col("r_own_v")), _dice(F.col("l_code_v"), F.col("r_code_v"))
-        business = _dice(F.col("l_business_v"), F.col("r_business_v"))
-        l_set, r_set = F.split("l_business", " "), F.split("r_business", " ")
-        shared = F.size(F.array_intersect(l_set, r_set))
-        days = F.abs(F.datediff("l_listed", "r_listed"))
-        l_code, r_code = F.col("l_code"), F.col("r_code")
-        # a code made of the left row's own name supports that name, not a similar one
-        elsewhere = (F.col("l_own") != F.col("r_own")) & (F.length("l_own") >= 5) & l_code.startswith(F.col("l_own")) & (l_code != r_code)
-        return pairs.withColumns({"own_dice": own, "business_dice": business, "code_dice": code}).withColumns({
-            "own": F.when(F.col("l_own") == F.col("r_own"), 2).when(F.col("own_dice") >= 0.5, 1).otherwise(0),
-            "business": F.when(F.col("l_business") == F.col("r_business"), 3)
-            .when((F.col("l_business") == "") | (F.col("r_business") == ""), 1)
-            .when((shared > 0) & (shared == F.size(l_set)) & F.col("_whole").isNull(), 2).otherwise(0),
-            "code": F.when(l_code.isNull() | (l_code == "") | r_code.isNull(), 1).when(l_code == r_code, 3).when(elsewhere, 0)
-            .when(r_code.startswith(l_code) | (l_code == F.col("r_bones")) | (F.levenshtein(l_code, r_code) <= 2), 2).otherwise(0),
-            "industry": F.when(F.col("_goes") == 1, 2).when(F.col("l_industry").isNull() | F.col("_seen").isNull(), 1).otherwise(0),
-            "listed": F.when(days.isNull(), 1).when(days == 0, 3).when(days <= 31, 2).otherwise(0),
-            "face": F.when(F.col("l_face").isNull() | F.col("r_face").isNull() | F.isnan("l_face") | F.isnan("r_face"), 1).when(F.col("l_face") == F.col("r_face"), 2).otherwise(0),
-        }).select("_lk", "_rk", *FIELDS, "own_dice", "business_dice", "code_dice")
-
-    stage1 = stored(levels(first), "pairs")
-    keys = F.udf(band_keys, "array<bigint>", useArrow=True)
-    hashed = []
-    for field in ("own", "code"):
-        probe = lhs.filter(F.length(f"l_{field}") >= 5).select(F.col(f"l_{field}_v").alias("_lv")).distinct()
-        index = rhs.filter(F.length(f"r_{field}") >= 5).select(F.col(f"r_{field}_v").alias("_rv")).distinct()
-        close = probe.select("_lv", F.explode(keys("_lv")).alias("_key")).join(index.select("_rv", F.explode(keys("_rv")).alias("_key")).hint("merge"), "_key")
-        close = close.filter(_hamming(F.col("_lv"), F.col("_rv")) <= RADIUS).select("_lv", "_rv").distinct()
-        pairs = lhs.join(close, F.col(f"l_{field}_v") == F.col("_lv")).join(rhs, F.col("_rv") == F.col(f"r_{field}_v"))
-        hashed.append(pairs.filter(F.col(f"l_{field}") != F.col(f"r_{field}")).drop("_lv", "_rv"))  # equal ones are in the first stage
-    stage2 = stored(levels(hashed[0].unionByName(hashed[1]).distinct()), "near")
-
-    pairs = stage1.unionByName(stage2).distinct()
+    whole = b.select(F.col("business").alias("l_business")).distinct().withColumn("_whole", F.lit(1))
+
+    lhs = a.select(*[F.col(c).alias(f"l_{c}") for c in a.columns if c != "id"], F.col("id").alias("_l"))
+    rhs = b.select(*[F.col(c).alias(f"r_{c}") for c in b.columns if c != "id"], F.col("id").alias("_r"))
+    pairs = ids.join(lhs, "_l").join(rhs, "_r")
+    pairs = pairs.join(whole, "l_business", "left").join(kinds, ["l_industry", "r_business"], "left").join(seen, "r_business", "left")
+    near_own = _close(F.col("l_own_v"), F.col("r_own_v"), F.col("l_own_n"), F.col("r_own_n"))
+    near_code = _close(F.col("l_code_v"), F.col("r_code_v"), F.col("l_code_n"), F.col("r_code_n")) & (_dice(F.col("l_code_v"), F.col("r_code_v")) >= ALIKE)
+    l_set, r_set = F.split("l_business", " "), F.split("r_business", " ")
+    shared = F.size(F.array_intersect(l_set, r_set))
+    days = F.abs(F.datediff("l_listed", "r_listed"))
+    l_code, r_code = F.col("l_code"), F.col("r_code")
+    # a code made of the left row's own name supports that name, not a similar one
+    elsewhere = (F.col("l_own") != F.col("r_own")) & (F.length("l_own") >= 5) & l_code.startswith(F.col("l_own")) & (l_code != r_code)
+    pairs = pairs.withColumns({f"{f}_dice": _dice(F.col(f"l_{f}_v"), F.col(f"r_{f}_v")) for f in ("own", "business", "code")}).withColumns({
+        "own": F.when(F.col("l_own") == F.col("r_own"), 3).when(near_own & (F.col("own_dice") >= ALIKE), 2).when(near_own, 1).otherwise(0),
+        "business": F.when(F.col("l_business") == F.col("r_business"), 3)
+        .when((F.col("l_business") == "") | (F.col("r_business") == ""), 1)
+        .when((shared > 0) & (shared == F.size(l_set)) & F.col("_whole").isNull(), 2).otherwise(0),
+        "code": F.when(l_code.isNull() | r_code.isNull(), 1).when(l_code == r_code, 3).when(elsewhere, 0)
+        .when(r_code.startswith(l_code) | (l_code == F.col("r_bones")) | near_code, 2).otherwise(0),
+        "industry": F.when(F.col("_goes") == 1, 2).when(F.col("l_industry").isNull() | F.col("_seen").isNull(), 1).otherwise(0),
+        "listed": F.when(days.isNull(), 1).when(days == 0, 3).when(days <= 31, 2).otherwise(0),
+        "face": F.when(F.col("l_face").isNull() | F.col("r_face").isNull() | F.isnan("l_face") | F.isnan("r_face"), 1).when(F.col("l_face") == F.col("r_face"), 2).otherwise(0),
+    })
+    pairs = stored(pairs.select(F.col("l_key").alias("_lk"), F.col("r_key").alias("_rk"), *FIELDS, "own_dice", "business_dice", "code_dice"), "pairs")
+
     patterns = {tuple(r[f] for f in FIELDS): r["count"] for r in pairs.groupBy(*FIELDS).count().collect()}
-    confidence = fit_confidence(patterns, a.select("_lk").distinct().count())
+    confidence = fit_confidence(patterns, a.select("key").distinct().count())
     table = spark.createDataFrame([(*p, float(c)) for p, c in confidence.items()], ", ".join(f"{f} int" for f in FIELDS) + ", confidence double")
-    scored = pairs.join(table, list(FIELDS))
-    strength = F.coalesce("own_dice", F.lit(0.0)) + F.coalesce("business_dice", F.lit(0.0)) + F.coalesce("code_dice", F.lit(0.0))
-    scored = scored.filter("confidence >= 0.5 and business >= 1").withColumn("_s", strength)
-    best = F.struct(-F.col("confidence"), -F.col("_s"), F.col("_lk"), F.col("_rk"))
-    scored = scored.withColumns({
-        "_bl": F.min(best).over(Window.partitionBy("_lk")), "_br": F.min(best).over(Window.partitionBy("_rk")), "_me": best,
+    scored = pairs.join(table, list(FIELDS)).filter("confidence >= 0.5 and business >= 1")
+    strength = F.when(F.col("own") >= 1, F.col("own_dice")).otherwise(0.0) + F.coalesce("business_dice", F.lit(0.0)) + F.when(F.col("code") >= 2, F.col("code_dice")).otherwise(0.0)
+    best = F.struct(-F.col("confidence"), -strength, F.col("_lk"), F.col("_rk"))
+    scored = scored.withColumn("_me", best).withColumns({
+        "_bl": F.min("_me").over(Window.partitionBy("_lk")), "_br": F.min("_me").over(Window.partitionBy("_rk")),
     }).filter((F.col("_bl") == F.col("_me")) & (F.col("_br") == F.col("_me")))
     return scored.select(
         F.col("_lk").alias(left_key), F.col("_rk").alias(right_key), "confidence", "own_dice", "business_dice", "code_dice"

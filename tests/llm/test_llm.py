@@ -49,12 +49,6 @@ def test_companies_empty(companies):
     assert _match(companies[0], companies[1].limit(0)).count() == 0
 
 
-def test_large_groups_give_the_same(companies, monkeypatch):
-    want = {(r["bse_code"], r["nse_symbol"]) for r in _match(*companies).collect()}
-    monkeypatch.setattr(matching, "GROUP", 1)
-    assert {(r["bse_code"], r["nse_symbol"]) for r in _match(*companies).collect()} == want
-
-
 def test_a_near_name_that_agrees_better_beats_the_same_name(spark, companies):
     left = companies[0].unionByName(spark.createDataFrame([("10", "Zinmorub Telecom", None, "Telecom", 10.0, D)], LEFT))
     more = spark.createDataFrame([("ZINMORUTE", "Zinmorub Telecom", None, None, None), ("ZINMOURTE", "Zinmourb Telecom", "Telecom", 10.0, D)], RIGHT)
@@ -62,29 +56,85 @@ def test_a_near_name_that_agrees_better_beats_the_same_name(spark, companies):
     assert {r["nse_symbol"] for r in got if r["bse_code"] == "10"} == {"ZINMOURTE"}
 
 
-def test_large_groups_give_the_same_without_business_words(spark, companies, monkeypatch):
+def test_large_groups_keep_pairs_without_business_words(spark, companies):
     rows = [("20", "Vudo Ceramics", None, None, 10.0, D), ("21", "Zerri", None, None, 10.0, D), ("22", "Moppa", None, None, 10.0, D), ("23", "Sukki Paper Mills", None, None, 10.0, D)]
     more = [("VUDO", "Vudo", None, 10.0, D), ("ZERRICE", "Zerri Ceramics", None, 10.0, D), ("MOPPA", "Moppa", None, 10.0, D), ("SUKKIPA", "Sukki Paper Mills", None, 10.0, D)]
-    more += [(f"{s}X", f"{s.title()} Foods", "Foods", 5.0, dt.date(1990, 5, 5)) for s in ("VUDO", "ZERRI", "MOPPA", "SUKKI")]
+    more += [(f"{s}X{i}", f"{s.title()} Foods", "Foods", 5.0, dt.date(1990, 5, 5)) for s in ("VUDO", "ZERRI", "MOPPA", "SUKKI") for i in range(260)]
     left = companies[0].unionByName(spark.createDataFrame(rows, LEFT))
     right = companies[1].unionByName(spark.createDataFrame(more, RIGHT).withColumn("_code", F.col("nse_symbol")))
-    got = []
-    for most in (10**9, 1):
-        monkeypatch.setattr(matching, "GROUP", most)
-        got.append({(r["bse_code"], r["nse_symbol"]) for r in _match(left, right).collect()})
-    assert got[0] == got[1] and {("20", "VUDO"), ("21", "ZERRICE"), ("22", "MOPPA"), ("23", "SUKKIPA")} <= got[0]
+    got = {(r["bse_code"], r["nse_symbol"]) for r in _match(left, right).collect()}
+    assert {("20", "VUDO"), ("21", "ZERRICE"), ("22", "MOPPA"), ("23", "SUKKIPA")} <= got
+
+
+def test_one_name_does_not_pair_all_its_rows(spark):
+    rng = random.Random(3)
+    day = lambda: dt.date(1990, 1, 1) + dt.timedelta(days=rng.randrange(9000))
+    left = spark.createDataFrame([(f"L{i}", "Acmefirm Foods Ltd", "".join(rng.choices("BCDFGHKLMNPRST", k=9)), "Foods", float(rng.choice([1, 2, 10])), rng.choice([None, day()])) for i in range(300)], LEFT)
+    right = spark.createDataFrame([(f"R{i}", rng.choice(["Acmefirm Foods", "Acmefirm"]), "Foods", float(rng.choice([1, 2, 10])), day()) for i in range(400)], RIGHT).withColumn("_code", F.concat(F.lit("QX"), F.col("nse_symbol"), F.lit("ZZ")))
+    namer = spark.sparkContext.broadcast(["foods"])
+    a, b = matching._prepared(left, "bse_code", "scrip_name", namer), matching._prepared(right, "nse_symbol", "_code", namer)
+    n = matching.candidate_pairs(a, b).count()
+    assert 700 <= n < 20_000
+
+
+@pytest.mark.parametrize("width", [2, 3, 4])
+def test_close_values_are_found_exactly(width):
+    rng = random.Random(width)
+    words = {"".join(rng.choices("abcdefghij", k=rng.randint(1, 11))) for _ in range(150)}
+    for w in list(words):
+        for _ in range(3):
+            i = rng.randrange(len(w))
+            words.add(rng.choice([w[:i] + w[i + 1 :], w[:i] + "k" + w[i:], w[:i] + "k" + w[i + 1 :], w[:i] + w[i + 1 : i + 2] + w[i : i + 1] + w[i + 2 :]]) or "k")
+    vectors = {w: matching.vector(w) for w in words}
+    rank = {}
+    for v in vectors.values():
+        for t in matching.bands(v):
+            rank[t] = rank.get(t, 0) + 1
+    keys = {w: set(matching.band_keys(v, rank, width)) for w, v in vectors.items()}
+    n = 0
+    for a, b in ((a, b) for a in words for b in words):
+        distance = sum(bin((x ^ y) & (2**64 - 1)).count("1") for x, y in zip(vectors[a], vectors[b]))
+        if distance <= matching.radius(max(len(matching.bands(vectors[a])), len(matching.bands(vectors[b])))):
+            n += 1
+            assert keys[a] & keys[b], (a, b)
+    assert n > 3 * len(words)
 
 
 @settings(max_examples=150, deadline=None)
-@given(st.text("abdegiklmnoprtuvwyz", min_size=8, max_size=12), st.integers(0, 3), st.integers(0, 7), st.sampled_from("abkz"))
-def test_one_typing_error_shares_a_key(word, kind, at, letter):
+@given(st.text("abdegiklmnoprtuvwyz", min_size=4, max_size=12), st.integers(0, 3), st.integers(0, 3), st.sampled_from("abkz"))
+def test_one_typing_error_is_close(word, kind, at, letter):
     other = [word[:at] + letter + word[at + 1 :], word[:at] + letter + word[at:], word[:at] + word[at + 1 :], word[:at] + word[at + 1 : at + 2] + word[at : at + 1] + word[at + 2 :]][kind]
-    a, b = matching.vector(word), matching.vector(other)
-    distance = sum(bin((x ^ y) & (2**64 - 1)).count("1") for x, y in zip(a, b))
-    assert distance <= matching.RADIUS
-    filled = sum(1 for w in a for i in range(16) if (w >> (4 * i)) & 15)
-    if filled >= distance + 2:
-        assert set(matching.band_keys(a)) & set(matching.band_keys(b))
+    assert len(matching.grams(word) ^ matching.grams(other)) <= 4
+
+
+def test_confidences_are_calibrated(spark):
+    """Planted truth: of the pairs at a confidence about that share is true."""
+    rng = random.Random(11)
+    kinds = ["Ceramics", "Telecom", "Foods", "Paper Mills", "Chemicals"]
+    names = ["".join(rng.choice("bdfgjklmnprstvz") + rng.choice("aeiou") for _ in range(4)) for _ in range(700)]
+    right, left = [], []
+    for i, n in enumerate(names):
+        kind, day, face = rng.choice(kinds), dt.date(1990, 1, 1) + dt.timedelta(days=rng.randrange(12000)), rng.choice([1.0, 2.0, 10.0])
+        right.append((f"{n.upper()}{kind[:2].upper()}{i}", f"{n.title()} {kind} Limited", kind, face, day))
+        if rng.random() < 0.3:  # another company of the house
+            other = rng.choice([k for k in kinds if k != kind])
+            right.append((f"{n.upper()}{other[:2].upper()}{i}", f"{n.title()} {other} Limited", other, rng.choice([1.0, 2.0, 10.0]), dt.date(1990, 1, 1) + dt.timedelta(days=rng.randrange(12000))))
+        m = list(n)
+        if rng.random() < 0.3:
+            at = rng.randrange(len(m) - 1)
+            m[at : at + 2] = m[at + 1], m[at]
+        word = kind if rng.random() < 0.7 else ""
+        left.append((str(i), f"{''.join(m).title()} {word} Ltd", rng.choice([None, f"{n.upper()}{kind[:2].upper()}{i}"[: rng.randint(6, 11)]]), rng.choice([None, kind]), rng.choice([None, face]), rng.choice([None, day, day])))
+    got = _match(spark.createDataFrame(left, LEFT), spark.createDataFrame(right, RIGHT).withColumn("_code", F.col("nse_symbol"))).collect()
+    true = {str(i): {r[0] for r in right if r[0].endswith(str(i)) and r[1].lower().startswith(names[i])} for i in range(700)}
+    first = {str(i): next(r[0] for r in right if r[1].lower().startswith(names[i]) and re.search(rf"[A-Z]{i}$", r[0])) for i in range(700)}
+    hits = [(r["confidence"], first[r["bse_code"]] == r["nse_symbol"]) for r in got]
+    assert true and len(hits) >= 630
+    for low, high in ((0.5, 0.9), (0.9, 1.01)):
+        part = [(c, h) for c, h in hits if low <= c < high]
+        if len(part) >= 20:
+            assert abs(sum(c for c, _ in part) / len(part) - sum(h for _, h in part) / len(part)) < 0.15
+    assert sum(h for _, h in hits) / len(hits) > 0.95
 
 
 # 2 splitting --------------------------------------------------------------------------------------
