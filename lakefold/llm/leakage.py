@@ -8,12 +8,13 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lakefold.session import stored
 
-_TAG = re.compile(r"<[^<>\n]{1,100}>")
+_TAG = re.compile(r"<[A-Za-z/!?][^<>]*>")
 _WORD = re.compile(r"[^\W_]+")
 _DROPPED = dict.fromkeys(map(ord, "­​‌‍﻿"))
 
@@ -40,54 +41,62 @@ def sure_run(window: int, span: int) -> int:
     return best
 
 
-def build_index(docs: DataFrame, doc_id: str, text: str, terms: dict[str, int], segment_docs: int = 256) -> DataFrame:
-    """The positional inverted index of ``docs`` over the terms of the test items, in segments.
+def term_hash(word: str) -> int:
+    """The number a word has in index and items: 64 bits, signed."""
+    h = xxhash.xxh3_64_intdigest(word)
+    return h - 2**64 if h >= 2**63 else h
 
-    One row per segment of up to ``segment_docs`` documents: ``docs`` (ids), ``terms`` (sorted term
-    numbers), ``starts`` (where each term's list begins), ``owners`` (index into docs) and ``places``
-    (word position). Terms no test item holds can match nothing and are not stored. No shuffle: a
-    document lies in one segment as a whole.
+
+def build_index(docs: DataFrame, doc_id: str, text: str, segment_docs: int = 256) -> DataFrame:
+    """The positional inverted index of all words of ``docs``, in segments.
+
+    One row per segment of up to ``segment_docs`` documents: ``docs`` (ids), ``sizes`` (words of each), ``terms``
+    (sorted word hashes), ``starts`` (where each term's list begins), ``owners`` (index into docs) and
+    ``places`` (word position). No shuffle: a document lies in one segment as a whole.
     """
     id_type = dict(docs.dtypes)[doc_id]
     base = docs.select(F.col(doc_id).alias("_id"), F.col(text).alias("_text")).filter("_id is not null and length(_text) > 0")
-    shared = docs.sparkSession.sparkContext.broadcast(terms)
 
     def segments(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        lexicon = shared.value
         for frame in frames:
             for lo in range(0, len(frame), segment_docs):
                 part = frame.iloc[lo : lo + segment_docs]
-                owners, places, numbers = [], [], []
-                for owner, body in enumerate(part["_text"]):
-                    hits = [(i, lexicon[w]) for i, w in enumerate(words(body)) if w in lexicon]
-                    owners += [owner] * len(hits)
-                    places += [i for i, _ in hits]
-                    numbers += [t for _, t in hits]
-                number = np.asarray(numbers, dtype=np.int32)
+                ids: dict[str, int] = {}
+                numbers, sizes = [], []
+                for body in part["_text"]:
+                    found = words(body)
+                    sizes.append(len(found))
+                    numbers += [ids.setdefault(w, len(ids)) for w in found]
+                hashes = np.fromiter((term_hash(w) for w in ids), dtype=np.int64, count=len(ids))
+                terms, rank = np.unique(hashes, return_inverse=True)
+                number = rank[np.asarray(numbers, dtype=np.int64)] if numbers else np.zeros(0, dtype=np.int64)
                 order = np.argsort(number, kind="stable")
-                distinct, starts = np.unique(number[order], return_index=True)
+                size = np.asarray(sizes, dtype=np.int32)
+                owners = np.repeat(np.arange(len(size), dtype=np.int32), size)
+                places = np.arange(len(number), dtype=np.int32) - np.repeat(np.cumsum(size) - size, size).astype(np.int32)
+                starts = np.searchsorted(number[order], np.arange(len(terms)))
                 yield pd.DataFrame({
-                    "docs": [part["_id"].to_numpy()], "terms": [distinct], "starts": [starts.astype(np.int32)],
-                    "owners": [np.asarray(owners, dtype=np.int32)[order]], "places": [np.asarray(places, dtype=np.int32)[order]],
+                    "docs": [part["_id"].to_numpy()], "sizes": [size], "terms": [terms], "starts": [starts.astype(np.int32)],
+                    "owners": [owners[order]], "places": [places[order]],
                 })
 
-    schema = f"docs array<{id_type}>, terms array<int>, starts array<int>, owners array<int>, places array<int>"
+    schema = f"docs array<{id_type}>, sizes array<int>, terms array<bigint>, starts array<int>, owners array<int>, places array<int>"
     return base.mapInPandas(segments, schema)
 
 
 def _longest(ok: np.ndarray, span: int) -> tuple[int, int]:
-    """(start, length) of the longest stretch in which no two False are closer than ``span``; it is
-    taken to begin and end on a True."""
+    """(start, length) of the longest stretch that begins and ends on a True and in which no two False are
+    closer than ``span``; (0, 0) if there is none."""
     best, start, last_bad = (0, 0), 0, -span
-    bad = np.flatnonzero(~ok)
-    for at in [*bad.tolist(), len(ok)]:
-        if at == len(ok):
-            if at - start > best[1]:
-                best = (start, at - start)
-            break
-        if at - last_bad < span and last_bad >= start:
-            if at - start > best[1]:
-                best = (start, at - start)
+    for at in [*np.flatnonzero(~ok).tolist(), len(ok)]:
+        if at == len(ok) or at - last_bad < span and last_bad >= start:
+            first, end = start, at
+            while first < end and not ok[first]:
+                first += 1
+            while end > first and not ok[end - 1]:
+                end -= 1
+            if end - first > best[1]:
+                best = (first, end - first)
             start = last_bad + 1
         last_bad = at
     return best
@@ -101,7 +110,8 @@ class _Matcher:
     def __init__(self, items: list[tuple[object, list[int]]], counts: dict[int, int], window: int, span: int, need: int = 3):
         run = sure_run(window, span)
         need = min(need, run)
-        self.items, self.window, self.span, self.need = items, window, span, need
+        self.items, self.window, self.span, self.need = [(i, np.asarray(t, dtype=np.int64)) for i, t in items], window, span, need
+        self.most = max((len(t) for _, t in items), default=0)
         anchors: dict[int, list[tuple[int, int]]] = {}
         for number, (_, terms) in enumerate(items):
             keys = [(counts.get(t, 0), i) for i, t in enumerate(terms)]
@@ -112,105 +122,105 @@ class _Matcher:
                     chosen.update(i for _, i in rare)
             for i in chosen:
                 anchors.setdefault(terms[i], []).append((number, i))
-        self.terms = np.asarray(sorted(anchors), dtype=np.int32)
+        self.terms = np.asarray(sorted(anchors), dtype=np.int64)
         self.where = [np.asarray(anchors[t], dtype=np.int64) for t in self.terms.tolist()]
 
     def match(self, row: dict, most: int = 4_000_000) -> Iterator[tuple]:
-        terms = np.asarray(row["terms"], dtype=np.int32)
-        if not len(terms):
-            return
-        starts = np.append(np.asarray(row["starts"], dtype=np.int64), len(row["owners"]))
-        owners = np.asarray(row["owners"], dtype=np.int64)
-        places = np.asarray(row["places"], dtype=np.int64)
+        terms = np.asarray(row["terms"], dtype=np.int64)
         common, here, there = np.intersect1d(terms, self.terms, assume_unique=True, return_indices=True)
         if not len(common):
             return
+        sizes, owners = np.asarray(row["sizes"], dtype=np.int64), np.asarray(row["owners"], dtype=np.int64)
+        starts = np.append(np.asarray(row["starts"], dtype=np.int64), len(owners))
+        places = np.asarray(row["places"], dtype=np.int64)
+        begins = np.cumsum(sizes) - sizes
+        flat: np.ndarray | None = None  # the words of the segment in reading order, once something is to be checked
         # offset-adjusted lists, in blocks of items so that memory stays bounded
         total = sum(int(starts[a + 1] - starts[a]) * len(self.where[b]) for a, b in zip(here, there))
         blocks = max(1, -(-total // most))
-        reach = int(places.max()) + 1
-        longest = max(len(t) for _, t in self.items)
+        width = int(sizes.max()) + self.most + 1
         for block in range(blocks):
-            keys, spots = [], []
+            keys = []
             for a, b in zip(here, there):
                 w = self.where[b]
                 if blocks > 1:
                     w = w[w[:, 0] % blocks == block]
-                    if not len(w):
-                        continue
                 lo, hi = starts[a], starts[a + 1]
-                diagonal = places[lo:hi, None] - w[None, :, 1] + longest
-                key = (owners[lo:hi, None] * len(self.items) + w[None, :, 0]) * (reach + longest + 1) + diagonal
-                keys.append(key.ravel())
-            if not keys:
-                continue
+                diagonal = places[lo:hi, None] - w[None, :, 1] + self.most
+                keys.append(((owners[lo:hi, None] * len(self.items) + w[None, :, 0]) * width + diagonal).ravel())
             key, n = np.unique(np.concatenate(keys), return_counts=True)
             key = key[n >= self.need]
             if not len(key):
                 continue
-            if not spots:
-                spot = owners * reach + places
-                order = np.argsort(spot)
-                spot, number = spot[order], np.repeat(terms, np.diff(starts))[order]
-            diagonals = key % (reach + longest + 1) - longest
-            pairs = key // (reach + longest + 1)
+            if flat is None:
+                flat = np.empty(len(owners), dtype=np.int64)
+                flat[begins[owners] + places] = np.repeat(terms, np.diff(starts))
             best: dict[tuple[int, int], tuple] = {}
-            for owner, item, diagonal in zip((pairs // len(self.items)).tolist(), (pairs % len(self.items)).tolist(), diagonals.tolist()):
-                wanted = np.asarray(self.items[item][1], dtype=np.int32)
-                at = diagonal + np.arange(len(wanted))
-                inside = (at >= 0) & (at < reach)
-                look = np.searchsorted(spot, owner * reach + np.where(inside, at, 0))
-                look = np.minimum(look, len(spot) - 1)
-                ok = inside & (spot[look] == owner * reach + at) & (number[look] == wanted)
+            pairs = key // width
+            for owner, item, diagonal in zip((pairs // len(self.items)).tolist(), (pairs % len(self.items)).tolist(), (key % width - self.most).tolist()):
+                wanted = self.items[item][1]
+                lo, hi = max(0, -diagonal), min(len(wanted), int(sizes[owner]) - diagonal)  # the part inside the document
+                at = int(begins[owner]) + diagonal
+                ok = flat[at + lo : at + hi] == wanted[lo:hi]
                 start, length = _longest(ok, self.span)
                 if length >= self.window and length > best.get((owner, item), (0,))[0]:
-                    best[owner, item] = (length, start, int(length - ok[start : start + length].sum()), diagonal + start)
+                    best[owner, item] = (length, lo + start, int(length - ok[start : start + length].sum()), diagonal + lo + start)
             for (owner, item), (length, start, changed, at) in best.items():
                 yield row["docs"][owner], self.items[item][0], length, start + 1, at + 1, changed
 
 
 def leaked_passages(
     docs: DataFrame, items: DataFrame, doc_id: str, item_id: str, doc_text: str = "text", item_text: str = "text",
-    window: int = 20, span: int = 10, items_per_pass: int = 50_000,
+    window: int = 20, span: int = 10, items_per_pass: int = 50_000, chars_per_pass: int = 50_000_000,
 ) -> DataFrame:
     """Leaks: ``item_id``, ``doc_id``, ``n_words`` (the longest shared passage), ``item_word`` and
     ``doc_word`` (where it begins, from 1), ``changed`` (words that differ), ``kind`` (``exact`` or
-    ``proximity``). A leak is a passage of at least ``window`` consecutive words of the item, in order,
-    with at most one changed word in any ``span``.
+    ``proximity``). A leak is a passage of at least ``window`` consecutive words of the item that lie in the
+    document in their order, with at most one changed word in any ``span``; a passage begins and ends
+    with words that agree.
 
-    The postings of all documents are stored once, in segments, under the shared folder. Term counts
-    over all documents then name the rarest words of every stretch that a leak must hold unchanged;
-    their offset-adjusted lists are intersected per segment, and what coincides on a diagonal is checked
-    word by word. Nothing is shuffled but term counts and the final rows. The items are read to the
-    driver in passes of ``items_per_pass``, so what is broadcast is bounded by that parameter; each
-    pass reads the stored index again.
+    The postings of all words of all documents are stored once, in segments, under the shared folder, and
+    serve every pass. Term counts over all documents name the rarest words of every stretch that a leak
+    must hold unchanged; their offset-adjusted lists are intersected per segment, and what coincides on a
+    diagonal is checked word by word. Nothing is shuffled but term counts and the final rows. The items are read
+    to the driver in passes of about ``items_per_pass`` rows and ``chars_per_pass`` characters, so what is
+    broadcast is bounded. Words are compared by 64-bit hashes.
 
     Defined results: null ids and null or empty texts match nothing; items shorter than ``window``
     words can't leak; repeated rows give one result per distinct pair; other columns are ignored.
     """
-    clean = items.select(F.col(item_id).alias("_item"), F.col(item_text).alias("_text")).filter("_item is not null and length(_text) > 0")
-    passes = max(1, -(-clean.count() // items_per_pass))
-    clean = clean.withColumn("_pass", F.pmod(F.xxhash64("_item"), F.lit(passes)))
+    spark, parts = docs.sparkSession, []
+    clean = items.select(F.col(item_id).alias("_item"), F.col(item_text).alias("_text")).filter("_item is not null and length(_text) > 0").distinct()
+    size = clean.agg(F.count("*").alias("n"), F.coalesce(F.sum(F.length("_text")), F.lit(0)).alias("c")).first()
+    passes = max(-(-size["n"] // items_per_pass), -(-size["c"] // chars_per_pass))
+    clean = clean.withColumn("_pass", F.pmod(F.xxhash64("_item", "_text"), F.lit(max(1, passes))))
     id_types = dict(docs.dtypes)[doc_id], dict(items.dtypes)[item_id]
     schema = f"`{doc_id}` {id_types[0]}, `{item_id}` {id_types[1]}, n_words int, item_word int, doc_word int, changed int"
-    spark, parts = docs.sparkSession, []
+    index = stored(build_index(docs, doc_id, doc_text), "postings") if passes else None
     for number in range(passes):
-        held = [(r["_item"], words(r["_text"])) for r in clean.filter(F.col("_pass") == number).distinct().collect()]
+        held = [(r["_item"], [term_hash(w) for w in words(r["_text"])]) for r in clean.filter(F.col("_pass") == number).collect()]
         held = [(i, w) for i, w in held if len(w) >= window]
-        terms = {w: n for n, w in enumerate(sorted({w for _, ws in held for w in ws}))}
-        index = stored(build_index(docs, doc_id, doc_text, terms), "postings")
-        ends = F.concat(F.slice("starts", 2, F.size("starts")), F.array(F.size("owners")))
-        lists = index.filter(F.size("terms") > 0).select(F.explode(F.arrays_zip(F.col("terms"), F.col("starts").alias("lo"), ends.alias("hi"))).alias("x"))
-        counts = lists.groupBy("x.terms").agg(F.sum(F.col("x.hi") - F.col("x.lo")).alias("n"))
-        counts = {r["terms"]: r["n"] for r in counts.collect()}  # at most one row per term of the pass
-        matcher = spark.sparkContext.broadcast(_Matcher([(i, [terms[w] for w in ws]) for i, ws in held], counts, window, span)) if held else None
-        if matcher is None:
+        if not held:
             continue
+        wanted = spark.sparkContext.broadcast(np.unique(np.concatenate([w for _, w in held])))
+
+        def count(frames: Iterator[pd.DataFrame], wanted=wanted) -> Iterator[pd.DataFrame]:
+            for frame in frames:
+                for row in frame.to_dict("records"):
+                    terms = np.asarray(row["terms"], dtype=np.int64)
+                    held = np.diff(np.append(np.asarray(row["starts"], dtype=np.int64), row["n"]))
+                    common, at, _ = np.intersect1d(terms, wanted.value, assume_unique=True, return_indices=True)
+                    yield pd.DataFrame({"term": common, "n": held[at]})
+
+        lists = index.select("terms", "starts", F.aggregate("sizes", F.lit(0).cast("bigint"), lambda a, x: a + x).alias("n")).mapInPandas(count, "term bigint, n bigint")
+        counts = {r["term"]: r["n"] for r in lists.groupBy("term").agg(F.sum("n").alias("n")).collect()}  # at most one row per term of the pass
+        matcher = spark.sparkContext.broadcast(_Matcher(held, counts, window, span))
 
         def search(frames: Iterator[pd.DataFrame], matcher=matcher) -> Iterator[pd.DataFrame]:
             for frame in frames:
                 found = [m for row in frame.to_dict("records") for m in matcher.value.match(row)]
-                yield pd.DataFrame(found, columns=[doc_id, item_id, "n_words", "item_word", "doc_word", "changed"])
+                if found:
+                    yield pd.DataFrame(found, columns=[doc_id, item_id, "n_words", "item_word", "doc_word", "changed"])
 
         parts.append(index.mapInPandas(search, schema))
     if not parts:

@@ -333,16 +333,23 @@ def test_batches_without_damage(spark):
 
 # 8 leakage ----------------------------------------------------------------------------------------
 def _leaks(docs, items, window=20, span=10):
-    out = set()
+    """From the statement: a stretch of the item's words stands in the document word against word, all of it inside,
+    its first and last words agree, and no ``span`` words of it hold two changed ones."""
+    out = {}
     for i, t in items:
         w = leakage.words(t)
         for d, x in docs:
             v = leakage.words(x or "")
             for off in range(-len(w), len(v)):
-                ok = [0 <= off + q < len(v) and v[off + q] == a for q, a in enumerate(w)]
-                if any(all(ok[s + k : s + k + span].count(False) <= 1 for k in range(window - span + 1)) for s in range(len(w) - window + 1)):
-                    out.add((i, d))
-                    break
+                for s in range(max(0, -off), len(w)):
+                    changed = []
+                    for e in range(s, min(len(w), len(v) - off)):
+                        if v[off + e] != w[e]:
+                            if e == s or changed and e - changed[-1] < span:
+                                break
+                            changed.append(e)
+                        elif e - s + 1 >= window:
+                            out[i, d] = max(out.get((i, d), 0), e - s + 1)
     return out
 
 
@@ -365,12 +372,27 @@ def test_leaks_against_brute_force(spark):
     b = spark.createDataFrame([*items, (99, None), (98, "too short"), (97, "")], "item_id long, text string")
     rows = leakage.leaked_passages(a, b, "doc_id", "item_id").collect()
     want = _leaks(docs, items)
-    assert want and {(r["item_id"], r["doc_id"]) for r in rows} == want and len(rows) == len(want)
+    assert want and {(r["item_id"], r["doc_id"]): r["n_words"] for r in rows} == want and len(rows) == len(want)
     two = leakage.leaked_passages(a, b, "doc_id", "item_id", items_per_pass=5)
-    assert {(r["item_id"], r["doc_id"]) for r in two.collect()} == want
+    assert {(r["item_id"], r["doc_id"]): r["n_words"] for r in two.collect()} == want
     assert leakage.leaked_passages(a.limit(0), b, "doc_id", "item_id").count() == 0 == leakage.leaked_passages(a, b.limit(0), "doc_id", "item_id").count()
 
 
+def test_lengths_kinds_and_markup(spark, monkeypatch):
+    w = [f"word{i}" for i in range(60)]
+    link = '<a href="https://example.org/' + "x" * 140 + '">'
+    docs = [
+        (1, " ".join(["x", *w[10:28], "y"])), (2, " ".join([*w[:19], "y"])), (3, " ".join(["x", *w[10:40], "y"])), (4, " ".join([*w[10:20], link, *w[20:30]])),
+        (5, " ".join([*w[5:15], "other", *w[16:26]])), (6, " ".join([*w[5:15], "other", *w[16:20], "more", *w[21:26]])), (7, " ".join(w)), (8, " ".join(["other", *w[11:30]])),
+    ]
+    a, b = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame([(1, " ".join(w)), (2, " ".join(reversed(w)))], "item_id long, text string")
+    built = []
+    real = leakage.build_index
+    monkeypatch.setattr(leakage, "build_index", lambda *x, **y: built.append(1) or real(*x, **y))
+    got = {r["doc_id"]: (r["n_words"], r["kind"], r["item_word"], r["doc_word"]) for r in leakage.leaked_passages(a, b, "doc_id", "item_id", items_per_pass=1).collect()}
+    assert got == {3: (30, "exact", 11, 2), 4: (20, "exact", 11, 1), 5: (21, "proximity", 6, 1), 7: (60, "exact", 1, 1)} and len(built) == 1
+
+
 def test_sure_run():
     for window, span in ((20, 10), (12, 5), (9, 3), (7, 10)):
         best = window
