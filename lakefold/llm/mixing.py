@@ -4,10 +4,11 @@ from __future__ import annotations
 
 import base64
 import os
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark import SparkFiles
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lakefold.session import stored
@@ -31,13 +32,22 @@ def encoding(path: str):
     return _LOADED[path]
 
 
+def shipped(spark: SparkSession, path: str) -> Callable[[], str]:
+    """Hands a file of the driver to all executors; gives what finds it there."""
+    spark.sparkContext.addFile(path)
+    name = os.path.basename(path)
+    return lambda: SparkFiles.get(name)
+
+
 def token_counts(docs: DataFrame, keep: list[str], text: str, tokenizer: str = TOKENIZER) -> DataFrame:
     """``keep`` and ``n_tokens``: the tokens of each whole text. Narrow; null texts have 0."""
     types = dict(docs.dtypes)
     schema = ", ".join(f"`{c}` {types[c]}" for c in keep) + ", n_tokens bigint"
 
+    file = shipped(docs.sparkSession, tokenizer)
+
     def count(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        enc = encoding(tokenizer)
+        enc = encoding(file())
         for frame in frames:
             sizes = [len(enc.encode_ordinary(t)) if isinstance(t, str) else 0 for t in frame["_text"]]
             yield frame.drop(columns="_text").assign(n_tokens=pd.Series(sizes, dtype="int64", index=frame.index))
@@ -56,23 +66,27 @@ def mix_to_targets(
 ) -> DataFrame:
     """The mixture: ``doc_id``, ``source`` (as in ``targets``), ``copy`` (from 1), ``n_tokens``,
     ``finish`` (virtual finish time; sorting by it interleaves the sources to their shares at every
-    point).
+    point) and ``running`` (tokens up to and with the row).
 
     ``targets`` has source, target_share and max_repeats, one row per source and so few rows that
     joining them costs nothing. Weighted fair queueing: the documents of a source are queued in random
     order, its second copies behind its first ones; a document's virtual finish time is the source's
-    tokens up to and with it, divided by the source's weight. The queue is cut at the time at which the
-    total reaches ``budget`` tokens. Without a budget the cut is the largest at which no source that has
-    text is exhausted, so that every one of them holds its share.
+    tokens up to and with it, divided by the source's weight. All copies are range-sorted by finish time
+    over the cluster and cut where the running total passes ``budget`` tokens. Without a budget it is the
+    largest at which no source that has text is exhausted, so that every one of them holds its share.
 
     A running sum over a source, which may hold a third of all rows, is never made in one task: random
-    keys cut each source into ``slices``; slice totals (sources x slices rows) are summed up first, then
-    each slice on its own. Token counts are stored once. Results do not depend on partitioning.
+    keys cut each source into ``slices``; slice totals (sources x slices rows, which is what is joined to
+    every document) are summed up first, then each slice on its own. The running total over the sort
+    likewise: range partitions on their own, begun at the totals of those before. Copies that finish after
+    the budget is surely used up are not sorted. Token counts are stored once. Results do not depend on
+    partitioning.
 
     Defined results: null or unknown sources and documents without tokens take no part; a share of 0 or
     ``max_repeats`` below 1 gives nothing; of targets that repeat a source the largest share counts;
     documents that repeat are queued as often as they stand; an empty source leaves its share to the
-    others in proportion, which ``mixture_shares`` reports.
+    others in proportion, and so does an exhausted one when a budget is given, which ``mixture_shares``
+    reports.
     """
     plan = targets.select(
         source_key(F.col("source")).alias("_key"), F.struct(F.col("target_share").alias("w"), F.col("max_repeats").alias("r"), F.col("source").alias("s")).alias("x")
@@ -84,40 +98,50 @@ def mix_to_targets(
     sized = sized.withColumn("_slice", F.pmod(F.col("_rand"), F.lit(slices)))
 
     # total of every slice, then where each slice begins in its source
-    totals = sized.groupBy("_source", "_weight", "_most", "_slice").agg(F.sum("n_tokens").alias("_part"))
+    totals = sized.groupBy("_source", "_weight", "_most", "_slice").agg(F.sum("n_tokens").alias("_part"), F.max("n_tokens").alias("_largest"))
     along = Window.partitionBy("_source").orderBy("_slice")
     totals = totals.withColumn("_start", F.sum("_part").over(along) - F.col("_part"))
     totals = totals.withColumn("_total", F.sum("_part").over(Window.partitionBy("_source")))
     totals = stored(totals, "totals")
 
-    sources = totals.groupBy("_source").agg(F.first("_weight").alias("w"), F.first("_most").alias("r"), F.first("_total").alias("n"))
-    state = [(r["w"], r["r"] * r["n"]) for r in sources.collect()]  # one row per source
-    weight = sum(w for w, _ in state)
-    if not state:
-        horizon = 0.0
-    elif budget is None:
-        horizon = min(n / w for w, n in state)
-    else:  # the time at which the sources, each until it is exhausted, reach the budget together
-        horizon, used, live = 0.0, 0.0, sorted((n / w, w) for w, n in state)
-        for end, w in live:
-            if used + (end - horizon) * weight >= budget:
-                break
-            used, horizon, weight = used + (end - horizon) * weight, end, weight - w
-        if weight > 1e-12:
-            horizon += max(0.0, budget - used) / weight
+    sources = totals.groupBy("_source").agg(F.first("_weight").alias("w"), F.first("_most").alias("r"), F.first("_total").alias("n"), F.max("_largest").alias("d"))
+    state = [(r["w"], r["r"] * r["n"], r["d"]) for r in sources.collect()]  # one row per source
+    if budget is None:
+        budget = int(min((n / w for w, n, _ in state), default=0) * sum(w for w, _, _ in state))
+    # a source has at most one document under way, so by this time the budget is used up
+    horizon = _time_at(budget + sum(d for _, _, d in state), [(w, n) for w, n, _ in state])
 
     within = Window.partitionBy("_source", "_slice").orderBy("_rand", "_id", "n_tokens").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     queued = sized.select("_id", "_source", "_slice", "_rand", "n_tokens").join(
         totals.select("_source", "_slice", "_weight", "_most", "_start", "_total"), ["_source", "_slice"]
     )
     queued = queued.withColumn("_mark", F.col("_start") + F.sum("n_tokens").over(within))
-    rounds = F.least(F.col("_most").cast("bigint"), F.floor(F.greatest(F.lit(horizon) * F.col("_weight") * (1 + 1e-12) - F.col("_mark"), F.lit(-1.0)) / F.col("_total")) + 1)
-    copies = queued.withColumn("_rounds", F.when(F.col("_mark") <= F.lit(horizon) * F.col("_weight") * (1 + 1e-12), rounds).otherwise(F.lit(0)))
+    reach = F.lit(horizon) * F.col("_weight") * (1 + 1e-9)
+    rounds = F.least(F.col("_most").cast("bigint"), F.floor(F.greatest(reach - F.col("_mark"), F.lit(-1.0)) / F.col("_total")) + 1)
+    copies = queued.withColumn("_rounds", F.when(F.col("_mark") <= reach, rounds).otherwise(F.lit(0)))
     copies = copies.filter("_rounds > 0").withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("_rounds").cast("int"))))
-    return copies.select(
+    copies = copies.select(
         F.col("_id").alias(doc_id), F.col("_source").alias("source"), "copy", "n_tokens",
-        (((F.col("copy") - 1) * F.col("_total") + F.col("_mark")) / F.col("_weight")).alias("finish"),
+        (((F.col("copy") - 1) * F.col("_total") + F.col("_mark")) / F.col("_weight")).alias("finish"), "_rand",
     )
+    order = ["finish", "source", "copy", "_rand", doc_id]
+    ranges = stored(copies.repartitionByRange(*order).withColumn("_range", F.spark_partition_id()), "ranges")
+    before = ranges.groupBy("_range").agg(F.sum("n_tokens").alias("_sum"))  # one row per range partition
+    before = before.select("_range", (F.sum("_sum").over(Window.orderBy("_range")) - F.col("_sum")).alias("_before"))
+    upto = F.sum("n_tokens").over(Window.partitionBy("_range").orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    ranges = ranges.withColumn("_upto", upto).join(before, "_range").withColumn("running", F.col("_before") + F.col("_upto"))
+    return ranges.filter(F.col("running") <= budget).select(doc_id, "source", "copy", "n_tokens", "finish", "running")
+
+
+def _time_at(total: float, state: list[tuple[float, int]]) -> float:
+    """The virtual time at which sources of (weight, tokens with repeats), each until it is exhausted, have used
+    ``total`` tokens together; the last one's end if they never do."""
+    time, used, weight = 0.0, 0.0, sum(w for w, _ in state)
+    for end, w in sorted((n / w, w) for w, n in state):
+        if used + (end - time) * weight >= total:
+            return time + (total - used) / weight
+        used, time, weight = used + (end - time) * weight, end, weight - w
+    return time
 
 
 def mixture_shares(mixture: DataFrame, targets: DataFrame) -> DataFrame:

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from lakefold.llm.encoding import repair_encoding
 from lakefold.llm.leakage import leaked_passages
 from lakefold.llm.matching import match_companies
-from lakefold.llm.mixing import mix_to_targets, mixture_shares
+from lakefold.llm.mixing import TOKENIZER, mix_to_targets, mixture_shares
 from lakefold.llm.nearest_time import nearest_by_time
 from lakefold.llm.personal import find_personal, mask_personal, name_lexicon
 from lakefold.llm.scanned import repair_scanned
@@ -42,6 +42,15 @@ def p2_pieces(spark: SparkSession, root: str) -> DataFrame:
     return parts[0].unionByName(parts[1])
 
 
+def p2_token_pieces(spark: SparkSession, root: str) -> DataFrame:
+    """The same with sizes in tokens of a public tokenizer: at most 800, up to 70 repeated."""
+    parts = [
+        split_oversized(table(spark, root, src), ["rec_id"], "text", limit=800, overlap=70, tokenizer=TOKENIZER).withColumn("src", F.lit(src))
+        for src in ("annual_report", "concall_presentation")
+    ]
+    return parts[0].unionByName(parts[1])
+
+
 def p2_found(spark: SparkSession, root: str) -> DataFrame:
     """Records that had to be cut."""
     return p2_pieces(spark, root).filter("n_pieces > 1").select("src", "rec_id").distinct()
@@ -69,7 +78,7 @@ def p4_found(spark: SparkSession, root: str) -> DataFrame:
 
 def p5_found(spark: SparkSession, root: str) -> DataFrame:
     """The bar nearest to the end of each filing's period."""
-    bars = table(spark, root, "prices", "symbol", "date", "close", "px_id").filter("close is not null and not isnan(close)")
+    bars = table(spark, root, "prices", "symbol", "date", "close", "px_id").filter("close is not null")
     filings = table(spark, root, "xbrl", "xbrl_id", "symbol", "period_end")
     found = nearest_by_time(filings, bars, "symbol", "period_end", "date", "xbrl_id", "px_id", FIVE_DAYS_US)
     return found.select("xbrl_id", "px_id")
@@ -105,6 +114,12 @@ def p9_mix(spark: SparkSession, root: str) -> DataFrame:
     return mix_to_targets(docs, table(spark, root, "mix_targets"), "doc_id", "source", "text")
 
 
+def p9_budget(spark: SparkSession, root: str) -> DataFrame:
+    """The mixture at a budget of five million tokens; exhausted sources leave the rest to the others."""
+    docs = table(spark, root, "documents", "doc_id", "source", "text")
+    return mix_to_targets(docs, table(spark, root, "mix_targets"), "doc_id", "source", "text", budget=5_000_000)
+
+
 def p9_shares(spark: SparkSession, root: str) -> DataFrame:
     return mixture_shares(p9_mix(spark, root), table(spark, root, "mix_targets"))
 
@@ -131,13 +146,13 @@ def p10_masked(spark: SparkSession, root: str) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "p1_found": p1_found, "p1_matches": p1_matches,
-        "p2_found": p2_found, "p2_pieces": p2_pieces,
+        "p2_found": p2_found, "p2_pieces": p2_pieces, "p2_token_pieces": p2_token_pieces,
         "p3_found": p3_found, "p3_turns": p3_turns,
         "p4_found": p4_found, "p4_repaired": p4_repaired,
         "p5_found": p5_found,
         "p6_found": p6_found, "p6_repaired": p6_repaired,
         "p8_found": p8_found, "p8_leaks": p8_leaks,
-        "p9_mix": p9_mix, "p9_shares": p9_shares,
+        "p9_mix": p9_mix, "p9_budget": p9_budget, "p9_shares": p9_shares,
         "p10_found": p10_found, "p10_mentions": p10_mentions, "p10_masked": p10_masked,
     }
 

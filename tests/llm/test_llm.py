@@ -1,6 +1,7 @@
 """The training-data operators on small fixtures: edge rows, brute force, round trips."""
 
 import datetime as dt
+import os
 import random
 import re
 
@@ -158,13 +159,29 @@ def test_pieces_prefer_paragraphs_then_sentences():
 
 
 @settings(max_examples=80, deadline=None)
-@given(st.lists(st.text("abc", min_size=1, max_size=9), min_size=1, max_size=60))
-def test_pieces_with_another_size(words):
-    body = " ".join(words)
+@given(st.lists(st.text("abc", min_size=1, max_size=30), min_size=1, max_size=60), st.sampled_from([" ", "\n\n", ". "]))
+def test_pieces_with_another_size(words, between):
+    body = between.join(words)
     size = lambda s: len(s.strip()) // 3 + 1
     spans = splitting.split_text(body, 12, 3, size)
     assert spans[0][0] == 0 and spans[-1][1] == len(body)
-    assert all(x[1] >= y[0] and y[1] > x[1] for x, y in zip(spans, spans[1:]))
+    assert all(x[1] >= y[0] > x[0] and y[1] > x[1] for x, y in zip(spans, spans[1:]))
+
+
+@pytest.mark.skipif(not os.path.exists(mixing.TOKENIZER), reason="no tokenizer here")
+def test_pieces_in_tokens(spark):
+    rng = random.Random(2)
+    word = lambda: rng.choice(["the", "dividend", "of ₹12.50", "per share", "वार्षिक", "approved.\n\n", "Supercalifragilistic" * 8, "x"])
+    texts = [(i, " ".join(word() for _ in range(n))) for i, n in enumerate((1, 40, 400, 900))]
+    df = spark.createDataFrame(texts, "rec_id long, text string")
+    rows = splitting.split_oversized(df, ["rec_id"], "text", 120, 20, mixing.TOKENIZER).collect()
+    enc = mixing.encoding(mixing.TOKENIZER)
+    for i, body in texts:
+        mine = sorted((r for r in rows if r["rec_id"] == i), key=lambda r: r["piece"])
+        assert all(len(enc.encode_ordinary(r["piece_text"])) == r["size"] <= 120 for r in mine) and len(mine) == mine[0]["n_pieces"]
+        spans = [(r["start_pos"] - 1, r["start_pos"] - 1 + r["n_chars"]) for r in mine]
+        assert spans[0][0] == 0 and spans[-1][1] == len(body)
+        assert all(c <= b and len(enc.encode_ordinary(body[c:b])) <= 20 for (_, b), (c, _) in zip(spans, spans[1:]))
 
 
 def test_split_edges(spark):
@@ -431,6 +448,9 @@ def test_mixture_budget_and_edges(spark):
     assert total == {"a": 200, "b": 100}
     empty, plan = _mix(spark, [("a", 1)], [("z", 1.0, 1)])
     assert empty.count() == 0 and mixing.mixture_shares(empty, plan).first()["actual_share"] == 0.0
+    rows = sorted(mixed.collect(), key=lambda r: r["running"])
+    assert [r["finish"] for r in rows] == sorted(r["finish"] for r in rows)
+    assert rows[-1]["running"] == 300 == sum(r["n_tokens"] for r in rows)
     again, _ = _mix(spark, [("a", 10)] * 50 + [("b", 10)] * 5, [("a", 0.5, 1), ("b", 0.5, 2)], budget=300, slices=3)
     assert again.count() == mixed.count()
 
