@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -12,7 +14,7 @@ from lakefold.session import stored
 TYPES = {"number": ("number", "double"), "percent": ("number", "double"), "date": ("day", "date"), "flag": ("flag", "boolean"), "text": ("text", "string")}
 
 
-def global_ordinals(entities: DataFrame, key: str, buckets: int = 256) -> DataFrame:
+def global_ordinals(entities: DataFrame, key: str, buckets: int = 4096) -> DataFrame:
     """``key`` and ``ordinal``: distinct keys numbered 0..n-1 without gaps, without a global sort. Hash
     buckets are numbered on their own and begin where the buckets before them end; only the bucket
     counts, ``buckets`` rows, are summed up in one place."""
@@ -22,31 +24,43 @@ def global_ordinals(entities: DataFrame, key: str, buckets: int = 256) -> DataFr
     return keys.withColumn("_r", rank).join(starts.select("_b", "_start"), "_b").select(key, (F.col("_start") + F.col("_r") - 1).alias("ordinal"))
 
 
-def stitch_wide(cells: DataFrame, entities: DataFrame, key: str, columns: dict[str, str], block: int = 64) -> DataFrame:
+def stitch_wide(cells: DataFrame, entities: DataFrame, key: str, columns: dict[str, str], block: int = 4096) -> DataFrame:
     """One row per entity, one typed column per attribute of ``columns`` (attribute -> value type).
 
     ``cells`` has ``key``, ``attribute``, ``cell`` (as of ``read_typed``), at most one per key and
-    attribute. Positional stitching: every entity gets a global ordinal; each attribute is written as a
-    typed column segment over a range of ``block`` ordinals, addressed by position in the range; then
-    the segments of a range are laid side by side and read out position by position. Groups are bounded
-    by ``block`` however skewed the input is, and there is no pivot over all attributes per entity.
+    attribute. Positional stitching: every entity gets a global ordinal; within a range of ``block`` ordinals
+    each attribute becomes one typed column, every value written at its entity's place, and the columns of a
+    range are put side by side as they are: nothing is looked up by key. Groups are bounded by ``block`` times
+    the attributes however skewed the input is, and there is no pivot over all attributes per entity.
     Entities without a cell keep a row of nulls.
     """
-    numbered = global_ordinals(entities, key)
-    placed = numbered.withColumns({"_block": F.floor(F.col("ordinal") / block), "_at": (F.col("ordinal") % block).cast("int")}).drop("ordinal")
-    frame = placed.groupBy("_block").agg(F.sort_array(F.collect_list(F.struct(F.col("_at").alias("at"), F.col(key).alias("key")))).alias("_rows"))
-    segments = (
-        cells.filter(F.col("cell").isNotNull() & F.col("attribute").isin(*columns)).join(placed, key)
-        .groupBy("_block", "attribute").agg(F.map_from_entries(F.collect_list(F.struct("_at", "cell"))).alias("_segment"))
-    )
-    side_by_side = segments.groupBy("_block").agg(F.map_from_entries(F.collect_list(F.struct("attribute", "_segment"))).alias("_columns"))
-    wide = frame.join(side_by_side, "_block", "left")
-    wide = wide.select(*[F.try_element_at("_columns", F.lit(a)).alias(f"_{i}") for i, a in enumerate(columns)], F.explode("_rows").alias("_row"))
-    out = [F.col("_row.key").alias(key)]
-    for i, (attribute, value_type) in enumerate(columns.items()):
-        field, kind = TYPES[value_type]
-        out.append(F.try_element_at(F.col(f"_{i}"), F.col("_row.at"))[field].cast(kind).alias(attribute))
-    return wide.select(*out)
+    numbered = stored(global_ordinals(entities, key), "ordinals")
+    place = {"_block": F.floor(F.col("ordinal") / block), "_at": (F.col("ordinal") % block).cast("int")}
+    number = F.create_map(*[x for i, a in enumerate(columns) for x in (F.lit(a), F.lit(i))]) if columns else F.lit(None)
+    frame = numbered.withColumns(place).select("_block", "_at", key, F.lit(-1).alias("_column"))
+    filled = cells.filter(F.col("cell").isNotNull() & F.col("attribute").isin(*columns)).join(numbered, key).withColumns(place)
+    filled = filled.select("_block", "_at", F.try_element_at(number, "attribute").alias("_column"), *[F.col(f"cell.{f}").alias(f"_{f}") for f in ("number", "day", "flag", "text")])
+    kinds = [TYPES[t] for t in columns.values()]
+    key_type = dict(entities.dtypes)[key]
+    schema = ", ".join([f"`{key}` {key_type}", *[f"`{a}` {kind}" for a, (_, kind) in zip(columns, kinds)]])
+
+    def stitch(part: pa.Table) -> pa.Table:
+        part = part.combine_chunks()
+        column, at = part["_column"].to_numpy(), part["_at"].to_numpy()
+        order = np.argsort(column, kind="stable")
+        starts = np.searchsorted(column[order], np.arange(-1, len(kinds) + 1))
+        n = int(starts[1] - starts[0])
+
+        def positions(i: int) -> pa.Array:
+            rows = order[starts[i + 1] : starts[i + 2]]
+            source = np.full(n, -1, dtype=np.int64)
+            source[at[rows]] = rows
+            return pa.array(source, mask=source < 0)
+
+        out = [part[key].take(positions(-1)), *[part[f"_{field}"].take(positions(i)) for i, (field, _) in enumerate(kinds)]]
+        return pa.Table.from_arrays(out, names=[key, *columns])
+
+    return frame.unionByName(filled, allowMissingColumns=True).groupBy("_block").applyInArrow(stitch, schema)
 
 
 def _catalog(catalog: DataFrame, src: str, most: int = 10_000) -> dict[str, str]:
