@@ -285,8 +285,13 @@ def _keyed(rows: DataFrame, left: bool) -> DataFrame:
     bucket = F.floor(F.unix_date("listed") / 32).cast("int")
     around = F.transform(F.array(*([F.lit(-1)] if left else []), F.lit(0), *([F.lit(1)] if left else [])), lambda d: bucket + d)
     times = F.concat(F.array(F.lit(None).cast("int")), F.when(F.col("listed").isNotNull(), around).otherwise(F.array().cast("array<int>")))
-    out = rows.select("id", "key", "own", "code", "industry", "face", "listed", "bones", F.explode(by_word).alias("b"), times.alias("ts"))
-    return out.select("*", F.explode("ts").alias("t")).withColumn("t", F.coalesce("t", F.lit(_ANY))).drop("ts").filter(f"b <> '?' or t = {_ANY}")
+    return rows.select("id", "key", "own", "code", "industry", "face", "listed", "bones", by_word.alias("bs"), times.alias("ts"))
+
+
+def _spread(rows: DataFrame) -> DataFrame:
+    """Keyed rows, one per ``b`` and ``t``; any words only at any time."""
+    out = rows.withColumn("b", F.explode("bs")).withColumn("t", F.explode("ts")).withColumn("t", F.coalesce("t", F.lit(_ANY)))
+    return out.drop("bs", "ts").filter(f"b <> '?' or t = {_ANY}")
 
 
 def _standing(rows: DataFrame, field: str) -> DataFrame:
@@ -294,34 +299,42 @@ def _standing(rows: DataFrame, field: str) -> DataFrame:
     other name field, the one with the smallest key: the others could only tie with it."""
     other = "code" if field == "own" else "own"
     day = F.when(F.col("t") == _ANY, F.col("listed").isNull().cast("int")).otherwise(F.unix_date("listed"))
-    kept = rows.groupBy(field, "b", "t", "industry", "face", (F.coalesce(other, F.lit("")) == "").alias("_n"), day.alias("_d")).agg(F.min(F.struct("key", "id")).alias("m"))
-    return kept.select(field, "b", "t", F.col("m.id").alias("id"))
+    kept = _spread(rows.filter(F.length(field) > 0)).groupBy(
+        F.col(field).alias("v"), "b", "t", "industry", "face", (F.coalesce(other, F.lit("")) == "").alias("_n"), day.alias("_d")
+    ).agg(F.min(F.struct("key", "id")).alias("m"))
+    return kept.select("v", "b", "t", F.col("m.id").alias("id"))
 
 
 def candidate_pairs(a: DataFrame, b: DataFrame) -> DataFrame:
     """Pairs of ids (``_l``, ``_r``) of prepared rows: close in one name field and standing for their kind, from
-    either side, or close in both name fields."""
+    either side, or close in both name fields. Rows travel as an id and a hash of what they meet by."""
     close = {field: close_values(a, b, field) for field in ("own", "code")}
+    la, rb = _keyed(a, True), _keyed(b, False)
+    meet = F.xxhash64("v", "b", "t").alias("k")
+
+    def turned(rows: DataFrame, field: str) -> DataFrame:  # left rows with the right side's values in place of theirs
+        return rows.join(close[field].select(F.col("lv").alias("v"), "rv"), "v").drop("v").withColumnRenamed("rv", "v")
 
-    la, rb = stored(_keyed(a, True), "left_keys"), stored(_keyed(b, False), "right_keys")
     found = []
     for field in ("own", "code"):
-        for lhs, rhs in ((la, _standing(rb, field)), (_standing(la, field), rb)):
-            lhs, rhs = lhs.select(F.col("id").alias("_l"), F.col(field).alias("lv"), "b", "t"), rhs.select(F.col("id").alias("_r"), F.col(field).alias("rv"), "b", "t")
-            found.append(lhs.join(close[field], "lv").join(rhs, ["rv", "b", "t"]).select("_l", "_r"))
-    once = (F.col("t") == _ANY) & (F.col("b") != "?")
-    starts = F.transform(F.sequence(F.lit(1), F.length("code")), lambda n: F.substring(F.col("code"), F.lit(1), n))
-    codes = F.array_distinct(F.concat(F.when(F.length("code") > 0, starts).otherwise(F.array().cast("array<string>")), F.array("bones")))
-    links = rb.filter(once).select(F.col("id").alias("_r"), F.col("own").alias("rv"), "b", F.explode(codes).alias("_code"))
-    links = links.unionByName(rb.filter(once).join(close["code"].select(F.col("rv").alias("code"), F.col("lv").alias("_code")), "code").select(F.col("id").alias("_r"), F.col("own").alias("rv"), "b", "_code"))
-    found.append(
-        la.filter(once & (F.length("code") > 0)).select(F.col("id").alias("_l"), F.col("own").alias("lv"), "b", F.col("code").alias("_code"))
-        .join(close["own"], "lv").join(links, ["rv", "b", "_code"]).select("_l", "_r")
-    )
+        rows = turned(la.filter(F.length(field) > 0).select("id", F.col(field).alias("v"), "bs", "ts"), field)
+        found.append(_spread(rows).select(F.col("id").alias("_l"), meet).join(_standing(rb, field).select(F.col("id").alias("_r"), meet), "k"))
+        rows = rb.filter(F.length(field) > 0).select("id", F.col(field).alias("v"), "bs", "ts")
+        found.append(turned(_standing(la, field), field).select(F.col("id").alias("_l"), meet).join(_spread(rows).select(F.col("id").alias("_r"), meet), "k"))
+    # close in both: the right row's code, its beginnings, the codes close to it, and the name without vowels
+    starts = F.when(F.length("code") > 0, F.transform(F.sequence(F.lit(1), F.length("code")), lambda n: F.substring(F.col("code"), F.lit(1), n)))
+    near = rb.select("id", "code").join(close["code"].select(F.col("rv").alias("code"), F.col("lv").alias("c")), "code").groupBy("id").agg(F.collect_set("c").alias("near"))
+    none = F.array().cast("array<string>")
+    codes = rb.join(near, "id", "left").select("id", F.col("own").alias("v"), "bs", F.array_distinct(F.concat(F.coalesce(starts, none), F.coalesce("near", none), F.array("bones"))).alias("cs"))
+    both = F.xxhash64("v", "b", "c").alias("k")
+    words = lambda rows: rows.withColumn("b", F.explode("bs")).filter("b <> '?'")
+    rhs = words(codes.filter("v <> ''")).withColumn("c", F.explode("cs")).select(F.col("id").alias("_r"), both)
+    lhs = words(turned(la.filter("own <> '' and code <> ''").select("id", F.col("own").alias("v"), F.col("code").alias("c"), "bs"), "own"))
+    found.append(lhs.select(F.col("id").alias("_l"), both).join(rhs, "k"))
     ids = found[0]
     for more in found[1:]:
         ids = ids.unionByName(more)
-    return stored(ids.distinct(), "candidates")
+    return stored(ids.select("_l", "_r").distinct(), "candidates")
 
 
 def match_companies(left: DataFrame, right: DataFrame, left_key: str, right_key: str, left_code: str, right_code: str) -> DataFrame:
