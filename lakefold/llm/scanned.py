@@ -3,12 +3,11 @@
 from __future__ import annotations
 
 import re
-from bisect import bisect_left
-from collections import OrderedDict
-from collections.abc import Iterator
+from collections import Counter
+from collections.abc import Iterable, Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lakefold.session import stored
@@ -44,70 +43,70 @@ def bare(word: str) -> str:
     return w.lower()
 
 
-class Trie:
-    """A vocabulary trie kept as a sorted list: a node is a prefix, found by binary search."""
+_END_OF_WORD = ""
 
-    def __init__(self, counts: dict[str, int]):
-        self.counts = counts
-        self.words = sorted(counts)
 
-    def has_prefix(self, prefix: str) -> bool:
-        i = bisect_left(self.words, prefix)
-        return i < len(self.words) and self.words[i].startswith(prefix)
-
-    def children(self, prefix: str) -> list[str]:
-        """The letters that continue ``prefix``, each found by one search past the one before."""
-        out, i, n = [], bisect_left(self.words, prefix), len(prefix)
-        while i < len(self.words) and self.words[i].startswith(prefix):
-            word = self.words[i]
-            if len(word) == n:
-                i += 1
-                continue
-            out.append(word[n])
-            i = bisect_left(self.words, prefix + chr(ord(word[n]) + 1), i)
-        return out
+def trie(words: Iterable[str]) -> dict:
+    """A vocabulary trie: a node maps letters to nodes, and the empty string to the word that ends there."""
+    root: dict = {}
+    for word in words:
+        node = root
+        for ch in word:
+            node = node.setdefault(ch, {})
+        node[_END_OF_WORD] = word
+    return root
 
 
-def readings(word: str, trie: Trie, most: int = 2) -> dict[str, int]:
-    """All vocabulary words the scanner could have turned into ``word`` with at most ``most``
-    misreadings, and how many it takes: the weighted Levenshtein automaton of ``word`` (a misreading
-    costs 1, any other edit is forbidden) intersected with the trie. Complete."""
+def readings(word: str, root: dict, most: int | None = None) -> dict[str, int]:
+    """All vocabulary words the scanner could have turned into ``word`` with at most ``most`` misreadings (by
+    default one in three letters, two at least), and how many it takes: the Levenshtein automaton of
+    ``word`` whose edits are the misreadings, at a cost of 1 each, intersected with the trie. Complete."""
+    most = max(2, len(word) // 3) if most is None else most
     out: dict[str, int] = {}
-    stack = [(0, "", 0)]
+    stack = [(0, root, 0)]
     seen = set()
     while stack:
-        at, prefix, cost = stack.pop()
-        if (at, prefix, cost) in seen:
+        at, node, cost = stack.pop()
+        if (at, id(node), cost) in seen:
             continue
-        seen.add((at, prefix, cost))
+        seen.add((at, id(node), cost))
         if at == len(word):
-            if cost and prefix in trie.counts and cost < out.get(prefix, most + 1):
-                out[prefix] = cost
+            found = node.get(_END_OF_WORD)
+            if cost and found is not None and cost < out.get(found, most + 1):
+                out[found] = cost
             continue
-        if trie.has_prefix(prefix + word[at]):
-            stack.append((at + 1, prefix + word[at], cost))
+        if word[at] in node:
+            stack.append((at + 1, node[word[at]], cost))
         if cost < most:
             for seen_as, meant in _BY_FIRST.get(word[at], ()):
-                if word.startswith(seen_as, at) and trie.has_prefix(prefix + meant):
-                    stack.append((at + len(seen_as), prefix + meant, cost + 1))
+                if word.startswith(seen_as, at):
+                    to = node
+                    for ch in meant:
+                        to = to.get(ch)
+                        if to is None:
+                            break
+                    else:
+                        stack.append((at + len(seen_as), to, cost + 1))
     return out
 
 
-def within(word: str, trie: Trie, k: int) -> dict[str, int]:
+def within(word: str, root: dict, k: int) -> dict[str, int]:
     """All vocabulary words at Levenshtein distance at most ``k``: the automaton's state is a row of the
     distance table, and a branch ends where every entry exceeds ``k``. Complete."""
     out: dict[str, int] = {}
-    stack = [("", list(range(len(word) + 1)))]
+    stack = [(root, list(range(len(word) + 1)))]
     while stack:
-        prefix, row = stack.pop()
-        if row[-1] <= k and prefix in trie.counts:
-            out[prefix] = row[-1]
-        for ch in trie.children(prefix):
+        node, row = stack.pop()
+        for ch, to in node.items():
+            if ch == _END_OF_WORD:
+                if row[-1] <= k:
+                    out[to] = row[-1]
+                continue
             new = [row[0] + 1]
             for i, c in enumerate(word):
                 new.append(min(new[i] + 1, row[i + 1] + 1, row[i] + (c != ch)))
             if min(new) <= k:
-                stack.append((prefix + ch, new))
+                stack.append((to, new))
     return out
 
 
@@ -131,58 +130,126 @@ def titled(line: str) -> bool:
     return len(named) >= 2 and sum(not w[0].islower() for w in named) >= 0.75 * len(named) and any("a" <= c.lower() <= "z" for c in line)
 
 
+_WHOLE = re.compile(r"(?:^|(?<=[\s(\[\"“‘']))[^\W\d_](?:[^\W\d_]|['’&-])*(?=[^\w\s]{0,3}(?:\s|$))")
+_NUMBER = re.compile(r"[\d.,%/:()+\-]*")
+_INSIDE = re.compile(r"[A-Za-z][a-z]*[0158!†$|][a-z]+|[A-Z]{2,}[!†$|][A-Z]{2,}")
+
+
+def whole_words(text: str) -> list[str]:
+    """The words of letters only, in order, in lower case."""
+    return [w.rstrip("-'’&") for w in _WHOLE.findall(text.lower())]
+
+
+def doubtful(word: str) -> bool:
+    """Whether a bare word could have been misread at all."""
+    return len(word) >= 3 and _DOUBTFUL.search(word) is not None and not _NUMBER.fullmatch(word) and "://" not in word and not ("@" in word[1:-1] and "." in word)
+
+
+def broken_inside(word: str) -> bool:
+    """A digit or sign in the middle of a word's small letters, which no spelling has."""
+    return len(word) >= 5 and _INSIDE.fullmatch(word) is not None
+
+
+def layout(text: str) -> tuple[set[str], list[str], list[str]]:
+    """(noise of the page furniture, furniture lines, body lines). Needs no vocabulary."""
+    noise: set[str] = set()
+    raw = [line.replace("\f", "") for line in _BREAKS.split(text)]
+    keys = [skeleton(line) if titled(line.strip()) else "" for line in raw]
+    titles = Counter(k for k in keys if len(k) >= 4)
+    furniture, body = [], []
+    for line, key in zip(raw, keys):
+        if line.strip() and _PAGE_NUMBER.match(line):
+            noise.add("page_number")
+            furniture.append(line)
+        elif titles[key] > 1:
+            noise.add("header")
+            furniture.append(line)
+        else:
+            body.append(line)
+    return noise, furniture, body
+
+
+def _broken(lines: list[str], i: int):
+    """Where line ``i`` ends in a broken word: the match at its end, the line that goes on, its first token."""
+    end = lines[i].rstrip(" \t")
+    m = _BROKEN.search(lines[i]) if end and end[-1] in _MARKS else None
+    if not m:
+        return None
+    j = i + 1
+    while j < len(lines) and not lines[j].strip():
+        j += 1
+    nxt = _TOKEN.search(lines[j]) if j < len(lines) else None
+    return m, j, nxt
+
+
+def _parts(left: str, right: str) -> tuple[str, str, str] | None:
+    """The bare halves of a broken word and the first part of the second, or None if they can't be one word."""
+    a, b = bare(left), bare(right)
+    if not a or not b or not right[:1].isalpha() and right[:1] not in "$†!" or right[:1].isupper() and not left.isupper():
+        return None
+    return a, b, b.split("-")[0]
+
+
+def questions(text: str) -> set[tuple[str, str, bool]]:
+    """(word, word before it, whether its count matters) for every word whose repair needs the vocabulary."""
+    _, furniture, lines = layout(text)
+    out: set[tuple[str, str, bool]] = set()
+
+    def ask(token: str, before: str) -> str:
+        inner = bare(token)
+        if doubtful(inner):
+            out.add((inner, before, False))
+        if token.rstrip(".,;:)").endswith("!"):
+            out.add((inner, "", True))
+            if doubtful(f"{inner}!"):
+                out.add((f"{inner}!", before, False))
+        return inner
+
+    for line in [*furniture, *lines]:
+        before = ""
+        for token in line.split():
+            before = ask(token, before)
+    for i in range(len(lines)):
+        hit = _broken(lines, i)
+        if hit and hit[2]:
+            m, _, nxt = hit
+            words = lines[i][: m.start()].split()
+            before = bare(words[-1]) if words else ""
+            ask(m[1] + nxt[0], before)
+            ask(f"{m[1]}-{nxt[0]}", before)
+            halves = _parts(m[1], nxt[0])
+            if halves:
+                a, b, first = halves
+                out |= {(w, "", True) for w in (a + b, f"{a}-{b}", a, first)}
+                if doubtful(a + b):
+                    out.add((a + b, "", False))
+    return out
+
+
 class Reader:
-    """Reads scanned text with a vocabulary of the whole collection: ``counts`` says in how many records
-    a word stands, ``pairs`` how often two words follow each other."""
+    """Reads one scanned text with what the collection knows about its words: ``counts`` of words, and ``best``,
+    what a word more likely is, by the word and the word before it."""
 
-    def __init__(self, counts: dict[str, int], pairs: dict[str, int], records: int):
-        self.trie, self.pairs = Trie(counts), pairs
-        self.common = max(20, records // 50)
-        self.memo: OrderedDict[str, list[tuple[int, str]]] = OrderedDict()
-        self.clean: set[str] = set()  # words as they stand in texts that need no second look
+    def __init__(self, counts: dict[str, int], best: dict[tuple[str, str], str]):
+        self.counts, self.best = counts, best
+        self.misread = {w for w, _ in best}
 
     def known(self, word: str) -> int:
-        return self.trie.counts.get(word, 0)
-
-    def misread(self, word: str) -> list[tuple[int, str]]:
-        """(misreadings, word) of what ``word`` more likely is; empty if it is fine as it stands. Another
-        reading needs three times the records, a very short word fifty times."""
-        if len(word) < 3 or not _DOUBTFUL.search(word) or self.known(word) >= self.common and word.isalpha():
-            if word.isalpha() or len(word) < 3 or not _DOUBTFUL.search(word):
-                return []
-        hit = self.memo.get(word)
-        if hit is None:
-            own = max(self.known(word), 1 if word.isalpha() else 0)
-            least = 50 * max(own, 1) if len(word) == 3 else 3 * own
-            if re.fullmatch(r"[\d.,%/:()+\-]*", word) or "://" in word or "@" in word[1:-1] and "." in word:
-                hit = []
-            else:
-                hit = sorted((cost, -self.known(v), v) for v, cost in readings(word, self.trie).items() if len(v) >= 3 and self.known(v) >= max(2, least))
-                hit = [(c, v) for c, _, v in hit]
-            self.memo[word] = hit
-            if len(self.memo) > 200_000:
-                self.memo.popitem(last=False)
-        return hit
-
-    def broken_inside(self, word: str) -> bool:
-        """A digit or sign in the middle of a word's small letters, which no spelling has."""
-        return bool(re.fullmatch(r"[A-Za-z][a-z]*[0158!†$|][a-z]+|[A-Z]{2,}[!†$|][A-Z]{2,}", word)) and len(word) >= 5
+        return self.counts.get(word, 0)
 
     def core(self, word: str) -> str:
         """The bare word; an exclamation mark at its end stays if only with it the word can be read."""
         inner = bare(word)
-        if word.rstrip(".,;:)").endswith("!") and not self.known(inner) and self.misread(f"{inner}!"):
+        if word.rstrip(".,;:)").endswith("!") and not self.known(inner) and f"{inner}!" in self.misread:
             return f"{inner}!"
         return inner
 
     def corrected(self, word: str, before: str) -> str:
-        """``word`` as it stood on the page, ranked by misreadings, then by the word before it, then by
-        frequency; the case is kept."""
+        """``word`` as it stood on the page; the case is kept."""
         core = self.core(word)
-        options = self.misread(core)
-        if not options:
+        if core not in self.misread:
             return word
-        best = min(options, key=lambda o: (o[0], -self.pairs.get(f"{before} {o[1]}", 0), -self.known(o[1])))[1]
+        best = self.best.get((core, before)) or next(v for (w, _), v in sorted(self.best.items()) if w == core)
         at = word.lower().find(core)
         body = word[at : at + len(core)]
         upper = sum(c.isupper() for c in body)
@@ -191,63 +258,30 @@ class Reader:
 
     def joins(self, left: str, right: str) -> str | None:
         """The word that was broken into ``left`` and ``right``, or None if the hyphen is its own."""
-        a, b = bare(left), bare(right)
-        if not a or not b or not right[:1].isalpha() and right[:1] not in "$†!" or right[:1].isupper() and not left.isupper():
-            return None
-        first = b.split("-")[0]
-        joined = a + b
-        if self.known(joined) >= 2 or self.misread(joined):
-            return joined
-        if self.known(f"{a}-{b}") >= 2:
+        halves = _parts(left, right)
+        if halves is None:
             return None
-        if self.known(a) >= 2 and self.known(first) >= 2:
+        a, b, first = halves
+        if self.known(a + b) >= 2 or a + b in self.misread:
+            return a + b
+        if self.known(f"{a}-{b}") >= 2 or self.known(a) >= 2 and self.known(first) >= 2:
             return None
-        return joined
+        return a + b
 
     def read(self, text: str) -> tuple[set[str], str]:
         """(kinds of noise, repaired text)."""
-        noise: set[str] = set()
-        raw = [l.replace("\f", "") for l in _BREAKS.split(text)]
-        titles: dict[str, int] = {}
-        keys: list[str | None] = []
-        for line in raw:
-            key = skeleton(line) if titled(line.strip()) else None
-            key = key if key and len(key) >= 4 else None
-            keys.append(key)
-            if key:
-                titles[key] = titles.get(key, 0) + 1
-        furniture = []
-        for line, key in zip(raw, keys):
-            if line.strip() and _PAGE_NUMBER.match(line):
-                noise.add("page_number")
-                furniture.append(True)
-            elif key and titles[key] > 1:
-                noise.add("header")
-                furniture.append(True)
-            else:
-                furniture.append(False)
-        # misread words, in body and furniture alike; broken words are looked at joined
-        body = [(l, f) for l, f in zip(raw, furniture)]
-        if any(f and self._dirty(l) for l, f in body):
+        noise, furniture, lines = layout(text)
+        if any(self.core(w) in self.misread or broken_inside(_EDGE.sub("", w)) for line in furniture for w in line.split()):
             noise.add("characters")
-        lines = [l for l, f in body if not f]
         out: list[str] = []
         i = 0
         while i < len(lines):
-            line = lines[i]
-            end = line.rstrip(" \t")
-            m = _BROKEN.search(line) if end and end[-1] in _MARKS else None
-            if m:
-                j = i + 1
-                while j < len(lines) and not lines[j].strip():
-                    j += 1
-                nxt = _TOKEN.search(lines[j]) if j < len(lines) else None
-                word = self.joins(m[1], nxt[0]) if nxt else None
-                if word is not None:
+            line, hit = lines[i], _broken(lines, i)
+            if hit:
+                m, j, nxt = hit
+                if nxt and self.joins(m[1], nxt[0]) is not None:
                     noise.add("hyphenation")
-                    tail = nxt[0]
-                    rest = lines[j][nxt.end():]
-                    lines[j] = line[: m.start()] + m[1] + tail + rest
+                    lines[j] = line[: m.start()] + m[1] + nxt[0] + lines[j][nxt.end():]
                     i = j
                     continue
                 if nxt and line.rstrip()[-1] in "-‐‑" and j == i + 1:  # the hyphen is the word's own
@@ -258,30 +292,17 @@ class Reader:
             i += 1
         fixed = []
         for line in out:
-            if self.clean.issuperset(line.split()):
-                fixed.append(line)
-                continue
             before, words = "", []
             for part in re.split(r"(\s+)", line):
                 if part and not part.isspace():
-                    new = self.corrected(part, before)
-                    if new != part or self.broken_inside(_EDGE.sub("", part)):
+                    new = self.corrected(part, before) if self.misread else part
+                    if new != part or broken_inside(_EDGE.sub("", part)):
                         noise.add("characters")
-                    else:
-                        self.clean.add(part)
                     part, before = new, bare(new)
                 words.append(part)
             fixed.append("".join(words))
-        if len(self.clean) > 1_000_000:
-            self.clean.clear()
         return noise, self._reflow(fixed)
 
-    def _dirty(self, line: str) -> bool:
-        words = line.split()
-        if self.clean.issuperset(words):
-            return False
-        return any(self.misread(self.core(w)) or self.broken_inside(_EDGE.sub("", w)) for w in words)
-
     @staticmethod
     def _reflow(lines: list[str]) -> str:
         """Lines to paragraphs: a blank line ends one, unless the sentence runs on across it."""
@@ -306,41 +327,122 @@ class Reader:
         return "\n\n".join(paragraphs)
 
 
-def vocabulary(texts: DataFrame, text: str, most: int = 200_000) -> tuple[dict[str, int], dict[str, int], int]:
-    """(records per word, frequent word pairs, records). All texts are counted; what is kept is bounded
-    by ``most``: the least number of records a word needs (at first 2) is doubled until the words fit."""
-    whole = r"(?:^|(?<=[\s(\[\"“‘']))\p{L}[\p{L}'’&-]*(?=[^\p{L}\p{N}\s]{0,3}(?:\s|$))"
-    base = texts.filter(F.length(text) > 0).select(
-        F.transform(F.regexp_extract_all(F.lower(text), F.lit(whole), F.lit(0)), lambda w: F.rtrim(w, F.lit("-'’&"))).alias("w")
-    )
-    words = stored(base.select(F.explode(F.array_distinct("w")).alias("w")).groupBy("w").count(), "words")
-    least = 2
-    while words.filter(F.col("count") >= least).count() > most:
-        least *= 2
-    counts = {r["w"]: r["count"] for r in words.filter(F.col("count") >= least).collect()}
-    follow = base.filter(F.size("w") > 1).select(F.explode(F.zip_with(F.slice("w", F.lit(1), F.size("w") - 1), F.slice("w", F.lit(2), F.size("w") - 1), lambda a, b: F.concat_ws(" ", a, b))).alias("w"))
-    top = follow.groupBy("w").count().filter("count > 2").orderBy(F.col("count").desc(), "w").limit(most)
-    return counts, {r["w"]: r["count"] for r in top.collect()}, texts.count()
-
-
-def repair_scanned(docs: DataFrame, keys: list[str], text: str) -> DataFrame:
+def _retrieve(words: pd.DataFrame) -> pd.DataFrame:
+    """Per key the vocabulary words of that key as a trie, intersected with the automaton of every doubtful word."""
+    found: list[tuple[str, int, str, int]] = []
+    for key, part in words.groupby("key", sort=False):
+        known = dict(zip(part["word"][part["asked"] == 0], part["n"][part["asked"] == 0]))
+        root = trie(known)
+        if not root:
+            continue
+        for word, own in zip(part["word"][part["asked"] == 1], part["n"][part["asked"] == 1]):
+            if key[0] == "s":
+                found += [(word, cost, v, known[v]) for v, cost in readings(word, root).items()]
+            else:  # any one edit, dearer than misreadings
+                found += [(word, 99 + cost, v, known[v]) for v, cost in within(word, root, 1).items() if v != word]
+    columns = list(zip(*found)) if found else [[]] * 4
+    kinds = {"word": object, "cost": "int32", "option": object, "n": "int64"}
+    return pd.DataFrame({c: pd.Series(list(v), dtype=t) for (c, t), v in zip(kinds.items(), columns)})
+
+
+def candidates(asked: DataFrame, known: DataFrame, buckets: int = 512) -> DataFrame:
+    """Complete candidates (``word``, ``cost``, ``option``, ``n``) for the doubtful words ``asked`` (word) among the
+    vocabulary ``known`` (word, n), each word looked up once in the whole cluster.
+
+    No misreading changes a word's skeleton, so vocabulary and doubtful words meet by skeleton; a word with a
+    sign inside, which may be any one letter, also meets the words that share its first or its second half
+    (one edit leaves one of them whole). Per key the automaton of each doubtful word is intersected with the
+    trie of the key's words."""
+    half = F.udf(_halves, "array<string>", useArrow=True)
+    bones = F.udf(skeleton, "string", useArrow=True)
+    asked = asked.withColumn("key", F.explode(F.concat(F.array(F.concat(F.lit("s"), bones("word"))), half("word", F.lit(True)))))
+    keys = asked.select("key").distinct()
+    known = known.withColumn("key", F.explode(F.concat(F.array(F.concat(F.lit("s"), bones("word"))), half("word", F.lit(False)))))
+    known = known.join(keys, "key", "left_semi").select("key", "word", "n", F.lit(0).alias("asked"))
+    both = known.unionByName(asked.select("key", "word", F.lit(0).cast("bigint").alias("n"), F.lit(1).alias("asked")))
+    return both.groupBy(F.pmod(F.xxhash64("key"), F.lit(buckets)).alias("_b")).applyInPandas(_retrieve, "word string, cost int, option string, n bigint")
+
+
+def _halves(word: str, asked: bool) -> list[str]:
+    """Keys for one edit at most: a doubtful word's two halves (only of words with a sign inside), and what may be
+    the halves of such a word at the start and end of a vocabulary word."""
+    if asked:
+        h = len(word) // 2
+        return [f"l{word[:h]}", f"r{word[h:]}"] if broken_inside(word) else []
+    out = set()
+    for n in (len(word) - 1, len(word), len(word) + 1):
+        h = n // 2
+        out |= {f"l{word[:h]}", f"r{word[max(0, len(word) - (n - h)):]}"}
+    return sorted(out) if len(word) >= 4 else []
+
+
+def repair_scanned(docs: DataFrame, keys: list[str], text: str, hot: int = 20_000) -> DataFrame:
     """Per record: ``keys``, ``noise`` (array of hyphenation, characters, header, page_number; empty if
     clean) and ``repaired`` (paragraphs without page furniture, words whole and corrected).
 
-    Vocabulary and word pairs are counted over all records and broadcast within a bound; the records
-    themselves are read in one narrow pass, each distinct doubtful word being looked up once per worker.
+    One pass over the distinct texts counts the vocabulary, its word pairs, and the words of each text that may
+    have been misread or broken. The distinct doubtful words meet the whole vocabulary in the cluster
+    (``candidates``). Another reading counts if it has at least two records and three times those of the word
+    as it stands (fifty times for three letters); several are ranked by misreadings, then by how often they follow the word before, then by frequency. What is known
+    of a text's words then goes back to it, and a second pass repairs it. Nothing of the vocabulary is
+    broadcast but the ``hot`` most frequent words that need no second reading, which don't travel.
+
     Defined results: null and empty texts have no noise and come out empty; repeated rows repeat their
     result; extra columns are not carried.
     """
-    spark = docs.sparkSession
-    shared = spark.sparkContext.broadcast(vocabulary(docs, text))
     types = dict(docs.dtypes)
-    schema = ", ".join(f"`{k}` {types[k]}" for k in keys) + ", noise array<string>, repaired string"
+    base = docs.select(*keys, F.col(text).alias("_text"), F.when(F.length(text) > 0, F.md5(text)).alias("_h"))
+    schema = "h string, word string, before string, counts boolean, n bigint, kind string"
 
-    def scan(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        reader = Reader(*shared.value)
+    def survey(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
-            done = [reader.read(t) if isinstance(t, str) and t else (set(), "") for t in frame["_text"]]
-            yield frame.drop(columns="_text").assign(noise=[sorted(n) for n, _ in done], repaired=[r for _, r in done])
+            asked, words, pairs = [], Counter(), Counter()
+            for h, body in zip(frame["_h"], frame["_text"]):
+                asked += [(h, *q) for q in questions(body)]
+                found = whole_words(body)
+                words.update(set(found))
+                pairs.update(zip(found, found[1:]))
+            rows = [(h, w, b, c, None, "q") for h, w, b, c in asked]
+            rows += [(None, w, None, None, n, "w") for w, n in words.items()] + [(None, w, b, None, n, "p") for (b, w), n in pairs.items()]
+            if rows:
+                out = pd.DataFrame(rows, columns=["h", "word", "before", "counts", "n", "kind"], dtype=object)
+                yield out.assign(n=pd.array(out["n"], dtype="Int64"))
+
+    seen = stored(base.filter("_h is not null").select("_h", "_text").dropDuplicates(["_h"]).mapInPandas(survey, schema), "survey")
+    vocabulary = stored(seen.filter("kind = 'w'").groupBy("word").agg(F.sum("n").alias("n")).filter("n >= 2"), "vocabulary")
+    asked = seen.filter("kind = 'q'")
+    is_alpha = F.col("word").rlike(r"^\p{L}+$")
+    doubts = asked.filter("not counts").select("word").distinct()
+    found = candidates(doubts, vocabulary)
+    own = found.join(vocabulary.select("word", F.col("n").alias("own")), "word", "left")
+    own = own.withColumn("own", F.greatest(F.coalesce("own", F.lit(0)), F.when(is_alpha, 1).otherwise(0)))
+    least = F.when(F.length("word") == 3, 50 * F.greatest("own", F.lit(1))).otherwise(3 * F.col("own"))
+    options = own.filter((F.length("option") >= 3) & (F.col("n") >= F.greatest(F.lit(2), least)))
+    cheapest = Window.partitionBy("word")
+    options = stored(options.withColumn("_c", F.min("cost").over(cheapest)).filter("cost = _c").select("word", "option", "n").distinct(), "options")
+
+    # what each text needs to know: counts of its broken words, and the best reading of its misread ones
+    clean = vocabulary.join(options.select("word").distinct(), "word", "left_anti").orderBy(F.col("n").desc(), "word").limit(hot).select("word")
+    misread = asked.filter("not counts").join(F.broadcast(clean), "word", "left_anti").select("h", "word", "before").join(options, "word")
+    follows = seen.filter("kind = 'p'").join(options.select(F.col("option").alias("word")).distinct(), "word", "left_semi")
+    follows = follows.groupBy("before", F.col("word").alias("option")).agg(F.sum("n").alias("f"))
+    ranked = misread.join(follows, ["before", "option"], "left").groupBy("h", "word", "before").agg(
+        F.max(F.struct(F.coalesce("f", F.lit(0)).alias("f"), "n", "option")).alias("m")
+    )
+    answers = ranked.select("h", F.struct("word", "before", F.lit(None).cast("bigint").alias("n"), F.col("m.option").alias("option")).alias("a"))
+    counted = asked.filter("counts").select("h", "word").join(vocabulary, "word")
+    answers = answers.unionByName(counted.select("h", F.struct("word", F.lit("").alias("before"), "n", F.lit(None).cast("string").alias("option")).alias("a")))
+    answers = answers.groupBy("h").agg(F.collect_set("a").alias("_answers"))
 
-    return docs.select(*keys, F.col(text).alias("_text")).mapInPandas(scan, schema)
+    def repair(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            done = []
+            for body, told in zip(frame["_text"], frame["_answers"]):
+                told = told if told is not None else []
+                reader = Reader({a["word"]: a["n"] for a in told if a["option"] is None}, {(a["word"], a["before"]): a["option"] for a in told if a["option"] is not None})
+                done.append(reader.read(body) if isinstance(body, str) and body else (set(), ""))
+            out = frame.drop(columns=["_text", "_answers"])
+            yield out.assign(noise=pd.Series([sorted(n) for n, _ in done], index=out.index, dtype=object), repaired=pd.Series([r for _, r in done], index=out.index, dtype=object))
+
+    out = ", ".join(f"`{k}` {types[k]}" for k in keys) + ", noise array<string>, repaired string"
+    return base.join(answers.withColumnRenamed("h", "_h"), "_h", "left").select(*keys, "_text", "_answers").mapInPandas(repair, out)

@@ -235,16 +235,44 @@ def test_periods(spark):
 
 
 # 4 scanned pages ----------------------------------------------------------------------------------
-VOCABULARY = {w: 50 for w in "through the board approved clearances debt free demand annual report alpha limited and was it of dealer line page one two modern".split()}
+VOCABULARY = "through the board approved clearances debt free demand annual report alpha limited and was it of dealer line page one two modern".split()
 
 
-def test_scanned_kinds_and_repair():
-    r = scanned.Reader(VOCABULARY, {}, 100)
-    noise, fixed = r.read("Annual Report Alpha Limited\nThe board approved debt-\nfree cle-\n- 4 -\nANNUAL REP0RT ALPHA LIMITED\n\nararices throuqh\n\ndemand.")
-    assert noise == {"header", "page_number", "hyphenation", "characters"}
-    assert fixed == "The board approved debt-free clearances through demand."
-    assert r.read("The board approved demand through the dealer.") == (set(), "The board approved demand through the dealer.")
-    assert r.read("One Two Report\nthe board")[0] == set() and r.read("") == (set(), "")
+def _scan(spark, *texts):
+    """The texts among fifty records that hold the vocabulary."""
+    rows = [(i, t) for i, t in enumerate(texts)] + [(1000 + i, " ".join([*VOCABULARY, str(i)])) for i in range(50)]
+    got = scanned.repair_scanned(spark.createDataFrame(rows, "rec_id long, text string"), ["rec_id"], "text")
+    out = {r["rec_id"]: (set(r["noise"]), r["repaired"]) for r in got.collect()}
+    return [out[i] for i in range(len(texts))]
+
+
+def test_scanned_kinds_and_repair(spark):
+    noisy, clean, short, letters = _scan(
+        spark, "Annual Report Alpha Limited\nThe board approved debt-\nfree cle-\n- 4 -\nANNUAL REP0RT ALPHA LIMITED\n\nararices throuqh\n\ndemand.",
+        "The board approved demand through the dealer.", "One Two Report\nthe board", "the app?oved appr4ved board",
+    )
+    assert noisy == ({"header", "page_number", "hyphenation", "characters"}, "The board approved debt-free clearances through demand.")
+    assert clean == (set(), "The board approved demand through the dealer.") and short[0] == set()
+    assert letters == (set(), "the app?oved appr4ved board")
+
+
+def test_a_word_with_any_sign_inside_is_one_edit_away(spark):
+    assert _scan(spark, "the appro8ed board", "rep5rt of the alpha limi†ed") == [({"characters"}, "the approved board"), ({"characters"}, "report of the alpha limited")]
+
+
+def test_context_ranks_the_candidates(spark):
+    rows = [(i, f"light grain came {i}") for i in range(20)] + [(100 + i, f"the groin stood {i}") for i in range(25)]
+    rows += [(900, "light gr!in came"), (901, "the gr!in stood"), (902, "odd gr!in")]
+    got = {r["rec_id"]: r["repaired"] for r in scanned.repair_scanned(spark.createDataFrame(rows, "rec_id long, text string"), ["rec_id"], "text").collect()}
+    assert (got[900], got[901], got[902]) == ("light grain came", "the groin stood", "odd groin")
+
+
+def test_readings_do_not_depend_on_the_size(spark):
+    """A misreading as frequent as it likes is read as the word that is three times as frequent."""
+    few, many = ([(i, f"ten crore rupees {i}") for i in range(3 * n)] + [(10_000 + i, f"ten crorc rupees {i}") for i in range(n)] for n in (2, 150))
+    for rows in (few, many):
+        got = scanned.repair_scanned(spark.createDataFrame(rows, "rec_id long, text string"), ["rec_id"], "text")
+        assert {r["repaired"].rsplit(" ", 1)[0] for r in got.collect()} == {"ten crore rupees"}
 
 
 @settings(max_examples=60, deadline=None)
@@ -261,7 +289,22 @@ def test_automaton_is_complete(word, k):
                 row.append(min(row[-1] + 1, old[j] + 1, old[j - 1] + (x != y)))
         return row[-1]
 
-    assert scanned.within(word, scanned.Trie(words), k) == {w: distance(word, w) for w in words if distance(word, w) <= k}
+    assert scanned.within(word, scanned.trie(words), k) == {w: distance(word, w) for w in words if distance(word, w) <= k}
+
+
+@settings(max_examples=60, deadline=None)
+@given(st.sampled_from(["clearance", "modern", "building", "million", "height"]), st.lists(st.tuples(st.integers(0, 20), st.integers(0, 30)), max_size=3))
+def test_misreadings_are_found_by_the_automaton(word, errors):
+    root, seen, n = scanned.trie(["clearance", "modern", "building", "million", "height", "dear"]), word, 0
+    for at, which in errors:
+        meant = [c for c in scanned.CONFUSIONS if seen.startswith(c[1], at % len(seen))]
+        if meant and seen == word or meant and at % len(seen) > len(seen) // 2:
+            got, was = meant[which % len(meant)]
+            at %= len(seen)
+            seen, n = seen[:at] + got + seen[at + len(was) :], n + 1
+    if seen != word:
+        assert scanned.skeleton(seen) == scanned.skeleton(word)
+        assert word in scanned.readings(seen, root, 6)
 
 
 def test_scanned_edges(spark):
