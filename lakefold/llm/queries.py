@@ -12,7 +12,7 @@ from lakefold.llm.leakage import leaked_passages
 from lakefold.llm.matching import match_companies
 from lakefold.llm.mixing import TOKENIZER, mix_to_targets, mixture_shares
 from lakefold.llm.nearest_time import nearest_by_time
-from lakefold.llm.personal import find_personal, mask_personal, name_lexicon
+from lakefold.llm.personal import find_personal, mask_personal, session_key
 from lakefold.llm.scanned import repair_scanned
 from lakefold.llm.splitting import split_oversized
 from lakefold.llm.transcripts import speaker_turns
@@ -124,23 +124,22 @@ def p9_shares(spark: SparkSession, root: str) -> DataFrame:
     return mixture_shares(p9_mix(spark, root), table(spark, root, "mix_targets"))
 
 
-def _lexicon(spark: SparkSession, root: str) -> tuple[frozenset[str], frozenset[str]]:
-    return name_lexicon(table(spark, root, "call_roster", "speaker", "job").filter("job is null or job <> 'Operator'"), "speaker")
-
-
 def p10_mentions(spark: SparkSession, root: str) -> DataFrame:
-    """Every mention of personal information in every document."""
-    return find_personal(table(spark, root, "documents", "doc_id", "text"), "doc_id", "text", *_lexicon(spark, root))
+    """Every mention of personal information in every document, with its surrogate."""
+    people = table(spark, root, "call_roster", "speaker", "job").filter("job is null or job <> 'Operator'")
+    docs = table(spark, root, "documents", "doc_id", "text")
+    return find_personal(docs, "doc_id", "text", people, "speaker", session_key(spark)).drop("_h")
 
 
 def p10_found(spark: SparkSession, root: str) -> DataFrame:
-    return p10_mentions(spark, root).select("doc_id", "kind", "start_pos").distinct()
+    return p10_mentions(spark, root).filter("surrogate is not null").select("doc_id", "kind", "start_pos").distinct()
 
 
 def p10_masked(spark: SparkSession, root: str) -> DataFrame:
     """The documents concerned with typed placeholders, and with surrogates."""
-    docs = table(spark, root, "documents", "doc_id", "text")
-    return mask_personal(docs, "doc_id", "text", *_lexicon(spark, root), key="lakefold")
+    people = table(spark, root, "call_roster", "speaker", "job").filter("job is null or job <> 'Operator'")
+    docs, key = table(spark, root, "documents", "doc_id", "text"), session_key(spark)
+    return mask_personal(docs, "doc_id", "text", find_personal(docs, "doc_id", "text", people, "speaker", key), key)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

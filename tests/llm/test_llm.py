@@ -514,23 +514,58 @@ def test_detection():
     ]
 
 
-def test_masks_keep_the_rest_and_coreference():
-    body = "Osvin Daskelmi met Wenmaya Wadhvelor; OSVIN DASKELMI left. Call 3317800468."
-    spans = DETECT.spans(body)
-    masked, natural = personal.replace_all(body, spans, b"k")
-    tags = re.findall(r"\[NAME_\w+\]", masked)
-    assert len(tags) == 3 and tags[0] == tags[2] != tags[1]
-    assert masked.endswith("left. Call " + re.search(r"\[PHONE_\w+\]", masked)[0] + ".")
-    assert "Daskelmi" not in natural and re.search(r"Call \d{10}\.$", natural) and natural.split("; ")[1].split(" left")[0].isupper()
-    assert personal.replace_all(body, spans, b"k") == (masked, natural) != personal.replace_all(body, spans, b"other")
+PEOPLE = [("Osvin Daskelmi",), ("Wenmaya Wadhvelor",), ("राहुल शर्मा",), ("Moderator",), (None,), ("Li Om",)]
+
+
+def _personal(spark, *texts, people=PEOPLE, key="k", **more):
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").withColumn("kind", F.lit(0))
+    lexicon = spark.createDataFrame(people, "speaker string")
+    found = personal.find_personal(df, "doc_id", "text", lexicon, "speaker", key, **more)
+    masked = {r["doc_id"]: r for r in personal.mask_personal(df, "doc_id", "text", found, key).collect()}
+    return sorted(found.drop("_h").collect(), key=lambda r: (r["doc_id"], r["start_pos"])), masked
+
+
+def test_surrogates_keep_format_script_and_coreference(spark):
+    bodies = (
+        "Osvin Daskelmi met Wenmaya Wadhvelor; OSVIN DASKELMI and O. Daskelmi left. Call 3317800468 or +91 33178 00468.",
+        "Then O. Daskelmi wrote; Osvin Daskelmi lives at 12, Long Road, Pune 411001. PAN: ABCPD1234E, mail osvin [at] mail [dot] example [dot] org.",
+        "नमस्ते राहुल शर्मा जी, O. Daskelmi. Li Om too.",
+    )
+    found, masked = _personal(spark, *bodies)
+    by = {(r["doc_id"], r["mention"]): r["surrogate"] for r in found}
+    full = by[0, "Osvin Daskelmi"]
+    assert by[0, "OSVIN DASKELMI"] == full.upper() and by[1, "Osvin Daskelmi"] == full
+    assert by[0, "O. Daskelmi"] == by[1, "O. Daskelmi"] == f"{full[0]}. {full.split()[1]}"
+    assert by[2, "O. Daskelmi"].split()[1] == full.split()[1]  # nobody's initials here, the surname is the same
+    assert by[0, "Wenmaya Wadhvelor"].split()[0].endswith("a") and (2, "Li Om") in by
+    assert re.fullmatch(r"\+91 \d{5} \d{5}", by[0, "+91 33178 00468"]) and re.sub(r"\D", "", by[0, "+91 33178 00468"])[2:] == by[0, "3317800468"] != "3317800468"
+    assert re.fullmatch(r"\d\d, [A-Z][a-z]+ Road, Pune 411001", by[1, "12, Long Road, Pune 411001"])
+    assert re.fullmatch(r"[A-Z]{3}P[A-Z]\d{4}[A-Z]", by[1, "ABCPD1234E"]) and by[1, "osvin [at] mail [dot] example [dot] org"].endswith(" [at] example [dot] invalid")
+    hindi = by[2, "राहुल शर्मा"]
+    assert all("\u0900" <= c <= "\u097f" or c == " " for c in hindi) and [len(w) for w in hindi.split()] == [5, 5]
+    for i, body in enumerate(bodies):
+        plain = re.sub(r"\[[A-Z]+_[0-9a-f]{16}\]", "\0", masked[i]["masked"])
+        assert re.fullmatch(re.escape(plain).replace("\0", "(.+)"), body, re.S)
+        assert re.fullmatch(re.escape(plain).replace("\0", "(.+)"), masked[i]["surrogate"], re.S)
+    again, other = _personal(spark, *bodies)[0], _personal(spark, *bodies, key="other")[0]
+    assert again == found and all(a["surrogate"] != b["surrogate"] for a, b in zip(found, other) if a["kind"] != "address")
+
+
+def test_surrogates_stay_distinct(spark, monkeypatch):
+    """Drawn from few forms, so that many collide; every entity still gets its own, and none a real one."""
+    monkeypatch.setattr(personal, "surrogate", lambda kind, entity, key, turn=0: str((int(entity) * 7 + turn * 13) % 97))
+    entities = spark.createDataFrame([("id", str(i)) for i in range(40)], "kind string, entity string")
+    got = personal.draw_surrogates(entities, "k").collect()
+    assert len(got) == 40 == len({r["other"] for r in got}) and not {r["other"] for r in got} & {str(i) for i in range(40)}
+
+
+def test_names_in_blocks_give_the_same(spark):
+    bodies = ["Osvin Daskelmi met Wenmaya Wadhvelor.", "W. Wadhvelor", None, "", "x " * 50000 + "Osvin Daskelmi"]
+    assert _personal(spark, *bodies) == _personal(spark, *bodies, names_per_pass=1)
 
 
 def test_personal_edges(spark):
-    df = spark.createDataFrame([(1, TEXT), (1, TEXT), (2, None), (3, ""), (4, "x " * 50000 + "Osvin Daskelmi")], "doc_id long, text string").withColumn("kind", F.lit(0))
-    people = spark.createDataFrame([("Osvin Daskelmi",), ("Wenmaya Wadhvelor",), (None,), ("Moderator",)], "speaker string")
-    lexicon = personal.name_lexicon(people, "speaker")
-    assert lexicon == (frozenset({"osvin", "wenmaya"}), frozenset({"daskelmi", "wadhvelor"}))
-    got = personal.find_personal(df, "doc_id", "text", *lexicon).collect()
-    assert len(got) == 21 and (4, "name", 100001) in {(r["doc_id"], r["kind"], r["start_pos"]) for r in got}
-    assert {r["doc_id"] for r in personal.mask_personal(df, "doc_id", "text", *lexicon, key="k").collect()} == {1, 4}
-    assert personal.find_personal(df.limit(0), "doc_id", "text", *lexicon).count() == 0
+    found, masked = _personal(spark, TEXT, TEXT, None, "", "x " * 50000 + "Osvin Daskelmi")
+    assert len(found) == 21 and (4, "name", 100001) in {(r["doc_id"], r["kind"], r["start_pos"]) for r in found}
+    assert masked.keys() == {0, 1, 4} and masked[0]["masked"] == masked[1]["masked"]
+    assert _personal(spark, people=[("A",)])[0] == []
