@@ -9,15 +9,15 @@ _CLOCK = r"\d{1,2}(?::\d{2}){1,2}(?:\.\d+)?"
 #: time stamp, arrows and heading marks before a label
 _LINE = rf"^\s*(?:[\[(<]?({_CLOCK})[\])>]?\s*(?:[-–]\s+)?)?(?:>>\s*)?(?:#+\s*)?(.*)$"
 #: a label alone on its line, in bold, perhaps with the span of the turn behind it
-_BOLD = rf"^\*\*([^*]{{1,160}})\*\*\s*(?:({_CLOCK})\s*[-–]\s*{_CLOCK})?\s*$"
+_BOLD = rf"^\*\*([^*]+)\*\*\s*(?:({_CLOCK})\s*[-–]\s*{_CLOCK})?\s*$"
 #: a label, a colon and text
-_COLON = r"^(?:\*\*)?\s*(?:[Ss]peaker\s*:\s*)?([^:*]{1,120}?)\s*(?:\*\*)?\s*:\s*(?:\*\*)?\s*(.*)$"
+_COLON = r"^(?:\*\*)?\s*(?:[Ss]peaker\s*:\s*)?([^:*]+?)\s*(?:\*\*)?\s*:\s*(?:\*\*)?\s*(.*)$"
 _TITLE = r"^(?:mr|mrs|ms|dr|prof|shri|smt|sir|madam)\.?\s+"
 _PAGE = r"(?i)^\s*(?:page\s+\d+(?:\s+of\s+\d+)?|p(?:g|age)?\.?\s*\d+|-\s*\d+\s*-|\[\d+\]|\d{1,4})\s*$"
 _NOISES = "laugh|applause|drop|inaudible|cross ?talk|music|noise|silence|unclear|overlap|pause|cough|background|indiscernible|foreign|technical"
 _ANNOTATIONS = (
-    rf"(?i)\[[^\]\n]{{0,60}}\]|\{{[^}}\n]{{0,60}}\}}|<[a-z][^>\n]{{0,60}}>|\([^)\n]{{0,30}}(?:{_NOISES})[^)\n]{{0,30}}\)"
-    rf"|(?<!\*)\*[a-z][a-z ]{{1,40}}\*(?!\*)"
+    rf"(?i)\[[^\[\]\n]*\]|\{{[^{{}}\n]*\}}|<[a-z][^<>\n]*>|\([^()\n]*?(?:{_NOISES})[^()\n]*\)"
+    rf"|(?<!\*)\*[a-z][a-z ]+\*(?!\*)"
 )
 _FILLER = r"(?i)(?<![\w'])(?:u[hm]+|er+m?|hm+|mm+|ah+|you know|i mean|sort of|like(?=\s*(?:\.\.\.|…|,)))(?![\w'])(?:\.\.\.|…|,)?"
 _FILLER_ALL = r"(?i)(?<![\w'])(?:u[hm]+|er+m?|hm+|mm+|ah+|oh|you know|i mean|sort of|kind of|like)(?![\w'])"
@@ -72,7 +72,8 @@ def _best_speaker(label: Column, roster: Column) -> Column:
     def rank(r: Column) -> Column:
         full = F.lower(r["speaker"])
         first, last = F.substring_index(full, " ", 1), F.substring_index(full, " ", -1)
-        errors = F.levenshtein(label, full)
+        errors = F.levenshtein(label, full, 2)
+        errors = F.when(errors < 0, 99).otherwise(errors)  # beyond two
         level = (
             F.when(label == full, 0)
             .when(label.isin(*_OPERATORS) & (F.lower(r["job"]) == "operator"), 1)
@@ -81,7 +82,7 @@ def _best_speaker(label: Column, roster: Column) -> Column:
                   & (first != last), 2)
             .when((label == last) | (label == first), 3)
             .when((F.length(full) >= 6) & (errors <= 2), 4)
-            .when((F.length(label) >= 5) & ((F.levenshtein(label, last) <= 1) | (F.levenshtein(label, first) <= 1)), 5)
+            .when((F.length(label) >= 5) & ((F.levenshtein(label, last, 1) >= 0) | (F.levenshtein(label, first, 1) >= 0)), 5)
         )
         return F.struct(level.alias("level"), errors.alias("errors"), r["speaker"].alias("speaker"))
 
@@ -132,8 +133,7 @@ def speaker_turns(calls: DataFrame, roster: DataFrame) -> DataFrame:
     lines = lines.withColumn(
         "_label", F.when(F.col("_bold") != "", _clean_label(F.regexp_replace("_bold", r"\s*:\s*$", ""))).when(F.col("_head") != "", _clean_label(F.col("_head")))
     )
-    plausible = F.length("_label").between(2, 60) & (F.size(F.split("_label", " ")) <= 5)
-    lines = lines.withColumn("_speaker", F.when(plausible, _best_speaker(F.col("_label"), F.col("_roster")))).drop("_roster")
+    lines = lines.withColumn("_speaker", F.when(F.length("_label") >= 2, _best_speaker(F.col("_label"), F.col("_roster")))).drop("_roster")
     said = (
         F.when(F.col("_speaker").isNotNull() & (F.col("_bold") != ""), F.lit(""))
         .when(F.col("_speaker").isNotNull(), F.col("_tail"))

@@ -220,6 +220,13 @@ def test_turns_follow_the_stated_times(spark):
     assert [x for *_, x in got] == ["first", "second", "third", "fourth"]
 
 
+def test_long_labels_and_annotations(spark):
+    name = "Maria Anna Sophia de la Cruz Obregon"
+    body = f"{name}: one [{'background noise ' * 9}] two (long {'very ' * 20}applause here) three\n**{name} - Chief Executive Officer, {'Some Company and Sons ' * 8}**\nfour\nBob Ray: five"
+    got = _turns(spark, (None, body), roster=[*ROSTER, (name, "CEO")])
+    assert [(s, x) for *_, s, _, x in got] == [(name, "one two three four"), ("Bob Ray", "five")]
+
+
 def test_turns_edges(spark):
     assert _turns(spark, ("x", None), ("x", ""), ("x", "no label at all"), ("x", "Um, uh... [music]")) == []
     twice = spark.createDataFrame([(1, None, "Ann Lee: old", T(2024, 1, 1)), (1, None, "Ann Lee: new", T(2024, 1, 2))], "call_id long, period string, text string, loaded_at timestamp_ntz")
