@@ -79,13 +79,6 @@ def offsets(df: DataFrame, value: str, back: dict[str, int]) -> DataFrame:
     return r.filter(F.col("_n") <= max(back.values())).groupBy(*BY).agg(*[F.max(F.when(F.col("_n") == n, F.col(value))).alias(k) for k, n in back.items()])
 
 
-def change_band(df: DataFrame, value: str) -> DataFrame:
-    """First against last known value, the change and a band: at most -1 concern, at least -0.5 stable,
-    else slight."""
-    ends = first_last_known(df, value).withColumn("change", F.col("last") - F.col("first"))
-    return ends.withColumn("flag", F.when(F.col("change") <= -1, "concern").when(F.col("change") >= -0.5, "stable").otherwise("slight"))
-
-
 def decumulate(filings: DataFrame, not_additive: list[str]) -> DataFrame:
     """Quarter values out of year-to-date values: symbol, consolidated, q, item, ytd, value, how.
 
@@ -123,47 +116,6 @@ def segment_rows(filings: DataFrame) -> DataFrame:
     return s.select(*BY, "q", "segment", "v.revenue", "v.result", F.when(F.col("v.revenue") > 0, F.col("v.result") / F.col("v.revenue") * 100).alias("margin_pct"))
 
 
-def health_flags(wide: DataFrame) -> DataFrame:
-    """symbol, consolidated, category, signal: growth, margin, coverage and dilution signals from one
-    aggregated row per company (columns revenue, profit, interest, pbt, capital)."""
-    def ends(c: str) -> list[Column]:
-        known = F.when(F.col(c).isNotNull(), F.col("q"))
-        return [F.min_by(c, known).alias(f"{c}_0"), F.max_by(c, known).alias(f"{c}_1"), F.count(c).alias(f"{c}_n")]
-
-    one = wide.withColumn("margin", F.when(F.col("revenue") > 0, F.col("profit") / F.col("revenue") * 100))
-    one = one.groupBy(*BY).agg(*[x for c in ("revenue", "profit", "capital", "margin") for x in ends(c)], F.sum("pbt").alias("pbt"), F.sum("interest").alias("interest"))
-
-    def yearly(c: str) -> Column:
-        ok = (F.col(f"{c}_n") > 1) & (F.col(f"{c}_0") > 0) & (F.col(f"{c}_1") > 0)
-        return F.when(ok, (F.pow(F.col(f"{c}_1") / F.col(f"{c}_0"), 4.0 / (F.col(f"{c}_n") - 1)) - 1) * 100)
-
-    sales, profit = yearly("revenue"), yearly("profit")
-    delta = F.col("margin_1") - F.col("margin_0")
-    cover = F.when(F.col("interest") > 0, (F.col("pbt") + F.col("interest")) / F.col("interest"))
-
-    def flag(category: str, *cases: tuple[Column, str]) -> Column:
-        signal = F.lit(None).cast("string")
-        for condition, name in reversed(cases):
-            signal = F.when(condition, name).otherwise(signal)
-        return F.when(signal.isNotNull(), F.struct(F.lit(category).alias("category"), signal.alias("signal")))
-
-    flags = F.array_compact(F.array(
-        flag("growth", ((sales < 3) & (profit < 0), "concern"), ((profit - sales > 12) & (sales < 8), "watch"), ((sales >= 12) & (profit >= 12), "strength")),
-        flag("margins", (delta <= -4, "concern"), (delta >= 4, "strength")),
-        flag("coverage", (cover < 3, "concern"), (cover > 8, "strength")),
-        flag("dilution", (F.col("capital_1") / F.col("capital_0") > 1.25, "watch")),
-    ))
-    return one.select(*BY, F.inline(flags))
-
-
-def last_n_signs(df: DataFrame, value: str, n: int = 5) -> DataFrame:
-    """Of the last ``n`` known values: how many are negative, and whether all or any are."""
-    arr = F.transform(F.sort_array(F.collect_list(F.when(F.col(value).isNotNull(), F.struct("q", F.col(value).alias("v"))))), lambda x: x["v"])
-    a = df.groupBy(*BY).agg(arr.alias("a")).filter(F.size("a") > 0)
-    a = a.withColumn("a", F.slice("a", F.greatest(F.size("a") - (n - 1), F.lit(1)), n))
-    return a.select(*BY, F.size("a").alias("n"), F.size(F.filter("a", lambda x: x < 0)).alias("n_negative"), F.forall("a", lambda x: x < 0).alias("all_negative"), F.exists("a", lambda x: x < 0).alias("any_negative"))
-
-
 def pick_label(lines: DataFrame, keys: list[str], label: str, order: str, options: list[str]) -> DataFrame:
     """Per key the line whose label holds the first of ``options`` that any label holds; of several such
     lines the first."""

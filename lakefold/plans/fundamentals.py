@@ -77,11 +77,6 @@ def cagr(spark, root):
     return rounded(A.cagr(_wide(spark, root), "revenue"), 4)
 
 
-def ownership_trend(spark, root):
-    """First against last known value with a banded flag."""
-    return rounded(A.change_band(_wide(spark, root), "eps"), 4)
-
-
 def decumulate_ytd(spark, root):
     return rounded(A.decumulate(_filings(spark, root), NOT_ADDITIVE), 4)
 
@@ -94,24 +89,6 @@ def xbrl_segments(spark, root):
     return rounded(A.segment_rows(_filings(spark, root)), 4)
 
 
-def health_flags(spark, root):
-    return A.health_flags(_wide(spark, root))
-
-
-def health_flag_counts(spark, root):
-    return A.health_flags(_wide(spark, root)).groupBy("category", "signal").agg(F.count(F.lit(1)).alias("n"))
-
-
-def capital_flags(spark, root):
-    return A.last_n_signs(_wide(spark, root), "profit", 5)
-
-
-def cash_ratio(spark, root):
-    """Profit over revenue, summed over the known quarters."""
-    w = _wide(spark, root).groupBy(*A.BY).agg(F.sum("profit").alias("profit"), F.sum("revenue").alias("revenue"))
-    return rounded(w.select(*A.BY, "profit", "revenue", F.try_divide("profit", "revenue").alias("ratio")), 4)
-
-
 def label_lookup(spark, root):
     """Per statement record the first line whose label holds 'net profit', else 'profit', else 'cash'."""
     s = table(spark, root, "screener", "rec_id", "rows").select("rec_id", F.posexplode("rows").alias("pos", "row"))
@@ -135,7 +112,7 @@ def statement_cells(spark, root):
 
 QUERIES = {f.__name__: f for f in (
     revision_dedupe, statement_unpivot, statement_pivot, xbrl_quarterly, latest_reported_period, metric_offsets, ttm, growth_yoy_qoq, yearly_growth_skip_null, nyear_avg, cagr,
-    ownership_trend, decumulate_ytd, decumulate_counts, xbrl_segments, health_flags, health_flag_counts, capital_flags, cash_ratio, label_lookup, statement_basis, statement_cells,
+    decumulate_ytd, decumulate_counts, xbrl_segments, label_lookup, statement_basis, statement_cells,
 )}
 
 _PREFERRED = "pw as (select * from (select *, max(consolidated::int) over (partition by symbol) as c_ from wide) where consolidated::int = c_)"
@@ -148,17 +125,6 @@ _DECUM = f"""{FIL},
     count(fact) over (partition by symbol, consolidated, item, fy order by no range between unbounded preceding and 1 preceding) as known from j),
   h as (select *, case when item in ('PaidUpCapital', 'BasicEPS') then 'carried' when no = 1 then 'first' when prior is not null then 'prior_ytd' when known = no - 1 then 'prior_quarters' else 'unresolved' end as how from k where ytd is not null)
 """
-_HEALTH = f"""{WIDE}, m as (select *, case when revenue > 0 then profit / revenue * 100 end as margin from wide),
-  o as (select symbol, consolidated, {', '.join(f"arg_min({c}, q) filter ({c} is not null) as {c}_0, arg_max({c}, q) filter ({c} is not null) as {c}_1, count({c}) as {c}_n" for c in ('revenue', 'profit', 'capital', 'margin'))},
-    sum(pbt) as pbt, sum(interest) as interest from m group by 1, 2),
-  g as (select *, case when revenue_n > 1 and revenue_0 > 0 and revenue_1 > 0 then (pow(revenue_1 / revenue_0, 4.0 / (revenue_n - 1)) - 1) * 100 end as sales,
-    case when profit_n > 1 and profit_0 > 0 and profit_1 > 0 then (pow(profit_1 / profit_0, 4.0 / (profit_n - 1)) - 1) * 100 end as gain, margin_1 - margin_0 as delta,
-    case when interest > 0 then (pbt + interest) / interest end as cover from o),
-  fl as (select symbol, consolidated, 'growth' as category, case when sales < 3 and gain < 0 then 'concern' when gain - sales > 12 and sales < 8 then 'watch' when sales >= 12 and gain >= 12 then 'strength' end as signal from g
-    union all select symbol, consolidated, 'margins', case when delta <= -4 then 'concern' when delta >= 4 then 'strength' end from g
-    union all select symbol, consolidated, 'coverage', case when cover < 3 then 'concern' when cover > 8 then 'strength' end from g
-    union all select symbol, consolidated, 'dilution', case when capital_1 / capital_0 > 1.25 then 'watch' end from g)
-"""
 _ENDS = "count({0}) as n, arg_min({0}, q) filter ({0} is not null) as \"first\", arg_max({0}, q) filter ({0} is not null) as \"last\""
 
 SQL = {
@@ -179,18 +145,10 @@ SQL = {
         select symbol, consolidated, count(*) as n, round(case when count(*) >= 4 then avg(profit) end, 6) as mean, round(sum(profit), 6) as total from r where i <= 8 group by 1, 2""",
     "cagr": f"""with {WIDE}, e as (select symbol, consolidated, {_ENDS.format('revenue')} from wide group by 1, 2 having count(revenue) > 0)
         select symbol, consolidated, n, round("first", 4) as "first", round("last", 4) as "last", round(case when n > 1 and "first" > 0 and "last" > 0 then (pow("last" / "first", 4.0 / (n - 1)) - 1) * 100 end, 4) as cagr_pct from e""",
-    "ownership_trend": f"""with {WIDE}, e as (select symbol, consolidated, {_ENDS.format('eps')} from wide group by 1, 2 having count(eps) > 0)
-        select symbol, consolidated, n, round("first", 4) as "first", round("last", 4) as "last", round("last" - "first", 4) as change,
-        case when "last" - "first" <= -1 then 'concern' when "last" - "first" >= -0.5 then 'stable' else 'slight' end as flag from e""",
     "decumulate_ytd": f"""with {_DECUM} select symbol, consolidated, q, item, round(ytd, 4) as ytd, round(case when how in ('carried', 'first') then ytd when how = 'prior_ytd' then ytd - prior when how = 'prior_quarters' then ytd - s end, 4) as value, how from h""",
     "decumulate_counts": f"with {_DECUM} select how, count(*) as n from h group by 1",
     "xbrl_segments": f"""with {FIL}, x as (select symbol, consolidated, q, unnest(map_entries(segments)) as e from fil) select symbol, consolidated, q, e.key as segment, round(e.value.revenue, 4) as revenue, round(e.value.result, 4) as result,
         round(case when e.value.revenue > 0 then e.value.result / e.value.revenue * 100 end, 4) as margin_pct from x""",
-    "health_flags": f"with {_HEALTH} select * from fl where signal is not null",
-    "health_flag_counts": f"with {_HEALTH} select category, signal, count(*) as n from fl where signal is not null group by 1, 2",
-    "capital_flags": f"""with {WIDE}, r as (select *, row_number() over (partition by symbol, consolidated order by q desc) as i from wide where profit is not null)
-        select symbol, consolidated, count(*)::int as n, count(*) filter (profit < 0)::int as n_negative, bool_and(profit < 0) as all_negative, bool_or(profit < 0) as any_negative from r where i <= 5 group by 1, 2""",
-    "cash_ratio": f"""with {WIDE} select symbol, consolidated, round(sum(profit), 4) as profit, round(sum(revenue), 4) as revenue, round(case when sum(revenue) <> 0 then sum(profit) / sum(revenue) end, 4) as ratio from wide group by 1, 2""",
     "label_lookup": """with l as (select rec_id, unnest(range(len(rows)))::int as pos, unnest(rows)['metric'] as label from screener),
         r as (select *, case when lower(label) like '%net profit%' then 0 when lower(label) like '%profit%' then 1 when lower(label) like '%cash%' then 2 end as r from l),
         n as (select *, row_number() over (partition by rec_id order by r, pos) as n from r where r is not null) select rec_id, pos, label from n where n = 1""",

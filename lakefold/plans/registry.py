@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lakefold.plans import documents, fundamentals, prices, reference_data, screening, streams, text, valuation, wide
+from lakefold.plans import documents, fundamentals, prices, reference_data, screening, statements, streams, text, valuation, wide
 
-_MODULES = [screening, prices, fundamentals, valuation, reference_data, text, documents, streams, wide]
+_MODULES = [screening, prices, fundamentals, statements, valuation, reference_data, text, documents, streams, wide]
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

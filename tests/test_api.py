@@ -35,6 +35,9 @@ def test_universe_questions(lake):
     out = lake.screen_stocks(text={"industry": "a"}, least={"market_cap_cr": 200.0}, most={"pe": 60.0}, exclude={"metals": ["metal"]})
     assert out["funnel"].count() == 4 and out["matches"].columns and out["near_misses"].count() >= 0 and out["excluded"].count() >= 0
     assert lake.screen_by_year(2024, least=0.0).count() >= 0 and lake.screen_consistency(-90.0, min_years=1).count() > 0
+    assert lake.screen_by_year(2024, metric="sales_growth").columns and lake.screen_by_year(2024, metric="opm", sector="a").count() >= 0
+    assert lake.screen_consistency(-1e9, 3, 0, 1, metric="net_profit").count() > 0 and lake.screen_consistency(-1e9, 3, 0, 1, metric="roce").count() >= 0
+    assert lake.screen_stocks(most={"debt_equity": 2.0}, sector="a", index="a")["funnel"].count() == 2
     agg, leaders = lake.sector_analysis("a", 5)
     assert agg.count() > 0 and leaders.count() <= 5
     series = lake.macro_data().first()["series"]
@@ -46,6 +49,9 @@ def test_portfolio_and_errors(lake):
     names = [r["symbol"] for r in lake.daily().groupBy("symbol").count().orderBy("count", ascending=False).limit(2).collect()]
     risk = lake.portfolio_risk({n: 1.0 for n in names})
     assert risk["concentration"].first()["hhi"] == pytest.approx(0.5) and risk["covariance"].count() == 3
-    for bad in (lambda: lake.portfolio_risk({}), lambda: lake.financial_statements("x", "nothing"), lambda: lake.price_history("x", interval="hour"), lambda: lake.screen_stocks(least={"nothing": 1.0})):
+    short = lake.portfolio_risk({n: 1.0 for n in names}, start="2024-01-01", benchmark=names[0])
+    assert short["beta"].columns and short["enough_days"].count() == 1
+    assert lake.search_documents([1.0] * 64, top_k=3, where={"label": [1, 2]}).columns
+    for bad in (lambda: lake.screen_by_year(2024, metric="nothing"), lambda: lake.portfolio_risk({}), lambda: lake.financial_statements("x", "nothing"), lambda: lake.price_history("x", interval="hour"), lambda: lake.screen_stocks(least={"nothing": 1.0})):
         with pytest.raises(ValueError):
             bad()
