@@ -5,6 +5,7 @@ from __future__ import annotations
 import re
 from collections import Counter
 from collections.abc import Iterable, Iterator
+from functools import lru_cache
 
 import pandas as pd
 from pyspark.sql import DataFrame, Window
@@ -35,6 +36,7 @@ _EDGE = re.compile(r"^[^\w$†!€£@|]+|[^\w†$!|]+$")
 _END = re.compile(r"[.!?:;।॥][\"'”’)\]]*$")
 
 
+@lru_cache(1 << 18)
 def bare(word: str) -> str:
     """A word without the punctuation around it, in lower case."""
     w = _EDGE.sub("", word)
@@ -150,6 +152,19 @@ def broken_inside(word: str) -> bool:
     return len(word) >= 5 and _INSIDE.fullmatch(word) is not None
 
 
+@lru_cache(1 << 18)
+def _sign_inside(token: str) -> bool:
+    return broken_inside(_EDGE.sub("", token))
+
+
+@lru_cache(1 << 18)
+def _asked(token: str) -> tuple[str, tuple[str, ...], bool]:
+    """(bare word, its forms that may be misread, whether it ends in an exclamation mark)."""
+    inner = bare(token)
+    called = token.rstrip(".,;:)").endswith("!")
+    return inner, tuple(w for w in ((inner, f"{inner}!") if called else (inner,)) if doubtful(w)), called
+
+
 def layout(text: str) -> tuple[set[str], list[str], list[str]]:
     """(noise of the page furniture, furniture lines, body lines). Needs no vocabulary."""
     noise: set[str] = set()
@@ -196,13 +211,11 @@ def questions(text: str) -> set[tuple[str, str, bool]]:
     out: set[tuple[str, str, bool]] = set()
 
     def ask(token: str, before: str) -> str:
-        inner = bare(token)
-        if doubtful(inner):
-            out.add((inner, before, False))
-        if token.rstrip(".,;:)").endswith("!"):
+        inner, forms, called = _asked(token)
+        for form in forms:
+            out.add((form, before, False))
+        if called:
             out.add((inner, "", True))
-            if doubtful(f"{inner}!"):
-                out.add((f"{inner}!", before, False))
         return inner
 
     for line in [*furniture, *lines]:
@@ -244,6 +257,9 @@ class Reader:
             return f"{inner}!"
         return inner
 
+    def dirty(self, token: str) -> bool:
+        return bare(token) in self.misread or _sign_inside(token) or "!" in token and self.core(token) in self.misread
+
     def corrected(self, word: str, before: str) -> str:
         """``word`` as it stood on the page; the case is kept."""
         core = self.core(word)
@@ -271,7 +287,7 @@ class Reader:
     def read(self, text: str) -> tuple[set[str], str]:
         """(kinds of noise, repaired text)."""
         noise, furniture, lines = layout(text)
-        if any(self.core(w) in self.misread or broken_inside(_EDGE.sub("", w)) for line in furniture for w in line.split()):
+        if any(self.dirty(w) for line in furniture for w in line.split()):
             noise.add("characters")
         out: list[str] = []
         i = 0
@@ -292,11 +308,14 @@ class Reader:
             i += 1
         fixed = []
         for line in out:
+            if not any(map(self.dirty, line.split())):
+                fixed.append(line)
+                continue
             before, words = "", []
             for part in re.split(r"(\s+)", line):
                 if part and not part.isspace():
                     new = self.corrected(part, before) if self.misread else part
-                    if new != part or broken_inside(_EDGE.sub("", part)):
+                    if new != part or _sign_inside(part):
                         noise.add("characters")
                     part, before = new, bare(new)
                 words.append(part)
