@@ -18,7 +18,7 @@ def normalised(holdings: DataFrame) -> DataFrame:
 def aligned_returns(daily: DataFrame, holdings: DataFrame) -> DataFrame:
     """symbol, d, r, weight on the days on which every holding has a price. Inner alignment by counting
     holdings per day, without a pivot."""
-    held = daily.join(F.broadcast(holdings.select("symbol", "weight")), "symbol").select("symbol", "d", "close", "weight")
+    held = daily.join(holdings.select("symbol", "weight"), "symbol").select("symbol", "d", "close", "weight")
     n = holdings.agg(F.count_distinct("symbol").alias("n"))
     days = held.groupBy("d").agg(F.count_distinct("symbol").alias("k")).join(F.broadcast(n), F.col("k") == F.col("n")).select("d")
     both = held.join(days, "d")

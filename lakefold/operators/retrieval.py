@@ -35,7 +35,7 @@ def timeline(vectors: DataFrame, query: list[float], key: str, date: str, n_date
     s = scored(vectors.filter(F.col(date) > 0), query)
     dates = s.select(date).distinct().orderBy(F.col(date).desc()).limit(n_dates)
     rank = F.row_number().over(Window.partitionBy(date).orderBy(F.col("score").desc(), key))
-    return s.join(F.broadcast(dates), date).withColumn("_n", rank).filter(F.col("_n") <= per_date).drop("_n")
+    return s.join(dates, date).withColumn("_n", rank).filter(F.col("_n") <= per_date).drop("_n")
 
 
 def scored_all(vectors: DataFrame, queries: DataFrame, query_key: str, vector: str = "embedding") -> DataFrame:

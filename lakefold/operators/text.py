@@ -2,16 +2,27 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Marks that hint at a letter head or a form rather than prose.
+from lakefold.functions.parse import let
+from lakefold.functions.tokens import shipped, token_size
+
+#: Marks of a cover letter, in lower case.
 LETTERHEAD = (
-    r"regd\.? office|registered office", r"\bcin\b", r"\btel\b|telephone|\bph\b\.?", r"e-?mail", r"website|www\.", r"\bfax\b",
-    r"subject\s*[-:]", r"yours (faithfully|sincerely|truly)", r"company secretary",
+    r"phiroze jeejeebhoy",
+    r"exchange plaza",
+    r"listing department",
+    r"scrip code",
+    r"regd\.?\s*office\s*:",
+    r"yours faithfully",
+    r"dear (sirs?|madam)",
+    r"take (the )?(same|above|this|it)[^.]{0,40}record",
+    r"pursuant to regulation",
 )
 
 
@@ -58,8 +69,11 @@ def strip_frequent_lines(docs: DataFrame, key: str, text: str, least: int = 3) -
     """Texts without the lines that stand ``least`` times or more in them; order is kept. Arrays of one
     text only, no shuffle."""
     lines = F.split(text, r"\r\n|\r|\n")
-    kept = F.filter(F.col("_l"), lambda x: (F.trim(x) == "") | (F.size(F.filter(F.col("_l"), lambda y: F.trim(y) == F.trim(x))) < least))
-    return docs.select(key, lines.alias("_l")).select(key, F.array_join(kept, "\n").alias(text))
+    # sorted, equal lines stand together: a line that also stands ``least`` - 1 places on is frequent
+    rows = docs.select(key, lines.alias("_l")).withColumn("_s", F.array_sort(F.filter(F.transform("_l", lambda x: F.trim(x)), lambda x: x != "")))
+    often = F.array_distinct(F.filter("_s", lambda x, i: x == F.try_element_at("_s", (i + least).cast("int"))))
+    rows = rows.withColumn("_o", often)
+    return rows.select(key, F.array_join(F.filter("_l", lambda x: ~F.array_contains("_o", F.trim(x))), "\n").alias(text))
 
 
 def numeric_runs(docs: DataFrame, key: str, text: str, least: int = 4) -> DataFrame:
@@ -112,7 +126,8 @@ def html_to_text(html: Column) -> Column:
     for entity, sign in (("&nbsp;", " "), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&amp;", "&")):
         x = F.replace(x, F.lit(entity), F.lit(sign))
     lines = F.filter(F.transform(F.split(x, "\n"), lambda v: F.trim(F.regexp_replace(v, r"\s+", " "))), lambda v: v != "")
-    return F.array_join(F.filter(lines, lambda v, i: (i == 0) | (v != F.try_element_at(lines, i))), "\n")
+    # the list is made once, not once per line
+    return let(lines, lambda known: F.array_join(F.filter(known, lambda v, i: (i == 0) | (v != F.try_element_at(known, i))), "\n"))
 
 
 def roster_like(text: Column) -> Column:
@@ -127,40 +142,50 @@ def prose_yield(text: Column, least: int = 40) -> Column:
     return F.aggregate(F.split(text, r"\r\n|\r|\n"), F.lit(0), lambda a, x: a + F.when(F.length(x) > least, F.length(x)).otherwise(0))
 
 
-def sliding_chunks(docs: DataFrame, key: str, text: str, target: int = 400, most: int = 800, overlap: int = 70) -> DataFrame:
+def sliding_chunks(docs: DataFrame, key: str, text: str, target: int = 400, most: int = 800, overlap: int = 70, tokenizer: str | None = None) -> DataFrame:
     """Sentence-packed chunks: key, seq, n_tokens, chunk. Sentences are packed until ``target`` tokens,
     a sentence above ``most`` is sliced, and each chunk starts with the last sentences of the one before
-    worth at least ``overlap`` tokens. A fold over the sentences of one text, in Arrow batches."""
+    worth at least ``overlap`` tokens. Tokens are those of the ``tokenizer`` (path of a rank file), else a quarter of the
+    characters. A fold over the sentences of one text, in Arrow batches; sizes are measured once per sentence."""
     types = dict(docs.dtypes)
-
-    def size(s: str) -> int:
-        return max(1, len(s) // 4)
+    file = shipped(docs.sparkSession, tokenizer) if tokenizer else None
+
+    def sliced(s: str, size) -> list[str]:
+        if size(s) <= most:
+            return [s]
+        if file is None:
+            return [s[i : i + most * 4] for i in range(0, len(s), most * 4)]
+        cut = len(s) // 2  # halves until they fit, at a blank if there is one near
+        blank = s.rfind(" ", cut // 2, cut)
+        cut = blank + 1 if blank > 0 else cut
+        return [*sliced(s[:cut], size), *sliced(s[cut:], size)]
 
     def pack(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        import re
-
+        size = token_size(file()) if file else lambda s: max(1, len(s) // 4)
         for frame in frames:
             rows: list[tuple] = []
             for k, body in zip(frame["_k"], frame["_t"]):
-                parts: list[str] = []
-                for s in re.split(r"(?<=[.!?।])\s+|\n{2,}", body.strip()):
-                    parts += [s[i : i + most * 4] for i in range(0, len(s), most * 4)]
-                held: list[str] = []
-                seq = 0
-                for s in filter(None, parts):
-                    if held and sum(map(size, held)) + size(s) > target:
-                        rows.append((k, seq, sum(map(size, held)), " ".join(held)))
+                held: list[tuple[str, int]] = []
+                fill = seq = 0
+                for s in (part for whole in re.split(r"(?<=[.!?।])\s+|\n{2,}", body.strip()) if whole for part in sliced(whole, size)):
+                    n = size(s)
+                    if held and fill + n > target:
+                        rows.append((k, seq, fill, " ".join(t for t, _ in held)))
                         seq += 1
-                        tail: list[str] = []
-                        for old in reversed(held):
-                            if sum(map(size, tail)) >= overlap or sum(map(size, tail)) + size(old) + size(s) > most:
-                                break
-                            tail.insert(0, old)
-                        held = tail if len(tail) < len(held) else tail[1:]
-                    held.append(s)
+                        at, back = len(held), 0
+                        while at and back < overlap and back + held[at - 1][1] + n <= most:
+                            at -= 1
+                            back += held[at][1]
+                        if at == 0:
+                            back -= held[0][1]
+                            at = 1
+                        held, fill = held[at:], back
+                    held.append((s, n))
+                    fill += n
                 if held:
-                    rows.append((k, seq, sum(map(size, held)), " ".join(held)))
-            yield pd.DataFrame(rows, columns=[key, "seq", "n_tokens", "chunk"])
+                    rows.append((k, seq, fill, " ".join(t for t, _ in held)))
+            if rows:
+                yield pd.DataFrame(rows, columns=[key, "seq", "n_tokens", "chunk"])
 
     base = docs.select(F.col(key).alias("_k"), F.col(text).alias("_t")).filter("length(trim(_t)) > 0")
     return base.mapInPandas(pack, f"`{key}` {types[key]}, seq int, n_tokens int, chunk string")
@@ -168,16 +193,21 @@ def sliding_chunks(docs: DataFrame, key: str, text: str, target: int = 400, most
 
 def pack_blocks(blocks: DataFrame, key: str, order: str, size: str, limit: int) -> DataFrame:
     """Greedy packing of ordered blocks into bins of at most ``limit``: key, order, bin (from 0). A block
-    alone above the limit is a bin of its own. A fold over one key's sizes."""
-    arr = blocks.groupBy(key).agg(F.array_sort(F.collect_list(F.struct(F.col(order).alias("o"), F.col(size).cast("int").alias("s")))).alias("a"))
-    start = F.struct(F.lit(0).alias("bin"), F.lit(0).alias("fill"), F.array().cast("array<struct<o:bigint,bin:int>>").alias("out"))
-
-    def step(acc: Column, x: Column) -> Column:
-        fits = (acc["fill"] == 0) | (acc["fill"] + x["s"] <= limit)
-        b = F.when(fits, acc["bin"]).otherwise(acc["bin"] + 1)
-        return F.struct(b.alias("bin"), F.when(fits, acc["fill"] + x["s"]).otherwise(x["s"]).alias("fill"), F.concat(acc["out"], F.array(F.struct(x["o"].cast("bigint").alias("o"), b.alias("bin")))).alias("out"))
-
-    return arr.select(key, F.inline(F.aggregate("a", start, step)["out"])).withColumnRenamed("o", order)
+    alone above the limit is a bin of its own. A fold over one key's sizes, which nothing but the fold can cut."""
+    types = dict(blocks.dtypes)
+
+    def fold(part: pd.DataFrame) -> pd.DataFrame:
+        part = part.sort_values(["o", "s"], kind="stable")
+        number, fill, out = 0, 0, []
+        for s in part["s"].tolist():
+            if fill and fill + s > limit:
+                number, fill = number + 1, 0
+            fill += s
+            out.append(number)
+        return pd.DataFrame({key: part["k"], order: part["o"], "bin": pd.Series(out, dtype="int32", index=part.index)})
+
+    rows = blocks.select(F.col(key).alias("k"), F.col(order).alias("o"), F.col(size).cast("bigint").alias("s"))
+    return rows.groupBy("k").applyInPandas(fold, f"`{key}` {types[key]}, `{order}` {types[order]}, bin int")
 
 
 def exchanges(turns: DataFrame, key: str, order: str, role: str, question: str) -> DataFrame:

@@ -57,13 +57,6 @@ def fiscal_quarters(spark, root):
 
 
 def section_labels(spark, root):
-    """Lines per section of slide decks whose headings name a unit."""
-    d = table(spark, root, "concall_presentation", "rec_id", "text").dropDuplicates(["rec_id"]).filter("text is not null")
-    s = D.section_lines(d, "rec_id", "text", ["net debt in pump sets", "utilisation in bulk drugs", "freight cost in solar modules"])
-    return s.filter("section is not null").groupBy("section").agg(F.count(F.lit(1)).alias("n_lines"))
-
-
-def section_labels_all(spark, root):
     """Lines of every section of every slide deck, headings recognised by their form."""
     d = table(spark, root, "concall_presentation", "rec_id", "text").dropDuplicates(["rec_id"]).filter("text is not null")
     return D.deck_sections(d, "rec_id", "text").groupBy("rec_id", "section_pos", "section").agg(F.count(F.lit(1)).alias("n_lines"))
@@ -76,7 +69,8 @@ def boilerplate_skip(spark, root):
 
 def numeric_blocks(spark, root):
     d = table(spark, root, "annual_report", "rec_id", "text").dropDuplicates(["rec_id"]).filter("text is not null")
-    return rounded(D.numeric_blocks(d, "rec_id", "text", 2, 0.5))
+    blocks = D.numeric_blocks(d, "rec_id", "text", 2, 0.5)
+    return rounded(blocks.withColumn("dropped", (F.col("n") >= 15) & (F.col("numeric_share") >= 0.6)))
 
 
 def quality_gate(spark, root):
@@ -157,15 +151,15 @@ def fact_search(spark, root):
 
 QUERIES = {f.__name__: f for f in (
     deck_blocks, report_paragraphs, rating_notes, announcement_bodies, string_functions, fact_labels, headline_types, fact_search,
-    topic_classify, page_kinds, cover_letter, letter_fields, letter_subjects, document_dates, handoff_cut, fiscal_quarters, section_labels, boilerplate_skip, numeric_blocks, quality_gate,
-    stale_or_missing, parsed_form_first, guidance_tracker, flat_metric_map, section_labels_all,
+    topic_classify, page_kinds, cover_letter, letter_fields, letter_subjects, document_dates, handoff_cut, fiscal_quarters, boilerplate_skip, numeric_blocks, quality_gate,
+    stale_or_missing, parsed_form_first, guidance_tracker, flat_metric_map, section_labels,
 )}
 _TOPIC = "case " + " ".join("when " + " or ".join(f"lower(text) like '%{w}%'" for w in words) + f" then '{name}'" for name, words in D.TOPICS.items()) + " else 'other' end"
 _FIRST = "split_part(split_part(text, E'\\r', 1), E'\\n', 1)"
 _MARKED = " or ".join(f"regexp_matches(lower(line), '{p}')" for p in LETTERHEAD)
 _HEADING = D.DECK_HEADING.replace("'", "''")
 SQL = {
-    "section_labels_all": f"""with {lines_sql('concall_presentation', 'rec_id')}, h as (select rec_id, pos, lower(trim(concat({', '.join(f"regexp_extract(trim(line, ' '), '{_HEADING}', {i})" for i in range(1, 5))}), ' ')) as h from l),
+    "section_labels": f"""with {lines_sql('concall_presentation', 'rec_id')}, h as (select rec_id, pos, lower(trim(concat({', '.join(f"regexp_extract(trim(line, ' '), '{_HEADING}', {i})" for i in range(1, 5))}), ' ')) as h from l),
         s as (select rec_id, pos, last_value(case when h <> '' then pos end ignore nulls) over (partition by rec_id order by pos rows unbounded preceding) as section_pos from h)
         select s.rec_id, s.section_pos, h.h as section, count(*) as n_lines from s join h on h.rec_id = s.rec_id and h.pos = s.section_pos group by 1, 2, 3""",
     "cover_letter": f"""with {lines_sql('documents', 'doc_id')} select doc_id, coalesce(max(pos + 1) filter (pos < 120 and ({_MARKED})), 0)::int as n_cover_lines from l group by 1""",
@@ -173,12 +167,9 @@ SQL = {
         from concall_transcript where text is not null""",
     "boilerplate_skip": f"""with {lines_sql('credit_rating', 'rec_id')}, s as (select *, coalesce(last_value(case when regexp_matches(line, '(?i)press release') then true when regexp_matches(line, '^\\s*$') then false end ignore nulls)
         over (partition by rec_id order by pos rows unbounded preceding), false) as skip from l) select rec_id, count(*) as n_lines from s where not skip group by 1""",
-    "section_labels": f"""with {lines_sql('concall_presentation', 'rec_id')}, b as (select *, trim(regexp_replace(lower(line), '[#*>:|]+', ' ', 'g'), ' ') as bare from l),
-        s as (select *, last_value(case when bare in ('net debt in pump sets', 'utilisation in bulk drugs', 'freight cost in solar modules') then bare end ignore nulls) over (partition by rec_id order by pos rows unbounded preceding) as section from b)
-        select section, count(*) as n_lines from s where section is not null group by 1""",
     "numeric_blocks": f"""with {lines_sql('annual_report', 'rec_id')}, b as (select *, sum((trim(line, ' ') = '')::int) over (partition by rec_id order by pos) as block from l),
         n as (select *, (regexp_matches(line, '\\d') and length(regexp_replace(line, '[\\d.,%()\\s-]', '', 'g')) <= 0.4 * length(line))::int::double as num from b where trim(line, ' ') <> '')
-        select rec_id, min(pos) as first_pos, count(*) as n, round(avg(num), 6) as numeric_share from n group by rec_id, block having count(*) >= 2 and avg(num) >= 0.5""",
+        select rec_id, min(pos) as first_pos, count(*) as n, round(avg(num), 6) as numeric_share, count(*) >= 15 and avg(num) >= 0.6 as dropped from n group by rec_id, block having count(*) >= 2 and avg(num) >= 0.5""",
     "letter_subjects": "select doc_id, trim(regexp_extract(text, '(?im)^\\s*sub(?:ject)?\\s*[-:]\\s*(.+)$', 1)) as subject from documents where text is not null",
     "headline_types": f"""select doc_id, regexp_extract({_FIRST}, '^(.*?)\\s+[-–:]\\s+(.*)$', 1) as kind,
         case when regexp_matches({_FIRST}, '\\s+[-–:]\\s+') then length(regexp_extract({_FIRST}, '^(.*?)\\s+[-–:]\\s+(.*)$', 2)) else length({_FIRST}) end::int as n_chars from documents where text is not null""",

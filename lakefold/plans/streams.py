@@ -28,26 +28,34 @@ def _run(spark: SparkSession, stream: DataFrame, name: str, mode: str = "append"
     return spark.read.schema(stream.schema).parquet(f"{place}/out")
 
 
+LATE = "10 minutes"
+
+
+def _windows(spark: SparkSession, root: str, make, name: str, start: str) -> DataFrame:
+    """A windowed stream run to the end of its input, the last windows included."""
+    out = E.drain_to_end(_stream(spark, root), make, "ts", start, _place(spark, name))
+    return out.withColumn(start, F.col(start).cast("timestamp_ntz"))
+
+
 def stream_tumbling(spark, root):
-    """Counts per hour and type, of the windows that are complete."""
-    out = _run(spark, E.tumbling(_stream(spark, root), "ts", "1 hour", ["event_type"], "0 seconds"), "tumbling")
-    return out.select(F.col("window_start").cast("timestamp_ntz").alias("window_start"), "event_type", "n", F.round("total", 4).alias("total"))
+    """Counts per hour and type."""
+    out = _windows(spark, root, lambda s: E.tumbling(s, "ts", "1 hour", ["event_type"], LATE), "tumbling", "window_start")
+    return out.select("window_start", "event_type", "n", F.round("total", 4).alias("total"))
 
 
 def stream_sliding(spark, root):
-    out = _run(spark, E.tumbling(_stream(spark, root), "ts", "2 hours", ["event_type"], "0 seconds", "1 hour"), "sliding")
-    return out.select(F.col("window_start").cast("timestamp_ntz").alias("window_start"), "event_type", "n")
+    out = _windows(spark, root, lambda s: E.tumbling(s, "ts", "2 hours", ["event_type"], LATE, "1 hour"), "sliding", "window_start")
+    return out.select("window_start", "event_type", "n")
 
 
 def stream_session(spark, root):
-    out = _run(spark, E.sessions(_stream(spark, root), "ts", "30 minutes", "user_id", "0 seconds"), "session")
-    return out.select("user_id", F.col("session_start").cast("timestamp_ntz").alias("session_start"), "n")
+    return _windows(spark, root, lambda s: E.sessions(s, "ts", "30 minutes", "user_id", LATE), "session", "session_start").select("user_id", "session_start", "n")
 
 
 def stream_dedup(spark, root):
-    """The users and types seen, each once."""
-    s = _stream(spark, root).dropDuplicates(["user_id", "event_type"])
-    return _run(spark, s, "dedup").select("user_id", "event_type")
+    """The users and types of each day, each once; what is remembered ends a day behind the newest event."""
+    s = _stream(spark, root).withColumn("day", F.to_date("ts"))
+    return _run(spark, E.first_seen(s, "ts", ["user_id", "event_type", "day"], "1 day"), "dedup").select("user_id", "event_type", "day")
 
 
 def stream_upsert(spark, root):
@@ -55,7 +63,7 @@ def stream_upsert(spark, root):
     place = _place(spark, "upsert")
     stream = _stream(spark, root).select("user_id", "event_id", F.col("ts").cast("timestamp_ntz").alias("ts"), "event_type")
     E.drain_batches(stream, E.upsert(spark, f"{place}/t", ["user_id"], [F.col("ts").desc(), F.col("event_id").desc()]), f"{place}/checkpoint")
-    return E.newest_version(spark, f"{place}/t").select("user_id", "event_id", "event_type")
+    return E.newest_version(spark, f"{place}/t", stream.schema).select("user_id", "event_id", "event_type")
 
 
 def stream_ema(spark, root):
@@ -66,17 +74,15 @@ def stream_ema(spark, root):
 
 
 QUERIES = {f.__name__: f for f in (stream_tumbling, stream_sliding, stream_session, stream_dedup, stream_upsert, stream_ema)}
-_END = "(select max(ts) from events)"
 SQL = {
-    "stream_tumbling": f"""select date_trunc('hour', ts) as window_start, event_type, count(*) as n, round(sum(value), 4) as total from events
-        where date_trunc('hour', ts) + interval 1 hour <= {_END} group by 1, 2""",
-    "stream_sliding": f"""with w as (select date_trunc('hour', ts) - interval (unnest([0, 1])) hour as window_start, event_type from events)
-        select window_start, event_type, count(*) as n from w where window_start + interval 2 hour <= {_END} group by 1, 2""",
-    "stream_session": f"""with g as (select user_id, ts, case when ts - lag(ts) over w < interval 30 minute then 0 else 1 end as new from events window w as (partition by user_id order by ts)),
+    "stream_tumbling": "select date_trunc('hour', ts) as window_start, event_type, count(*) as n, round(sum(value), 4) as total from events group by 1, 2",
+    "stream_sliding": """with w as (select date_trunc('hour', ts) - interval (unnest([0, 1])) hour as window_start, event_type from events)
+        select window_start, event_type, count(*) as n from w group by 1, 2""",
+    "stream_session": """with g as (select user_id, ts, case when ts - lag(ts) over w < interval 30 minute then 0 else 1 end as new from events window w as (partition by user_id order by ts)),
         s as (select *, sum(new) over (partition by user_id order by ts) as k from g)
-        select user_id, min(ts) as session_start, count(*) as n from s group by user_id, k having max(ts) + interval 30 minute <= {_END}""",
+        select user_id, min(ts) as session_start, count(*) as n from s group by user_id, k""",
     "stream_ema": """with r as (select user_id, value, row_number() over (partition by user_id order by ts) as rn from events)
         select user_id, round(sum(value * pow(0.8, -rn)) / sum(pow(0.8, -rn)), 6) as ema from r group by 1""",
-    "stream_dedup": "select distinct user_id, event_type from events",
+    "stream_dedup": "select distinct user_id, event_type, ts::date as day from events",
     "stream_upsert": "select user_id, event_id, event_type from (select *, row_number() over (partition by user_id order by ts desc, event_id desc) as n from events) where n = 1",
 }

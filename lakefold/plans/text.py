@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lakefold.functions.parse import read_date, read_number
+from lakefold.functions.tokens import TOKENIZER
 from lakefold.operators import retrieval as V
 from lakefold.operators import text as T
 from lakefold.plans.prices import rounded
@@ -32,7 +33,9 @@ def strip_page_headers(spark, root):
 
 
 def numeric_runs(spark, root):
-    return T.numeric_runs(table(spark, root, "annual_report", "rec_id", "text").dropDuplicates(["rec_id"]), "rec_id", "text", 1)
+    """Every run of numeric lines, and whether it is long enough to be axis ticks."""
+    runs = T.numeric_runs(table(spark, root, "annual_report", "rec_id", "text").dropDuplicates(["rec_id"]), "rec_id", "text", 1)
+    return runs.withColumn("dropped", F.col("n") >= 4)
 
 
 def letterhead_markers(spark, root):
@@ -55,21 +58,11 @@ def html_to_text(spark, root):
 
 
 def numeric_parse(spark, root):
-    t = table(spark, root, "tijori", "rec_id", "val").filter("val rlike '^[-(]?[0-9,.]+[)]?$'")
-    return rounded(t.select("rec_id", read_number(F.col("val")).alias("number")))
-
-
-def date_parse(spark, root):
-    t = table(spark, root, "tijori", "rec_id", "val").filter("val rlike '^([0-9]{4}-[0-9]{2}-[0-9]{2}|[0-9]{2}/[0-9]{2}/[0-9]{4}|[0-9]{2} [A-Z][a-z]{2} [0-9]{4})$'")
-    return t.select("rec_id", read_date(F.col("val")).alias("day"))
-
-
-def numeric_parse_all(spark, root):
     """The number in every value; null where there is none to read."""
     return rounded(table(spark, root, "tijori", "rec_id", "val").select("rec_id", read_number(F.col("val")).alias("number")))
 
 
-def date_parse_all(spark, root):
+def date_parse(spark, root):
     """The day in every value; null where there is none to read."""
     return table(spark, root, "tijori", "rec_id", "val").select("rec_id", read_date(F.col("val")).alias("day"))
 
@@ -108,6 +101,11 @@ def chunk_sliding(spark, root):
     return T.sliding_chunks(_docs(spark, root), "doc_id", "text").select("doc_id", "seq", "n_tokens", "chunk")
 
 
+def chunk_tokens(spark, root):
+    """Chunks with sizes in tokens of a public tokenizer."""
+    return T.sliding_chunks(_docs(spark, root), "doc_id", "text", tokenizer=TOKENIZER)
+
+
 def pack_blocks(spark, root):
     d = table(spark, root, "documents", "doc_id", "source", "n_chars").filter("source is not null")
     b = d.withColumn("group", F.concat_ws("/", "source", F.pmod(F.col("doc_id"), F.lit(64)).cast("string")))
@@ -180,9 +178,9 @@ def timeline_topk_all(spark, root):
 
 
 QUERIES = {f.__name__: f for f in (
-    text_normalize, line_frequency, strip_page_headers, numeric_runs, letterhead_markers, leak_scrub, html_to_text, numeric_parse, date_parse, label_date, filing_year, token_stats, prose_yield,
-    roster_lines, exchange_grouping, chunk_sliding, pack_blocks, corpus_stats, metadata_filter, recency_gate, latest_dates, vector_topk, vector_topk_capped, timeline_topk,
-    vector_topk_all, vector_topk_capped_all, timeline_topk_all, numeric_parse_all, date_parse_all,
+    text_normalize, line_frequency, strip_page_headers, numeric_runs, letterhead_markers, leak_scrub, html_to_text, label_date, filing_year, token_stats, prose_yield,
+    roster_lines, exchange_grouping, chunk_sliding, chunk_tokens, pack_blocks, corpus_stats, metadata_filter, recency_gate, latest_dates, vector_topk, vector_topk_capped, timeline_topk,
+    vector_topk_all, vector_topk_capped_all, timeline_topk_all, numeric_parse, date_parse,
 )}
 
 _MARKERS = " + ".join(f"regexp_matches(lower(text), '{p}')::int" for p in T.LETTERHEAD)
@@ -207,18 +205,24 @@ SQL = {
         b as (select doc_id, replace(translate(x, '{T.ODD_SIGNS}', '   ' || chr(39) || chr(39) || chr(34) || chr(34)), '**', '') as x from a),
         c as (select doc_id, regexp_replace(regexp_replace(regexp_replace(x, '(?m)^#+[ \\t]+', '', 'g'), '[ \\t]+', ' ', 'g'), ' ?\\n ?', E'\\n', 'g') as x from b),
         e as (select doc_id, trim(regexp_replace(x, '\\n{{3,}}', E'\\n\\n', 'g'), ' ') as x from c) select doc_id, md5(x) as digest, length(x)::int as n_chars from e""",
+    "html_to_text": """with h as (select doc_id, '<html><style>p {}</style><body><h1>T &amp; Co</h1><p>' || replace(text, chr(10), '</p>' || chr(10) || '<p>') || '</p><p>end</p><p>end</p></body></html>' as h from documents where text is not null),
+        a as (select doc_id, regexp_replace(regexp_replace(regexp_replace(h, '(?is)<script\\b.*?</script>|<style\\b.*?</style>', ' ', 'g'), '(?i)<br\\s*/?>|</(p|div|tr|li|h[1-6]|table)>', chr(10), 'g'), '<[^>]+>', ' ', 'g') as x from h),
+        b as (select doc_id, replace(replace(replace(replace(replace(replace(x, '&nbsp;', ' '), '&lt;', '<'), '&gt;', '>'), '&quot;', chr(34)), '&#39;', chr(39)), '&amp;', '&') as x from a),
+        l as (select doc_id, list_filter(list_transform(string_split(x, chr(10)), lambda v: trim(regexp_replace(v, '[ \\t\\n\\x0b\\f\\r]+', ' ', 'g'), ' ')), lambda v: v <> '') as l from b)
+        select doc_id, md5(array_to_string(list_filter(l, lambda v, i: i = 1 or v <> l[i - 1]), chr(10))) as digest from l""",
+    "pack_blocks": """with recursive b as (select source || '/' || (doc_id % 64) as "group", doc_id, n_chars, row_number() over (partition by source || '/' || (doc_id % 64) order by doc_id) as n from documents where source is not null),
+        r as (select "group", doc_id, n, 0 as bin, n_chars as fill from b where n = 1
+          union all select b."group", b.doc_id, b.n, case when r.fill > 0 and r.fill + b.n_chars > 8000 then r.bin + 1 else r.bin end, case when r.fill > 0 and r.fill + b.n_chars > 8000 then b.n_chars else r.fill + b.n_chars end
+          from r join b on b."group" = r."group" and b.n = r.n + 1) select "group", doc_id, bin from r""",
     "strip_page_headers": f"""with {lines_sql('credit_rating', 'rec_id')}, c as (select *, count(*) over (partition by rec_id, trim(line, ' ')) as n from l), k as (select * from c where trim(line, ' ') = '' or n < 3)
         select rec_id, (coalesce(sum(length(line)), 0) + greatest(count(pos) - 1, 0))::int as n_chars from d left join k using (rec_id) group by 1""",
     "numeric_runs": f"""with {lines_sql('annual_report', 'rec_id')}, n as (select *, regexp_matches(line, '^\\s*[-+]?[\\d.,%]+\\s*$') as num from l where trim(line, ' ') <> ''),
-        i as (select *, sum((not num)::int) over (partition by rec_id order by pos) as island from n) select rec_id, min(pos) as first_pos, count(*) as n from i where num group by rec_id, island""",
+        i as (select *, sum((not num)::int) over (partition by rec_id order by pos) as island from n) select rec_id, min(pos) as first_pos, count(*) as n, count(*) >= 4 as dropped from i where num group by rec_id, island""",
     "line_frequency": """with d as (select rec_id, any_value(text) as text from annual_report group by 1), l as (select rec_id, trim(unnest(regexp_split_to_array(text, '\\r\\n|\\r|\\n')), E' ') as line from d)
         select rec_id, line, count(*) as n from l where line <> '' group by 1, 2 having count(*) >= 2""",
     "letterhead_markers": f"select doc_id, ({_MARKERS})::int as n_markers from documents where text is not null",
     "leak_scrub": f"""with m as (select doc_type, {_MARKERS} as n from documents where text is not null)
         select doc_type, coalesce(case when doc_type = 'announcement' then false when doc_type = 'annual_report' then n >= 3 else n >= 2 end, false) as dropped, count(*) as n from m group by 1, 2""",
-    "numeric_parse": """select rec_id, round(case when val like '(%' then -1 else 1 end * try_cast(replace(replace(replace(val, ',', ''), '(', ''), ')', '') as double), 6) as number from tijori where regexp_matches(val, '^[-(]?[0-9,.]+[)]?$')""",
-    "date_parse": """select rec_id, coalesce(try_strptime(val, '%Y-%m-%d'), try_strptime(val, '%d/%m/%Y'), try_strptime(val, '%d %b %Y'))::date as day from tijori
-        where regexp_matches(val, '^([0-9]{4}-[0-9]{2}-[0-9]{2}|[0-9]{2}/[0-9]{2}/[0-9]{4}|[0-9]{2} [A-Z][a-z]{2} [0-9]{4})$')""",
     "label_date": """with d as (select distinct call_id, period from concall_transcript), x as (select call_id, lower(regexp_extract(period, '([A-Za-z]{3})[A-Za-z]*[_ -]?(20\\d{2})', 1)) as m, try_cast(regexp_extract(period, '([A-Za-z]{3})[A-Za-z]*[_ -]?(20\\d{2})', 2) as int) as y from d)
         select call_id, coalesce(case when list_position(['jan','feb','mar','apr','may','jun','jul','aug','sep','oct','nov','dec'], m) > 0 then y * 10000 + list_position(['jan','feb','mar','apr','may','jun','jul','aug','sep','oct','nov','dec'], m) * 100 + 1 end, 0)::int as date_int from x""",
     "filing_year": """select doc_id, list_max(list_filter(list_transform(regexp_extract_all(text, '\\b(20[0-3]\\d)\\b', 1), lambda x: x::int), lambda x: x <= 2035)) as year from documents where text is not null""",
@@ -245,10 +249,10 @@ SQL = {
         c as (select *, row_number() over (partition by query_id order by score desc, vec_id) as m from r where n <= 1) select query_id, vec_id, grp, round(score, 4) as score from c where m <= 8""",
     "timeline_topk_all": f"""with {_QA}, d as (select distinct day from s where day > 0 order by day desc limit 8), r as (select s.*, row_number() over (partition by query_id, day order by score desc, vec_id) as n from s join d using (day))
         select query_id, vec_id, day, round(score, 4) as score from r where n <= 2""",
-    "numeric_parse_all": f"""with {_VALUES}, a as (select rec_id, trim(regexp_replace(regexp_replace(lower(v), '^([(\\-+ ]*){_CURRENCY}\\s*', '\\1'), '\\s*[*†‡#^]+$', '')) as y from v),
+    "numeric_parse": f"""with {_VALUES}, a as (select rec_id, trim(regexp_replace(regexp_replace(lower(v), '^([(\\-+ ]*){_CURRENCY}\\s*', '\\1'), '\\s*[*†‡#^]+$', '')) as y from v),
         b as (select rec_id, regexp_replace(y, '\\s*(?:cr\\.?|crores?|nos\\.?|units?|days?)$', '') as y from a), c as (select rec_id, case when y like '(%' then -1 else 1 end as sign, regexp_replace(y, '^\\(\\s*(.*?)\\s*\\)$', '\\1') as z from b)
         , d as (select rec_id, case when regexp_full_match(z, '[-+]?\\s?(\\d[\\d,]*(\\.\\d*)?|\\.\\d+)(e[-+]?\\d{{1,3}})?') then round(try_cast(regexp_replace(z, '[,\\s]', '', 'g') as double) * sign, 6) end as number from c)
         select rec_id, case when number = 0 then 0 else number end as number from d -- no negative zero""",
-    "date_parse_all": f"""with {_VALUES} select rec_id, case {' '.join(f"when regexp_full_match(v, '{r}') then try_strptime(v, '{f}')::date" for r, f in _DATES)}
+    "date_parse": f"""with {_VALUES} select rec_id, case {' '.join(f"when regexp_full_match(v, '{r}') then try_strptime(v, '{f}')::date" for r, f in _DATES)}
         when regexp_full_match(v, '-?\\d{{1,15}}') then date '1970-01-01' + floor(v::bigint / 86400000.0)::int end as day from v""",
 }

@@ -35,12 +35,14 @@ def get_spark(master: str | None = None, app: str = "lakefold", **conf: str) ->
 
 def shared_dir(spark: SparkSession) -> str:
     """The folder all executors share. Taken from ``spark.checkpoint.dir``; a local folder is made
-    only where the session names none, which is the case in tests on one machine."""
+    only where the session names none and runs on one machine, as in tests. A cluster without one is refused."""
     jsc = spark.sparkContext._jsc.sc()
     known = jsc.getCheckpointDir()
     if known.isDefined():
         return known.get()
     named = spark.conf.get("spark.checkpoint.dir", None)
+    if not named and not spark.sparkContext.master.startswith("local["):
+        raise RuntimeError("spark.checkpoint.dir has to name a folder that all executors share")
     spark.sparkContext.setCheckpointDir(named or tempfile.mkdtemp(prefix="lakefold_"))
     return jsc.getCheckpointDir().get()
 
@@ -69,8 +71,11 @@ def ship(spark: SparkSession) -> None:
 
 def stored(df: DataFrame, name: str = "stage") -> DataFrame:
     """Write ``df`` once to the shared folder and read it back: the lineage ends there, the result
-    survives the loss of any executor, and later reads prune columns."""
+    survives the loss of any executor, and later reads prune columns. What was written is deleted when the
+    application ends."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}_{uuid.uuid4().hex}"
     df.write.parquet(path)
+    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(target)
     return spark.read.schema(df.schema).parquet(path)

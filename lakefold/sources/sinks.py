@@ -5,7 +5,7 @@ from __future__ import annotations
 import time
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, Observation, SparkSession, Window
 from pyspark.sql import functions as F
 
 
@@ -41,9 +41,9 @@ def append_new(spark: SparkSession, path: str, incoming: DataFrame, keys: list[s
         stored = spark.read.parquet(path).select(*keys)
         on = [F.col(f"a.{k}").eqNullSafe(F.col(f"b.{k}")) for k in keys]
         fresh = fresh.alias("a").join(stored.alias("b"), on, "left_anti")
-    before = spark.read.parquet(path).count() if age_seconds(spark, path) is not None else 0
-    fresh.write.mode("append").parquet(path)
-    return spark.read.parquet(path).count() - before
+    seen = Observation()
+    fresh.observe(seen, F.count(F.lit(1)).alias("n")).write.mode("append").parquet(path)  # counted while written
+    return seen.get["n"]
 
 
 def delete_where(df: DataFrame, condition, reason, dry_run: bool = False) -> tuple[DataFrame, DataFrame]:
@@ -79,5 +79,5 @@ def to_markdown(df: DataFrame, rows: int = 60) -> str:
 
 
 def to_json_text(df: DataFrame, most: int = 12_000) -> DataFrame:
-    """Rows as JSON, cut at ``most`` characters."""
+    """Rows as JSON, cut at ``most`` characters for display: what is cut no longer parses."""
     return df.select(F.substring(F.to_json(F.struct(*df.columns)), 1, most).alias("json"))

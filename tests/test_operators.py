@@ -1,6 +1,7 @@
 """Golden values, edge rows and properties of the core operators."""
 
 import datetime as dt
+import os
 
 import pytest
 from hypothesis import given, settings
@@ -236,6 +237,59 @@ def test_text_operators(spark):
     assert one(text.strip_frequent_lines(lines, "id", "t", 3))["t"] == "a\nb\nc"
 
 
+def test_html_to_text_is_linear(spark):
+    import time
+
+    page = spark.createDataFrame([("<p>" + "</p><p>".join(f"line {i} &amp; more" for i in range(20_000)) + "</p>",)], "h string")
+    began = time.perf_counter()
+    got = page.select(text.html_to_text(F.col("h")).alias("t")).first()["t"]
+    assert got.count("\n") == 19_999 and time.perf_counter() - began < 20
+
+
+def test_chunks_in_tokens(spark):
+    from lakefold.functions import tokens
+
+    if not os.path.exists(tokens.TOKENIZER):
+        pytest.skip("no tokenizer here")
+    docs = spark.createDataFrame([(1, " ".join(f"Sentence {i} on the dividend of ₹{i}.50 crore." for i in range(200))), (2, "वार्षिक" * 900)], "id long, t string")
+    got = text.sliding_chunks(docs, "id", "t", 100, 200, 20, tokens.TOKENIZER).collect()
+    size = tokens.token_size(tokens.TOKENIZER)
+    assert {r["id"] for r in got} == {1, 2} and max(size(r["chunk"]) for r in got) <= 220 and max(r["n_tokens"] for r in got) <= 200
+
+
+def test_upserts_rewrite_only_the_buckets_they_touch(spark, tmp_path):
+    from lakefold.streaming import events
+
+    target = str(tmp_path / "t")
+    schema = spark.createDataFrame([], "k long, at long, v string").schema
+    write = events.upsert(spark, target, ["k"], [F.col("at").desc()], buckets=8)
+    batches = [[(i, 1, "a") for i in range(40)], [(3, 2, "b"), (3, 0, "old")], [(41, 1, "c")], [(3, 1, "late")]]
+    for n, rows in enumerate(batches):
+        write(spark.createDataFrame(rows, schema), n)
+    write(spark.createDataFrame(batches[3], schema), 3)  # replayed
+    got = {r["k"]: r["v"] for r in events.newest_version(spark, target, schema).collect()}
+    assert got == {**{i: "a" for i in range(40)}, 3: "b", 41: "c"}
+    assert len(list((tmp_path / "t" / "v=1").glob("b=*"))) == 1
+
+
+def test_windows_over_late_batches_and_the_end_of_input(spark, tmp_path):
+    from lakefold.streaming import events
+
+    at = lambda m: dt.datetime(2024, 1, 1) + dt.timedelta(minutes=m)
+    schema = spark.createDataFrame([], "ts timestamp, event_type string, user_id long, value double").schema
+    folder = tmp_path / "in"
+    for n, rows in enumerate([[(at(5), "a", 1, 1.0), (at(70), "a", 1, 1.0)], [(at(61), "a", 1, 1.0), (at(62), "b", 2, 1.0), (at(1), "a", 1, 1.0)], [(at(130), "a", 1, 1.0)]]):
+        spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(str(folder))
+        for f in folder.glob("part-*"):
+            if not f.name.startswith("part-9"):
+                f.rename(folder / f"part-9{n}.parquet")
+                os.utime(folder / f"part-9{n}.parquet", (1_700_000_000 + n, 1_700_000_000 + n))
+    stream = events.file_stream(spark, str(folder), schema, 1, "part-9*")
+    out = events.drain_to_end(stream, lambda x: events.tumbling(x, "ts", "1 hour", ["event_type"], "10 minutes"), "ts", "window_start", str(tmp_path / "run"))
+    got = {(r["window_start"].hour, r["event_type"]): r["n"] for r in out.collect()}
+    assert got[1, "a"] == 2 and got[1, "b"] == 1 and got[2, "a"] == 1 and got[0, "a"] in (1, 2)
+
+
 def test_retrieval_cap_and_ties(spark):
     v = spark.createDataFrame([(i, i % 2, [1.0, 0.0] if i < 4 else [0.0, 1.0]) for i in range(6)], "id long, g long, embedding array<float>")
     assert [r["id"] for r in retrieval.top_k(v, [1.0, 0.0], "id", 3).collect()] == [0, 1, 2]
