@@ -2,43 +2,15 @@
 
 from __future__ import annotations
 
-import base64
-import os
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 
 import pandas as pd
-from pyspark import SparkFiles
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from lakefold.functions.tokens import TOKENIZER, encoding, shipped
 from lakefold.session import stored
 
-#: Where the public vocabularies lie; a parameter of every function that needs one.
-TOKENIZER = "/opt/tokenizers/byte_bpe_50k.tiktoken"
-#: The pre-splitting pattern that belongs to the vocabulary, from its public description.
-PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-
-_LOADED: dict[str, object] = {}
-
-
-def encoding(path: str):
-    """The tokenizer of a rank file, read once per worker process."""
-    if path not in _LOADED:
-        import tiktoken
-
-        with open(path, "rb") as file:
-            ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, file) if a}
-        _LOADED[path] = tiktoken.Encoding(os.path.basename(path), pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
-    return _LOADED[path]
-
-
-def shipped(spark: SparkSession, path: str) -> Callable[[], str]:
-    """Hands a file of the driver to all executors; gives what finds it there."""
-    spark.sparkContext.addFile(path)
-    name = os.path.basename(path)
-    return lambda: SparkFiles.get(name)
-
-
 def token_counts(docs: DataFrame, keep: list[str], text: str, tokenizer: str = TOKENIZER) -> DataFrame:
     """``keep`` and ``n_tokens``: the tokens of each whole text. Narrow; null texts have 0."""
     types = dict(docs.dtypes)

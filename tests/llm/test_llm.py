@@ -10,6 +10,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
+from lakefold.functions import tokens
 from lakefold.llm import encoding, leakage, matching, mixing, personal, scanned, splitting, transcripts
 from lakefold.llm.nearest_time import nearest_by_time
 
@@ -168,14 +169,14 @@ def test_pieces_with_another_size(words, between):
     assert all(x[1] >= y[0] > x[0] and y[1] > x[1] for x, y in zip(spans, spans[1:]))
 
 
-@pytest.mark.skipif(not os.path.exists(mixing.TOKENIZER), reason="no tokenizer here")
+@pytest.mark.skipif(not os.path.exists(tokens.TOKENIZER), reason="no tokenizer here")
 def test_pieces_in_tokens(spark):
     rng = random.Random(2)
     word = lambda: rng.choice(["the", "dividend", "of ₹12.50", "per share", "वार्षिक", "approved.\n\n", "Supercalifragilistic" * 8, "x"])
     texts = [(i, " ".join(word() for _ in range(n))) for i, n in enumerate((1, 40, 400, 900))]
     df = spark.createDataFrame(texts, "rec_id long, text string")
-    rows = splitting.split_oversized(df, ["rec_id"], "text", 120, 20, mixing.TOKENIZER).collect()
-    enc = mixing.encoding(mixing.TOKENIZER)
+    rows = splitting.split_oversized(df, ["rec_id"], "text", 120, 20, tokens.TOKENIZER).collect()
+    enc = tokens.encoding(tokens.TOKENIZER)
     for i, body in texts:
         mine = sorted((r for r in rows if r["rec_id"] == i), key=lambda r: r["piece"])
         assert all(len(enc.encode_ordinary(r["piece_text"])) == r["size"] <= 120 for r in mine) and len(mine) == mine[0]["n_pieces"]
