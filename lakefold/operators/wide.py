@@ -94,7 +94,7 @@ def wide_statements(records: DataFrame, catalog: DataFrame) -> DataFrame:
 
     Per symbol, basis and statement the record with the newest scraped_at decides, then the larger
     rec_id. Defined results: TTM and unreadable period labels are no period; labels outside the
-    catalogue are left out; if two rows of a record mean one attribute the first readable one counts;
+    catalogue are left out; if two cells of a record mean one the first readable line counts, then the smaller label;
     null parts of the key drop the record; null columns or rows give nothing.
     """
     columns = _catalog(catalog, "screener")
@@ -109,10 +109,10 @@ def wide_statements(records: DataFrame, catalog: DataFrame) -> DataFrame:
     month = period_month(F.col("_label"))
     values = values.filter("_label <> 'metric'").withColumn("_month", month).filter("_month is not null")
     values = values.select(
-        F.concat_ws("|", "symbol", "basis", "statement", "_month").alias("entity"), "attribute", "_pos",
+        F.concat_ws("|", "symbol", "basis", "statement", "_month").alias("entity"), "attribute", F.struct("_pos", "_label").alias("_o"),
         read_typed(F.col("_value"), F.col("value_type")).alias("cell"),
     )
-    cells = values.groupBy("entity", "attribute").agg(F.min_by("cell", F.when(F.col("cell").isNotNull(), F.col("_pos"))).alias("cell"))
+    cells = values.groupBy("entity", "attribute").agg(F.min_by("cell", F.when(F.col("cell").isNotNull(), F.col("_o"))).alias("cell"))
     cells = stored(cells, "cells")
     return stitch_wide(cells, cells.select("entity"), "entity", columns)
 

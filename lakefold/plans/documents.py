@@ -8,11 +8,12 @@ from pyspark.sql import functions as F
 from lakefold.functions import strings as X
 from lakefold.operators import cleaning as C
 from lakefold.operators import documents as D
+from lakefold.operators import metric_map as M
 from lakefold.operators.metric_map import flat_metrics
 from lakefold.operators.text import LETTERHEAD
 from lakefold.plans.prices import rounded
 from lakefold.plans.text import lines_sql
-from lakefold.plans.wide import p7_statements
+from lakefold.plans.wide import CELLS, LINES, p7_statements
 from lakefold.sources import table
 
 THEMES = {"demand": ["demand", "volume", "orders"], "margins": ["margin", "cost"], "capex": ["outlay", "capacity", "capital work"], "debt": ["borrowings", "debt", "liquidity"], "outlook": ["outlook", "expects", "guidance"]}
@@ -154,6 +155,35 @@ QUERIES = {f.__name__: f for f in (
     topic_classify, page_kinds, cover_letter, letter_fields, letter_subjects, document_dates, handoff_cut, fiscal_quarters, boilerplate_skip, numeric_blocks, quality_gate,
     stale_or_missing, parsed_form_first, guidance_tracker, flat_metric_map, section_labels,
 )}
+
+
+_M3 = "['jan','feb','mar','apr','may','jun','jul','aug','sep','oct','nov','dec']"
+
+
+def _compact(y: str, m: str, d: str) -> str:
+    return f"case when {y} between 2000 and 2035 and {m} between 1 and 12 and {d} between 1 and 31 then {y} * 10000 + {m} * 100 + {d} end"
+
+
+def _figures() -> str:
+    """The rules of the flat metric map as SQL."""
+    at = lambda c, n: f"(max({c}) filter (n = {n}))"
+    out = []
+    for name, shape, c, n in M.rules():
+        if c not in LINES:
+            continue
+        now, then, few = at(c, 0), at(c, n), f"count({c}) filter (n < {n}) = {n}"
+        sql = {
+            "offset": then, "growth": f"case when {then} > 0 then ({now} / {then} - 1) * 100 end", "cagr": f"case when {then} > 0 and {now} > 0 then (pow({now} / {then}, 1.0 / {n or 1}) - 1) * 100 end",
+            "mean": f"case when {few} then avg({c}) filter (n < {n}) end", "sum": f"case when {few} then sum({c}) filter (n < {n}) end",
+        }[shape]
+        out.append(f"round({sql}, 4) as {name}")
+    equity = f"({at('equity_capital', 0)} + coalesce({at('reserves', 0)}, 0))"
+    for name, top, bottom, scale in M.RATIOS:
+        den = equity if bottom == "_equity" else at(bottom, 0)
+        out.append(f"round(case when {den} > 0 then {at(top, 0)} / {den} * {scale} end, 4) as {name}")
+    return ", ".join(out)
+
+
 _TOPIC = "case " + " ".join("when " + " or ".join(f"lower(text) like '%{w}%'" for w in words) + f" then '{name}'" for name, words in D.TOPICS.items()) + " else 'other' end"
 _FIRST = "split_part(split_part(text, E'\\r', 1), E'\\n', 1)"
 _MARKED = " or ".join(f"regexp_matches(lower(line), '{p}')" for p in LETTERHEAD)
@@ -191,4 +221,16 @@ SQL = {
     "stale_or_missing": "select distinct symbol from entities where symbol is not null and symbol not in (select symbol from xbrl where symbol is not null and filing_date >= timestamp '2025-06-01')",
     "parsed_form_first": """select doc_id, case when doc_type = 'transcript' then 'json' else 'md' end as form from documents d where symbol is not null
         and (doc_type = 'transcript' or symbol not in (select symbol from documents where doc_type = 'transcript' and symbol is not null))""",
+    "document_dates": f"""with l as (select doc_id, array_to_string(list_filter(regexp_split_to_array(text, '\\r\\n|\\r|\\n'), lambda x: trim(x, ' ') <> '')[1:8], chr(10)) as h from documents where text is not null),
+        x as (select *, regexp_extract(h, '\\b(\\d{{1,2}})(?:st|nd|rd|th)?[ -]([A-Za-z]{{3,9}})[ ,-]+(20\\d{{2}})\\b', ['d', 'm', 'y']) as a, regexp_extract(h, '\\b([A-Za-z]{{3,9}}) (\\d{{1,2}}), ?(20\\d{{2}})\\b', ['m', 'd', 'y']) as b,
+          regexp_extract(h, '\\b(\\d{{1,2}})[/.-](\\d{{1,2}})[/.-](20\\d{{2}})\\b', ['d', 'm', 'y']) as c from l),
+        y as (select *, list_position({_M3}, lower(a.m[1:3])) as am, list_position({_M3}, lower(b.m[1:3])) as bm from x)
+        select doc_id, coalesce({_compact('try_cast(a.y as int)', 'am', 'try_cast(a.d as int)')}, {_compact('try_cast(b.y as int)', 'bm', 'try_cast(b.d as int)')}, {_compact('try_cast(c.y as int)', 'try_cast(c.m as int)', 'try_cast(c.d as int)')}, 0)::int as date_int from y""",
+    "guidance_tracker": f"""with a as (select doc_id, date_int, string_split(regexp_replace(text, '([.!?])\\s+', '\\1' || chr(1), 'g'), chr(1)) as a from documents where date_int > 0 and text is not null),
+        s as (select doc_id, date_int, unnest(range(len(a))) as pos, unnest(a) as statement from a), t as (select *, lower(statement) as low from s where length(statement) > 30),
+        h as ({' union all '.join(f"select {i} as i, '{t}' as theme, doc_id, date_int, pos, statement, " + ' + '.join(f"contains(low, '{w}')::int" for w in words) + " as score from t" for i, (t, words) in enumerate(THEMES.items()))}),
+        d as (select *, dense_rank() over (partition by theme order by date_int desc) as d from h where score > 0), n as (select *, row_number() over (partition by theme, date_int order by score desc, doc_id, pos) as n from d where d <= 6),
+        o as (select *, row_number() over (partition by statement[1:120] order by i, date_int desc, doc_id, pos) as o from n where n <= 2) select theme, date_int, doc_id, statement from o where o = 1""",
+    "flat_metric_map": f"""with {CELLS}, one as (select symbol || '|' || basis as company, month as period, {', '.join(f"max(value) filter (attribute = '{a}') as {a}" for a in LINES)} from cells group by 1, 2),
+        r as (select *, row_number() over (partition by company order by period desc) - 1 as n from one), g as (select company, {_figures()} from r group by 1) select * from g""",
 }

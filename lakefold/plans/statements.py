@@ -9,7 +9,7 @@ from lakefold.operators import screening as S
 from lakefold.operators import statements as A
 from lakefold.plans.prices import rounded
 from lakefold.plans.screening import ENT, _entities
-from lakefold.plans.wide import _TIDY, _key_sql
+from lakefold.plans.wide import _EMPTY, _LABEL, _MONTH, _PCT, _TIDY, _key_sql, _number_sql
 from lakefold.sources import table
 
 
@@ -91,20 +91,6 @@ QUERIES = {f.__name__: f for f in (
     screen_by_year_fundamentals, screen_consistency_fundamentals,
 )}
 
-_CUR = "(₹|rs\\.?|inr|\\$|â‚¹|â\\x{82}¹|‚çπ|γé╣|ã¢â€šâ¹)"
-
-
-def _number_sql(v: str) -> str:
-    """A number as the reader of decorated numbers sees it, of tidy lower-case text."""
-    y = f"regexp_replace(trim(regexp_replace(regexp_replace({v}, '^([(\\-+ ]*){_CUR}\\s*', '\\1'), '\\s*[*†‡#^]+$', '')), '\\s*(cr\\.?|crores?|nos\\.?|units?|days?)$', '')"
-    z = f"regexp_replace({y}, '^\\(\\s*(.*?)\\s*\\)$', '\\1')"
-    return f"case when regexp_full_match({z}, '[-+]?\\s?(\\d[\\d,]*(\\.\\d*)?|\\.\\d+)(e[-+]?\\d{{1,3}})?') then try_cast(regexp_replace({z}, '[,\\s]', '', 'g') as double) * case when {y} like '(%' then -1 else 1 end end"
-
-
-_EMPTY = "('', '-', '--', '–', '—', 'na', 'n/a', 'n.a.', 'n.a', 'nil', 'null', 'none', 'nan')"
-_PCT = "regexp_replace(lv, '\\s*(%|pct\\.?|per\\s?cent)\\s*(\\)?)\\s*$', '\\2')"
-_MONTH = "list_position(['jan','feb','mar','apr','may','jun','jul','aug','sep','oct','nov','dec'], mon)"
-_LABEL = "'^(\\d{1,2}[ -])?([a-z]{3})[a-z]*[ ,''-]+(\\d{4}|\\d{2})$'"
 SERIES = f"""
   cat as (select src, statement, attribute, value_type, {_key_sql('label')} as k from metric_catalog),
   c0 as (select *, row_number() over (partition by symbol, statement order by case when basis = 'consolidated' then 0 else 1 end, scraped_at desc nulls last, rec_id desc) as n

@@ -41,7 +41,7 @@ def shared_dir(spark: SparkSession) -> str:
     if known.isDefined():
         return known.get()
     named = spark.conf.get("spark.checkpoint.dir", None)
-    if not named and not spark.sparkContext.master.startswith("local["):
+    if not named and not (spark.sparkContext.master == "local" or spark.sparkContext.master.startswith("local[")):
         raise RuntimeError("spark.checkpoint.dir has to name a folder that all executors share")
     spark.sparkContext.setCheckpointDir(named or tempfile.mkdtemp(prefix="lakefold_"))
     return jsc.getCheckpointDir().get()
