@@ -90,6 +90,18 @@ def management(turns: DataFrame, key: str, order: str, speaker: str, text: str,
     return g.filter("early > 0 or n_long >= 2").join(roster.select(key, speaker), [key, speaker], "left_anti").select(key, speaker)
 
 
+#: How an operator announces who speaks next, and from which firm.
+INTRODUCED = r"(?:line of|next participant,)\s+([A-Z][A-Za-z.'-]+(?: [A-Z][A-Za-z.'-]+){1,3})(?:\s+(?:from|of)\s+([A-Z][^.\n]{1,50}))?"
+
+
+def introduced(calls: DataFrame, key: str, text: str) -> DataFrame:
+    """The analysts an operator introduces: key, name, firm (empty if it is not said), each once; what follows the firm
+    (please, thank you, go ahead) is cut."""
+    found = F.arrays_zip(F.regexp_extract_all(text, F.lit(INTRODUCED), F.lit(1)).alias("name"), F.regexp_extract_all(text, F.lit(INTRODUCED), F.lit(2)).alias("firm"))
+    rows = calls.select(key, F.explode(found).alias("x")).select(key, F.regexp_replace("x.name", r"\.+$", "").alias("name"), F.trim(F.regexp_replace("x.firm", r"(?i)\b(please|thank|go ahead|you (can|may))\b.*$", "")).alias("firm"))
+    return rows.groupBy(key, "name").agg(F.max("firm").alias("firm"))
+
+
 def questions_start(turns: DataFrame, key: str, order: str, text: str) -> DataFrame:
     """The first turn in which the call is opened for questions."""
     opened = F.lower(text).rlike(r"question[- ]and[- ]answer|first question|open (the )?(floor|line)|next question")

@@ -3,14 +3,16 @@
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.functions import udtf
 
 from lakefold.functions.parse import let
 from lakefold.functions.tokens import shipped, token_size
+from lakefold.session import ship
 
 #: Marks of a cover letter, in lower case.
 LETTERHEAD = (
@@ -142,48 +144,56 @@ def prose_yield(text: Column, least: int = 40) -> Column:
     return F.aggregate(F.split(text, r"\r\n|\r|\n"), F.lit(0), lambda a, x: a + F.when(F.length(x) > least, F.length(x)).otherwise(0))
 
 
-def sliding_chunks(docs: DataFrame, key: str, text: str, target: int = 400, most: int = 800, overlap: int = 70, tokenizer: str | None = None) -> DataFrame:
-    """Sentence-packed chunks: key, seq, n_tokens, chunk. Sentences are packed until ``target`` tokens,
-    a sentence above ``most`` is sliced, and each chunk starts with the last sentences of the one before
-    worth at least ``overlap`` tokens. Tokens are those of the ``tokenizer`` (path of a rank file), else a quarter of the
-    characters. A fold over the sentences of one text, in Arrow batches; sizes are measured once per sentence."""
-    types = dict(docs.dtypes)
-    file = shipped(docs.sparkSession, tokenizer) if tokenizer else None
-
-    def sliced(s: str, size) -> list[str]:
+def sentence_chunks(body: str, size: Callable[[str], int], target: int, most: int, overlap: int) -> list[tuple[int, int, str]]:
+    """(seq, size, chunk) of one text. Sentences are packed until ``target``, a sentence above ``most`` is sliced, and
+    each chunk starts with the last sentences of the one before worth at least ``overlap``. Sizes are measured once
+    per sentence."""
+    def sliced(s: str) -> list[str]:
         if size(s) <= most:
             return [s]
-        if file is None:
+        if size is rough_size:
             return [s[i : i + most * 4] for i in range(0, len(s), most * 4)]
         cut = len(s) // 2  # halves until they fit, at a blank if there is one near
         blank = s.rfind(" ", cut // 2, cut)
         cut = blank + 1 if blank > 0 else cut
-        return [*sliced(s[:cut], size), *sliced(s[cut:], size)]
+        return [*sliced(s[:cut]), *sliced(s[cut:])]
+
+    rows: list[tuple[int, int, str]] = []
+    held: list[tuple[str, int]] = []
+    fill = 0
+    for s in (part for whole in re.split(r"(?<=[.!?।])\s+|\n{2,}", body.strip()) if whole for part in sliced(whole)):
+        n = size(s)
+        if held and fill + n > target:
+            rows.append((len(rows), fill, " ".join(t for t, _ in held)))
+            at, back = len(held), 0
+            while at and back < overlap and back + held[at - 1][1] + n <= most:
+                at -= 1
+                back += held[at][1]
+            if at == 0:
+                back -= held[0][1]
+                at = 1
+            held, fill = held[at:], back
+        held.append((s, n))
+        fill += n
+    if held:
+        rows.append((len(rows), fill, " ".join(t for t, _ in held)))
+    return rows
+
+
+def rough_size(s: str) -> int:
+    return max(1, len(s) // 4)
+
+
+def sliding_chunks(docs: DataFrame, key: str, text: str, target: int = 400, most: int = 800, overlap: int = 70, tokenizer: str | None = None) -> DataFrame:
+    """Sentence-packed chunks (``sentence_chunks``) of every text: key, seq, n_tokens, chunk. Tokens are those of the
+    ``tokenizer`` (path of a rank file), else a quarter of the characters. In Arrow batches, without a shuffle."""
+    types = dict(docs.dtypes)
+    file = shipped(docs.sparkSession, tokenizer) if tokenizer else None
 
     def pack(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        size = token_size(file()) if file else lambda s: max(1, len(s) // 4)
+        size = token_size(file()) if file else rough_size
         for frame in frames:
-            rows: list[tuple] = []
-            for k, body in zip(frame["_k"], frame["_t"]):
-                held: list[tuple[str, int]] = []
-                fill = seq = 0
-                for s in (part for whole in re.split(r"(?<=[.!?।])\s+|\n{2,}", body.strip()) if whole for part in sliced(whole, size)):
-                    n = size(s)
-                    if held and fill + n > target:
-                        rows.append((k, seq, fill, " ".join(t for t, _ in held)))
-                        seq += 1
-                        at, back = len(held), 0
-                        while at and back < overlap and back + held[at - 1][1] + n <= most:
-                            at -= 1
-                            back += held[at][1]
-                        if at == 0:
-                            back -= held[0][1]
-                            at = 1
-                        held, fill = held[at:], back
-                    held.append((s, n))
-                    fill += n
-                if held:
-                    rows.append((k, seq, fill, " ".join(t for t, _ in held)))
+            rows = [(k, *row) for k, body in zip(frame["_k"], frame["_t"]) for row in sentence_chunks(body, size, target, most, overlap)]
             if rows:
                 yield pd.DataFrame(rows, columns=[key, "seq", "n_tokens", "chunk"])
 
@@ -191,6 +201,20 @@ def sliding_chunks(docs: DataFrame, key: str, text: str, target: int = 400, most
     return base.mapInPandas(pack, f"`{key}` {types[key]}, seq int, n_tokens int, chunk string")
 
 
+class ChunkText:
+    """The chunker as a table function of SQL."""
+
+    def eval(self, body: str, target: int, most: int, overlap: int):
+        if body and body.strip():
+            yield from sentence_chunks(body, rough_size, target, most, overlap)
+
+
+def register_functions(spark: SparkSession) -> None:
+    """Table functions for SQL: ``chunk_text(text, target, most, overlap)`` gives seq, n_tokens, chunk."""
+    ship(spark)
+    spark.udtf.register("chunk_text", udtf(ChunkText, returnType="seq int, n_tokens int, chunk string"))
+
+
 def pack_blocks(blocks: DataFrame, key: str, order: str, size: str, limit: int) -> DataFrame:
     """Greedy packing of ordered blocks into bins of at most ``limit``: key, order, bin (from 0). A block
     alone above the limit is a bin of its own. A fold over one key's sizes, which nothing but the fold can cut."""

@@ -108,17 +108,22 @@ def flat_metric_map(spark, root):
 
 def deck_blocks(spark, root):
     d = table(spark, root, "concall_presentation", "rec_id", "text").dropDuplicates(["rec_id"]).filter("text is not null")
-    return C.clean_presentation(d, "rec_id", "text").select("rec_id", "block", "n_lines", F.length("text").alias("n_chars"))
+    return C.clean_presentation(d, "rec_id", "text").select("rec_id", "block", "n_lines", F.md5("text").alias("digest"))
 
 
 def report_paragraphs(spark, root):
     d = table(spark, root, "annual_report", "rec_id", "text").dropDuplicates(["rec_id"]).filter("text is not null")
-    return C.clean_report(d, "rec_id", "text").select("rec_id", "paragraph", F.length("text").alias("n_chars"))
+    return C.clean_report(d, "rec_id", "text").select("rec_id", "paragraph", F.md5("text").alias("digest"))
 
 
 def rating_notes(spark, root):
+    """Rating notes cut to their rationale, with their date."""
     d = table(spark, root, "credit_rating", "rec_id", "text").dropDuplicates(["rec_id"]).filter("text is not null")
-    return C.clean_rating(d, "rec_id", "text").select("rec_id", F.length("text").alias("n_chars"), "quality", "non_cooperation")
+    return C.clean_rating(d, "rec_id", "text").select("rec_id", F.md5("text").alias("digest"), "quality", "non_cooperation")
+
+
+def introduced_analysts(spark, root):
+    return C.introduced(table(spark, root, "concall_transcript", "call_id", "text").filter("text is not null"), "call_id", "text")
 
 
 def announcement_bodies(spark, root):
@@ -151,7 +156,7 @@ def fact_search(spark, root):
 
 
 QUERIES = {f.__name__: f for f in (
-    deck_blocks, report_paragraphs, rating_notes, announcement_bodies, string_functions, fact_labels, headline_types, fact_search,
+    deck_blocks, report_paragraphs, rating_notes, introduced_analysts, announcement_bodies, string_functions, fact_labels, headline_types, fact_search,
     topic_classify, page_kinds, cover_letter, letter_fields, letter_subjects, document_dates, handoff_cut, fiscal_quarters, boilerplate_skip, numeric_blocks, quality_gate,
     stale_or_missing, parsed_form_first, guidance_tracker, flat_metric_map, section_labels,
 )}
@@ -186,6 +191,7 @@ def _figures() -> str:
 
 _TOPIC = "case " + " ".join("when " + " or ".join(f"lower(text) like '%{w}%'" for w in words) + f" then '{name}'" for name, words in D.TOPICS.items()) + " else 'other' end"
 _FIRST = "split_part(split_part(text, E'\\r', 1), E'\\n', 1)"
+_MARKS = "(" + " + ".join(f"regexp_matches(low, '{p}')::int" for p in LETTERHEAD) + ")"
 _MARKED = " or ".join(f"regexp_matches(lower(line), '{p}')" for p in LETTERHEAD)
 _HEADING = D.DECK_HEADING.replace("'", "''")
 SQL = {
@@ -233,4 +239,17 @@ SQL = {
         o as (select *, row_number() over (partition by statement[1:120] order by i, date_int desc, doc_id, pos) as o from n where n <= 2) select theme, date_int, doc_id, statement from o where o = 1""",
     "flat_metric_map": f"""with {CELLS}, one as (select symbol || '|' || basis as company, month as period, {', '.join(f"max(value) filter (attribute = '{a}') as {a}" for a in LINES)} from cells group by 1, 2),
         r as (select *, row_number() over (partition by company order by period desc) - 1 as n from one), g as (select company, {_figures()} from r group by 1) select * from g""",
+    "introduced_analysts": f"""with x as (select call_id, unnest(regexp_extract_all(text, '{C.INTRODUCED.replace("'", "''")}', 1)) as name, unnest(regexp_extract_all(text, '{C.INTRODUCED.replace("'", "''")}', 2)) as firm from concall_transcript where text is not null)
+        select call_id, regexp_replace(name, '\\.+$', '') as name, coalesce(max(trim(regexp_replace(firm, '(?i)\\b(please|thank|go ahead|you (can|may))\\b.*$', ''), ' ')), '') as firm from x group by 1, 2""",
+    "deck_blocks": f"""with {lines_sql('concall_presentation', 'rec_id')}, k as (select rec_id, row_number() over (partition by rec_id order by pos) - 1 as pos, line from l where not regexp_matches(line, '^\\s*[-+]?[\\d.,%]+\\s*$')),
+        b as (select *, sum((trim(line, ' ') = '')::int) over (partition by rec_id order by pos) as block from k), g as (select rec_id, block, min(pos) as first_pos, count(*) as n_lines, string_agg(trim(line, ' '), chr(10) order by pos) as text from b where trim(line, ' ') <> '' group by 1, 2),
+        ab as (select *, max(first_pos) over (partition by rec_id) as n, lower(text) as low from g)
+        select rec_id, block, n_lines, md5(text) as digest from ab where not (regexp_matches(low, 'disclaimer|forward[- ]looking|safe harbou?r') or {_MARKS} >= 2 or (case when n > 0 then first_pos / n else 0 end >= 0.85 and regexp_matches(low, '^\\W*(thank you|contact)'))) and length(text) > 30""",
+    "report_paragraphs": f"""with {lines_sql('annual_report', 'rec_id')}, k as (select *, lower(trim(line, ' ')) as bare from l), m as (select *, count(*) over (partition by rec_id, bare) as n, row_number() over (partition by rec_id, bare order by pos) as i from k),
+        f as (select * from m where (bare = '' or n < 8 or i = 1) and not regexp_matches(bare, '^(page )?\\d{{1,4}}( of \\d{{1,4}})?$')), w as (select *, lag(line) over (partition by rec_id order by pos) as before from f),
+        p as (select *, sum((trim(line, ' ') = '' or before is null or trim(before, ' ') = '' or regexp_matches(before, '[.!?:]\\s*$'))::int) over (partition by rec_id order by pos) as paragraph from w)
+        select rec_id, paragraph, md5(string_agg(trim(line, ' '), ' ' order by pos)) as digest from p where trim(line, ' ') <> '' group by 1, 2""",
+    "rating_notes": f"""with {lines_sql('credit_rating', 'rec_id')}, w as (select *, min(case when regexp_matches(lower(line), 'rationale') then pos end) over (partition by rec_id) as a, min(case when regexp_matches(lower(line), '^\\W*(annexure|about the company|disclaimer)') then pos end) over (partition by rec_id) as z from l),
+        t as (select rec_id, string_agg(line, chr(10) order by pos) as text from w where pos >= coalesce(a, 0) and (z is null or pos < z or z <= coalesce(a, 0)) group by 1)
+        select rec_id, md5(text) as digest, case when length(text) < 600 then 'stub' else 'full' end as quality, contains(lower(text), 'not cooperating') as non_cooperation from t""",
 }

@@ -120,7 +120,14 @@ def screen_by_year_drop_null(spark, root):
     return rounded(out.select("symbol", "company_name", "industry", "return_pct"), 5)
 
 
+def screen_membership(spark, root):
+    """Companies of the groups whose name holds 'finan', by size."""
+    e = _entities(spark, root).filter(S.contains_any(["nse_industry"], ["finan"]))
+    return e.select("symbol", "nse_industry", "market_cap_cr")
+
+
 QUERIES = {f.__name__: f for f in (
+    screen_membership,
     entity_master, resolve_company_exact_then_contains, resolve_company_words, screen_funnel, screen_null_pass, screen_passed_unknown, screen_near_miss,
     screen_topn, screen_drop_null, ethics_exclusion_split, ethics_exclusion_counts, sector_aggregate, sector_leaders, sector_list, financial_flag,
     consistency_screen, screen_by_year_drop_null,
@@ -137,6 +144,7 @@ _HIST = f"""{DAILY}, y0 as (select symbol, year(d)::int as calendar_year, arg_mi
 _FLAGGED = [*_S, ("above_dma50=true", "above_dma50")]
 
 SQL = {
+    "screen_membership": f"with {ENT} select symbol, nse_industry, market_cap_cr from ent where lower(nse_industry) like '%finan%'",
     "entity_master": f"with {ENT} select symbol, company_name, nse_symbol, bse_code, market_cap_cr, price, pe from ent",
     "resolve_company_exact_then_contains": f"""with {ENT}, m as (select *, lower(symbol) = 'gekkafur' as exact, coalesce(lower(symbol) like '%gekkafur%', false) or coalesce(lower(company_name) like '%gekkafur%', false) as l,
         coalesce(lower(company_name) like '%gekkafur%', false) as w from ent)

@@ -101,6 +101,13 @@ def chunk_sliding(spark, root):
     return T.sliding_chunks(_docs(spark, root), "doc_id", "text").select("doc_id", "seq", "n_tokens", "chunk")
 
 
+def chunk_function(spark, root):
+    """The same chunks through the table function of SQL."""
+    T.register_functions(spark)
+    _docs(spark, root).filter("text is not null").createOrReplaceTempView("_chunk_docs")
+    return spark.sql("select d.doc_id, c.seq, c.n_tokens, c.chunk from _chunk_docs d, lateral chunk_text(d.text, 400, 800, 70) c")
+
+
 def chunk_tokens(spark, root):
     """Chunks with sizes in tokens of a public tokenizer."""
     return T.sliding_chunks(_docs(spark, root), "doc_id", "text", tokenizer=TOKENIZER)
@@ -179,7 +186,7 @@ def timeline_topk_all(spark, root):
 
 QUERIES = {f.__name__: f for f in (
     text_normalize, line_frequency, strip_page_headers, numeric_runs, letterhead_markers, leak_scrub, html_to_text, label_date, filing_year, token_stats, prose_yield,
-    roster_lines, exchange_grouping, chunk_sliding, chunk_tokens, pack_blocks, corpus_stats, metadata_filter, recency_gate, latest_dates, vector_topk, vector_topk_capped, timeline_topk,
+    roster_lines, exchange_grouping, chunk_sliding, chunk_function, chunk_tokens, pack_blocks, corpus_stats, metadata_filter, recency_gate, latest_dates, vector_topk, vector_topk_capped, timeline_topk,
     vector_topk_all, vector_topk_capped_all, timeline_topk_all, numeric_parse, date_parse,
 )}
 
