@@ -253,21 +253,31 @@ def _close(lv: Column, rv: Column, ln: Column, rn: Column) -> Column:
     return (ln > 0) & (rn > 0) & (_hamming(lv, rv) <= allowed)
 
 
-def close_values(left: DataFrame, right: DataFrame, field: str) -> DataFrame:
-    """All pairs (``lv``, ``rv``) of values of ``field`` whose vectors are close, equal ones included, by multi-index
-    hashing over the distinct values of both sides and a check. However many rows hold a value it is looked
-    up once; the keys widen with the logarithm of the number of values."""
-    sides = [df.filter(F.col(f"{field}_n") > 0).select(F.col(field).alias("v"), F.col(f"{field}_v").alias("x"), F.col(f"{field}_n").alias("n")).distinct() for df in (left, right)]
-    both = sides[0].unionByName(sides[1]).distinct()
+def _values(rows: DataFrame) -> DataFrame:
+    """The two name fields of prepared rows below each other: f (0 own, 1 code), v, x, n; values without letters are
+    left out."""
+    two = F.array(*[F.struct(F.lit(i).alias("f"), F.col(c).alias("v"), F.col(f"{c}_v").alias("x"), F.col(f"{c}_n").alias("n")) for i, c in enumerate(("own", "code"))])
+    return rows.select(F.inline(two)).filter("n > 0")
+
+
+def close_values(left: DataFrame, right: DataFrame) -> DataFrame:
+    """All pairs (``f``, ``lv``, ``rv``) of values of a name field whose vectors are close, equal ones included, by
+    multi-index hashing over the distinct values of both sides and a check. However many rows hold a value it is
+    looked up once; the keys widen with the logarithm of the number of values."""
+    sides = [_values(df).distinct() for df in (left, right)]
+    both = stored(sides[0].withColumn("s", F.lit(1)).unionByName(sides[1].withColumn("s", F.lit(2))).groupBy("f", "v", "x", "n").agg(F.sum("s").alias("s")), "values")
     kinds = F.udf(bands, "array<int>", useArrow=True)
-    rank = {r["t"]: r["count"] for r in both.select(F.explode(kinds("x")).alias("t")).groupBy("t").count().collect()}  # at most _BANDS << _BAND
+    counted = both.select("f", F.explode(kinds("x")).alias("t")).groupBy("f", "t").count().collect()  # at most twice _BANDS << _BAND
+    rank: tuple[dict[int, int], dict[int, int]] = ({}, {})
+    for r in counted:
+        rank[r["f"]][r["t"]] = r["count"]
     width = max(2, min(5, math.ceil(math.log2(max(2, both.count())) / 8)))
     shared = left.sparkSession.sparkContext.broadcast((rank, width))
-    keys = F.udf(lambda x: band_keys(x, *shared.value), "array<bigint>", useArrow=True)
-    lhs, rhs = (df.select("v", "x", "n", F.explode(keys("x")).alias("_key")) for df in sides)
-    lhs, rhs = (df.select("_key", *[F.col(c).alias(f"{side}{c}") for c in ("v", "x", "n")]) for df, side in ((lhs, "l"), (rhs, "r")))
-    found = lhs.join(rhs, "_key").filter(_close(F.col("lx"), F.col("rx"), F.col("ln"), F.col("rn"))).select("lv", "rv").distinct()
-    return stored(found, f"close_{field}")
+    keys = F.udf(lambda f, x: band_keys(x, shared.value[0][f], shared.value[1]), "array<bigint>", useArrow=True)
+    keyed = both.select("f", "v", "x", "n", "s", F.explode(keys("f", "x")).alias("_key"))
+    lhs, rhs = (keyed.filter(F.col("s").bitwiseAND(F.lit(bit)) > 0).select("f", "_key", *[F.col(c).alias(f"{side}{c}") for c in ("v", "x", "n")]) for bit, side in ((1, "l"), (2, "r")))
+    found = lhs.join(rhs, ["f", "_key"]).filter(_close(F.col("lx"), F.col("rx"), F.col("ln"), F.col("rn"))).select("f", "lv", "rv").distinct()
+    return stored(found, "close")
 
 
 _ANY = -10_000_000
@@ -285,7 +295,8 @@ def _keyed(rows: DataFrame, left: bool) -> DataFrame:
     bucket = F.floor(F.unix_date("listed") / 32).cast("int")
     around = F.transform(F.array(*([F.lit(-1)] if left else []), F.lit(0), *([F.lit(1)] if left else [])), lambda d: bucket + d)
     times = F.concat(F.array(F.lit(None).cast("int")), F.when(F.col("listed").isNotNull(), around).otherwise(F.array().cast("array<int>")))
-    return rows.select("id", "key", "own", "code", "industry", "face", "listed", "bones", by_word.alias("bs"), times.alias("ts"))
+    two = F.array(*[F.struct(F.lit(i).alias("f"), F.col(c).alias("v"), (F.coalesce(o, F.lit("")) == "").alias("o")) for i, (c, o) in enumerate((("own", "code"), ("code", "own")))])
+    return rows.select("id", "key", "industry", "face", "listed", by_word.alias("bs"), times.alias("ts"), F.inline(two)).filter("length(v) > 0")
 
 
 def _spread(rows: DataFrame) -> DataFrame:
@@ -294,47 +305,38 @@ def _spread(rows: DataFrame) -> DataFrame:
     return out.drop("bs", "ts").filter(f"b <> '?' or t = {_ANY}")
 
 
-def _standing(rows: DataFrame, field: str) -> DataFrame:
-    """Of keyed rows with one value of ``field`` that no field sets apart for a partner that is not close in the
+def _standing(rows: DataFrame) -> DataFrame:
+    """Of keyed rows with one value of a name field that nothing sets apart for a partner that is not close in the
     other name field, the one with the smallest key: the others could only tie with it."""
-    other = "code" if field == "own" else "own"
     day = F.when(F.col("t") == _ANY, F.col("listed").isNull().cast("int")).otherwise(F.unix_date("listed"))
-    kept = _spread(rows.filter(F.length(field) > 0)).groupBy(
-        F.col(field).alias("v"), "b", "t", "industry", "face", (F.coalesce(other, F.lit("")) == "").alias("_n"), day.alias("_d")
-    ).agg(F.min(F.struct("key", "id")).alias("m"))
-    return kept.select("v", "b", "t", F.col("m.id").alias("id"))
+    kept = _spread(rows).groupBy("f", "v", "b", "t", "industry", "face", "o", day.alias("_d")).agg(F.min(F.struct("key", "id")).alias("m"))
+    return kept.select("f", "v", "b", "t", F.col("m.id").alias("id"))
 
 
 def candidate_pairs(a: DataFrame, b: DataFrame) -> DataFrame:
     """Pairs of ids (``_l``, ``_r``) of prepared rows: close in one name field and standing for their kind, from
     either side, or close in both name fields. Rows travel as an id and a hash of what they meet by."""
-    close = {field: close_values(a, b, field) for field in ("own", "code")}
+    close = close_values(a, b)
     la, rb = _keyed(a, True), _keyed(b, False)
-    meet = F.xxhash64("v", "b", "t").alias("k")
+    meet = F.xxhash64("f", "v", "b", "t").alias("k")
 
-    def turned(rows: DataFrame, field: str) -> DataFrame:  # left rows with the right side's values in place of theirs
-        return rows.join(close[field].select(F.col("lv").alias("v"), "rv"), "v").drop("v").withColumnRenamed("rv", "v")
+    def turned(rows: DataFrame) -> DataFrame:  # left rows with the right side's values in place of theirs
+        return rows.join(close.select("f", F.col("lv").alias("v"), "rv"), ["f", "v"]).drop("v").withColumnRenamed("rv", "v")
 
-    found = []
-    for field in ("own", "code"):
-        rows = turned(la.filter(F.length(field) > 0).select("id", F.col(field).alias("v"), "bs", "ts"), field)
-        found.append(_spread(rows).select(F.col("id").alias("_l"), meet).join(_standing(rb, field).select(F.col("id").alias("_r"), meet), "k"))
-        rows = rb.filter(F.length(field) > 0).select("id", F.col(field).alias("v"), "bs", "ts")
-        found.append(turned(_standing(la, field), field).select(F.col("id").alias("_l"), meet).join(_spread(rows).select(F.col("id").alias("_r"), meet), "k"))
+    left_id, right_id = F.col("id").alias("_l"), F.col("id").alias("_r")
+    found = _spread(turned(la.select("id", "f", "v", "bs", "ts"))).select(left_id, meet).join(_standing(rb).select(right_id, meet), "k")
+    found = found.unionByName(turned(_standing(la)).select(left_id, meet).join(_spread(rb.select("id", "f", "v", "bs", "ts")).select(right_id, meet), "k"))
     # close in both: the right row's code, its beginnings, the codes close to it, and the name without vowels
     starts = F.when(F.length("code") > 0, F.transform(F.sequence(F.lit(1), F.length("code")), lambda n: F.substring(F.col("code"), F.lit(1), n)))
-    near = rb.select("id", "code").join(close["code"].select(F.col("rv").alias("code"), F.col("lv").alias("c")), "code").groupBy("id").agg(F.collect_set("c").alias("near"))
+    near = close.filter("f = 1").groupBy(F.col("rv").alias("code")).agg(F.collect_set("lv").alias("near"))
     none = F.array().cast("array<string>")
-    codes = rb.join(near, "id", "left").select("id", F.col("own").alias("v"), "bs", F.array_distinct(F.concat(F.coalesce(starts, none), F.coalesce("near", none), F.array("bones"))).alias("cs"))
+    bs = F.filter("bs", lambda w: w != "?")
+    codes = b.select("id", "own", "code", "bones").join(near, "code", "left").join(rb.filter("f = 0").select("id", bs.alias("bs")), "id")
     both = F.xxhash64("v", "b", "c").alias("k")
-    words = lambda rows: rows.withColumn("b", F.explode("bs")).filter("b <> '?'")
-    rhs = words(codes.filter("v <> ''")).withColumn("c", F.explode("cs")).select(F.col("id").alias("_r"), both)
-    lhs = words(turned(la.filter("own <> '' and code <> ''").select("id", F.col("own").alias("v"), F.col("code").alias("c"), "bs"), "own"))
-    found.append(lhs.select(F.col("id").alias("_l"), both).join(rhs, "k"))
-    ids = found[0]
-    for more in found[1:]:
-        ids = ids.unionByName(more)
-    return stored(ids.select("_l", "_r").distinct(), "candidates")
+    rhs = codes.select("id", F.col("own").alias("v"), F.explode("bs").alias("b"), F.array_distinct(F.concat(F.coalesce(starts, none), F.coalesce("near", none), F.array("bones"))).alias("cs"))
+    lhs = turned(la.filter("f = 0").select("id", "f", "v", bs.alias("bs"))).join(a.filter("code <> ''").select("id", F.col("code").alias("c")), "id").withColumn("b", F.explode("bs"))
+    found = found.unionByName(lhs.select(left_id, both).join(rhs.withColumn("c", F.explode("cs")).select(right_id, both), "k"))
+    return stored(found.select("_l", "_r").distinct(), "candidates")
 
 
 def match_companies(left: DataFrame, right: DataFrame, left_key: str, right_key: str, left_code: str, right_code: str) -> DataFrame:

@@ -117,7 +117,7 @@ _SKELETON = str.maketrans({**dict.fromkeys("cedlihrnm1!|u", None), "0": "o", "5"
 
 def skeleton(line: str) -> str:
     """What of a line no misreading changes."""
-    return re.sub(r"[^\w$]", "", line.lower().replace("†", "t")).translate(_SKELETON)
+    return re.sub(r"[^\w$@]", "", line.lower().replace("†", "t")).translate(_SKELETON)
 
 
 def titled(line: str) -> bool:
