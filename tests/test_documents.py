@@ -25,7 +25,7 @@ def test_fields_of_letters(spark):
     assert value(spark, documents.document_date(F.lit("\n\nPune, 12th March 2024\n"))) == 20240312
     assert value(spark, documents.document_date(F.lit("March 3, 2021"))) == 20210303 and value(spark, documents.document_date(F.lit("3/12/2022"))) == 20221203
     assert value(spark, documents.document_date(F.lit("12 March 1999"))) == 0
-    assert value(spark, documents.cover_letter_end(F.lit("Alpha Ltd\nRegistered Office: x\nbody"))) == 2 and value(spark, documents.cover_letter_end(F.lit("body"))) == 0
+    assert value(spark, documents.cover_letter_end(F.lit("Alpha Ltd\nRegd. Office: x\nbody"))) == 2 and value(spark, documents.cover_letter_end(F.lit("body"))) == 0
     assert value(spark, documents.cut_handoff(F.lit("Yes, it did. The next question is from the line of Bob."))) == "Yes, it did."
     assert value(spark, documents.safe_name(F.lit("Results: Q1 / FY24."))) == "Results_Q1_FY24"
     assert [value(spark, documents.fiscal_quarter(F.lit(m))) for m in (1, 5, 7, 12, 13)] == ["Q3", "Q4", "Q1", "Q2", None]
