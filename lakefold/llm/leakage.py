@@ -4,18 +4,23 @@ from __future__ import annotations
 
 import html
 import re
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from lakefold.session import stored
+from lakefold.session import arrow_rows, stored
 
 _TAG = re.compile(r"<[A-Za-z/!?][^<>]*>")
 _WORD = re.compile(r"[^\W_]+")
+#: Segments of the index that are read at a time.
+_SEGMENTS = 16
 _DROPPED = dict.fromkeys(map(ord, "­​‌‍﻿"))
 
 
@@ -47,41 +52,51 @@ def term_hash(word: str) -> int:
     return h - 2**64 if h >= 2**63 else h
 
 
-def build_index(docs: DataFrame, doc_id: str, text: str, segment_docs: int = 256) -> DataFrame:
+def _lists(values: np.ndarray, ends: list[int], kind: pa.DataType) -> pa.Array:
+    return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(values, kind))
+
+
+def build_index(docs: DataFrame, doc_id: str, text: str, segment_docs: int = 256, segment_chars: int = 1_000_000) -> DataFrame:
     """The positional inverted index of all words of ``docs``, in segments.
 
-    One row per segment of up to ``segment_docs`` documents: ``docs`` (ids), ``sizes`` (words of each), ``terms``
-    (sorted word hashes), ``starts`` (where each term's list begins), ``owners`` (index into docs) and
-    ``places`` (word position). No shuffle: a document lies in one segment as a whole.
+    One row per segment of up to ``segment_docs`` documents and, unless it is a single one, ``segment_chars`` characters:
+    ``docs`` (ids), ``sizes`` (words of each), ``terms`` (sorted word hashes), ``starts`` (where each term's list begins),
+    ``owners`` (index into docs) and ``places`` (word position). No shuffle: a document lies in one segment as a whole.
     """
     id_type = dict(docs.dtypes)[doc_id]
     base = docs.select(F.col(doc_id).alias("_id"), F.col(text).alias("_text")).filter("_id is not null and length(_text) > 0")
 
-    def segments(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            for lo in range(0, len(frame), segment_docs):
-                part = frame.iloc[lo : lo + segment_docs]
-                ids: dict[str, int] = {}
-                numbers, sizes = [], []
-                for body in part["_text"]:
-                    found = words(body)
-                    sizes.append(len(found))
-                    numbers += [ids.setdefault(w, len(ids)) for w in found]
-                hashes = np.fromiter((term_hash(w) for w in ids), dtype=np.int64, count=len(ids))
-                terms, rank = np.unique(hashes, return_inverse=True)
-                number = rank[np.asarray(numbers, dtype=np.int64)] if numbers else np.zeros(0, dtype=np.int64)
-                order = np.argsort(number, kind="stable")
-                size = np.asarray(sizes, dtype=np.int32)
-                owners = np.repeat(np.arange(len(size), dtype=np.int32), size)
-                places = np.arange(len(number), dtype=np.int32) - np.repeat(np.cumsum(size) - size, size).astype(np.int32)
-                starts = np.searchsorted(number[order], np.arange(len(terms)))
-                yield pd.DataFrame({
-                    "docs": [part["_id"].to_numpy()], "sizes": [size], "terms": [terms], "starts": [starts.astype(np.int32)],
-                    "owners": [owners[order]], "places": [places[order]],
-                })
+    def segment(part: pa.RecordBatch) -> pa.RecordBatch:
+        ids: dict[str, int] = {}
+        numbers, size = array("i"), np.zeros(part.num_rows, dtype=np.int32)
+        for i, body in enumerate(part.column(1)):
+            found = words(body.as_py())
+            size[i] = len(found)
+            numbers.extend([ids.setdefault(w, len(ids)) for w in found])
+        hashes = np.fromiter((term_hash(w) for w in ids), dtype=np.int64, count=len(ids))
+        terms, rank = np.unique(hashes, return_inverse=True)
+        number = rank[np.frombuffer(numbers, dtype=np.int32)] if numbers else np.zeros(0, dtype=np.int64)
+        order = np.argsort(number, kind="stable")
+        owners = np.repeat(np.arange(len(size), dtype=np.int32), size)
+        places = np.arange(len(number), dtype=np.int32) - np.repeat(np.cumsum(size) - size, size).astype(np.int32)
+        starts = np.searchsorted(number[order], np.arange(len(terms)))
+        lists = [pa.ListArray.from_arrays(pa.array([0, part.num_rows], pa.int32()), part.column(0))]
+        lists += [_lists(v, [0, len(v)], t) for v, t in ((size, pa.int32()), (terms, pa.int64()), (starts, pa.int32()), (owners[order], pa.int32()), (places[order], pa.int32()))]
+        return pa.RecordBatch.from_arrays(lists, ["docs", "sizes", "terms", "starts", "owners", "places"])
+
+    def segments(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:  # one segment's texts at a time become Python strings
+            lo = chars = 0
+            for hi, n in enumerate(pc.utf8_length(batch.column(1)).to_pylist()):
+                if hi > lo and (hi - lo == segment_docs or chars + n > segment_chars):
+                    yield segment(batch.slice(lo, hi - lo))
+                    lo, chars = hi, 0
+                chars += n
+            if lo < batch.num_rows:
+                yield segment(batch.slice(lo))
 
     schema = f"docs array<{id_type}>, sizes array<int>, terms array<bigint>, starts array<int>, owners array<int>, places array<int>"
-    return base.mapInPandas(segments, schema)
+    return base.mapInArrow(segments, schema)
 
 
 def _longest(ok: np.ndarray, span: int) -> tuple[int, int]:
@@ -148,8 +163,10 @@ class _Matcher:
                 lo, hi = starts[a], starts[a + 1]
                 diagonal = places[lo:hi, None] - w[None, :, 1] + self.most
                 keys.append(((owners[lo:hi, None] * len(self.items) + w[None, :, 0]) * width + diagonal).ravel())
-            key, n = np.unique(np.concatenate(keys), return_counts=True)
-            key = key[n >= self.need]
+            key = np.concatenate(keys)
+            keys.clear()
+            key.sort()
+            key = np.unique(key[self.need - 1 :][key[self.need - 1 :] == key[: len(key) - self.need + 1]])
             if not len(key):
                 continue
             if flat is None:
@@ -196,7 +213,9 @@ def leaked_passages(
     clean = clean.withColumn("_pass", F.pmod(F.xxhash64("_item", "_text"), F.lit(max(1, passes))))
     id_types = dict(docs.dtypes)[doc_id], dict(items.dtypes)[item_id]
     schema = f"`{doc_id}` {id_types[0]}, `{item_id}` {id_types[1]}, n_words int, item_word int, doc_word int, changed int"
-    index = stored(build_index(docs, doc_id, doc_text), "postings") if passes else None
+    # few segments to a row group and to an Arrow batch: neither the JVM nor Python holds more at a time, at any size of the table
+    with arrow_rows(spark, 1_024):
+        index = stored(build_index(docs, doc_id, doc_text), "postings", **{"parquet.block.row.count.limit": _SEGMENTS}) if passes else None
     for number in range(passes):
         held = [(r["_item"], [term_hash(w) for w in words(r["_text"])]) for r in clean.filter(F.col("_pass") == number).collect()]
         held = [(i, w) for i, w in held if len(w) >= window]
@@ -213,7 +232,8 @@ def leaked_passages(
                     yield pd.DataFrame({"term": common, "n": held[at]})
 
         lists = index.select("terms", "starts", F.aggregate("sizes", F.lit(0).cast("bigint"), lambda a, x: a + x).alias("n")).mapInPandas(count, "term bigint, n bigint")
-        counts = {r["term"]: r["n"] for r in lists.groupBy("term").agg(F.sum("n").alias("n")).collect()}  # at most one row per term of the pass
+        with arrow_rows(spark, _SEGMENTS):
+            counts = {r["term"]: r["n"] for r in lists.groupBy("term").agg(F.sum("n").alias("n")).collect()}  # at most one row per term of the pass
         matcher = spark.sparkContext.broadcast(_Matcher(held, counts, window, span))
 
         def search(frames: Iterator[pd.DataFrame], matcher=matcher) -> Iterator[pd.DataFrame]:
@@ -222,7 +242,8 @@ def leaked_passages(
                 if found:
                     yield pd.DataFrame(found, columns=[doc_id, item_id, "n_words", "item_word", "doc_word", "changed"])
 
-        parts.append(index.mapInPandas(search, schema))
+        with arrow_rows(spark, _SEGMENTS):
+            parts.append(stored(index.mapInPandas(search, schema), "leaks"))
     if not parts:
         return spark.createDataFrame([], schema).withColumn("kind", F.lit("exact")).limit(0)
     out = parts[0]

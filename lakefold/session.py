@@ -7,6 +7,8 @@ import os
 import tempfile
 import uuid
 import zipfile
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -69,13 +71,25 @@ def ship(spark: SparkSession) -> None:
     sc._lakefold_shipped = True
 
 
-def stored(df: DataFrame, name: str = "stage") -> DataFrame:
+@contextmanager
+def arrow_rows(spark: SparkSession, rows: int) -> Iterator[None]:
+    """Within, what is executed goes to Python in Arrow batches of at most ``rows`` rows."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(key)
+    spark.conf.set(key, str(min(rows, int(before)) if int(before) > 0 else rows))
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
+
+
+def stored(df: DataFrame, name: str = "stage", **options: object) -> DataFrame:
     """Write ``df`` once to the shared folder and read it back: the lineage ends there, the result
-    survives the loss of any executor, and later reads prune columns. What was written is deleted when the
+    survives the loss of any executor, and later reads prune columns. ``options`` are the writer's. What was written is deleted when the
     application ends."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}_{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.options(**options).parquet(path)
     target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(target)
     return spark.read.schema(df.schema).parquet(path)

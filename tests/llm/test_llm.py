@@ -5,6 +5,7 @@ import os
 import random
 import re
 
+import pyarrow.parquet as pq
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -446,6 +447,25 @@ def test_leaks_against_brute_force(spark):
     assert leakage.leaked_passages(a.limit(0), b, "doc_id", "item_id").count() == 0 == leakage.leaked_passages(a, b.limit(0), "doc_id", "item_id").count()
 
 
+def test_leak_index_is_read_in_small_parts(spark, monkeypatch):
+    rng = random.Random(6)
+    docs = [(d, " ".join(f"w{rng.randrange(400)}" for _ in range(60))) for d in range(60)]
+    a, b = spark.createDataFrame(docs, "doc_id long, text string").coalesce(1), spark.createDataFrame([(d, docs[d][1]) for d in (3, 50)], "item_id long, text string")
+    paths, real, keep = [], leakage.build_index, leakage.stored
+    monkeypatch.setattr(leakage, "build_index", lambda *x: real(*x, segment_docs=1))
+    monkeypatch.setattr(leakage, "stored", lambda df, *x, **y: (paths.append((out := keep(df, *x, **y)).inputFiles()), out)[1])
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert {(r["doc_id"], r["item_id"]) for r in leakage.leaked_passages(a, b, "doc_id", "item_id").collect()} == {(3, 3), (50, 50)}
+    assert spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == before
+    meta = pq.ParquetFile(paths[0][0].removeprefix("file:")).metadata
+    assert meta.num_rows == 60 and max(meta.row_group(i).num_rows for i in range(meta.num_row_groups)) <= 16
+    size = {d: len(t) for d, t in docs} | {99: 5000}
+    a = a.unionByName(spark.createDataFrame([(99, "x" * 5000)], "doc_id long, text string"))
+    parts = [r["docs"] for r in real(a.coalesce(1), "doc_id", "text", segment_chars=1000).select("docs").collect()]
+    assert sorted(d for p in parts for d in p) == sorted(size) and all(len(p) == 1 or sum(size[d] for d in p) <= 1000 for p in parts) and len(parts) < 61
+
+
+
 def test_lengths_kinds_and_markup(spark, monkeypatch):
     w = [f"word{i}" for i in range(60)]
     link = '<a href="https://example.org/' + "x" * 140 + '">'
