@@ -150,6 +150,12 @@ class Namer:
         return "".join(own), " ".join(sorted(business))
 
 
+def _met(left: DataFrame, right: DataFrame, on: str | list[str], how: str = "inner") -> DataFrame:
+    """A join of tables that grow with the lists: always by shuffle and sort. Spark's estimates know nothing of
+    compression and exploded arrays, so that it would gather such a table on the driver to broadcast it."""
+    return left.join(right.hint("merge"), on, how)
+
+
 def _dice(a: Column, b: Column) -> Column:
     both = sum((F.bit_count(a[i].bitwiseAND(b[i])) for i in range(_BITS // 64)), F.lit(0))
     each = sum((F.bit_count(a[i]) + F.bit_count(b[i]) for i in range(_BITS // 64)), F.lit(0))
@@ -165,7 +171,7 @@ def descriptor_words(names: DataFrame, column: str, least: int, heads: DataFrame
     is given: the broken end of a name follows none. They are the language's words for kinds of business and are broadcast; more than ``most`` are refused."""
     parts = names.select(F.expr(f"filter(split(lower(`{column}`), '[^a-z0-9]+'), x -> x <> '')").alias("p")).filter(F.size("p") > 1)
     tails = parts.select(F.col("p")[0].alias("head"), F.explode(F.slice("p", 2, 100)).alias("w")).filter(~F.col("w").isin(*_STOP) & (F.length("w") > 2)).distinct()
-    tails = tails.join(heads.withColumn("_in", F.lit(1)), "head", "left") if heads is not None else tails.withColumn("_in", F.lit(1))
+    tails = _met(tails, heads.withColumn("_in", F.lit(1)), "head", "left") if heads is not None else tails.withColumn("_in", F.lit(1))
     rows = tails.groupBy("w").agg(F.count("*").alias("n"), F.count("_in").alias("known")).filter((F.col("n") >= least) & (F.col("known") > 0)).limit(most + 1).collect()
     if len(rows) > most:
         raise ValueError(f"more than {most} business words")
@@ -276,7 +282,7 @@ def close_values(left: DataFrame, right: DataFrame) -> DataFrame:
     keys = F.udf(lambda f, x: band_keys(x, shared.value[0][f], shared.value[1]), "array<bigint>", useArrow=True)
     keyed = both.select("f", "v", "x", "n", "s", F.explode(keys("f", "x")).alias("_key"))
     lhs, rhs = (keyed.filter(F.col("s").bitwiseAND(F.lit(bit)) > 0).select("f", "_key", *[F.col(c).alias(f"{side}{c}") for c in ("v", "x", "n")]) for bit, side in ((1, "l"), (2, "r")))
-    found = lhs.join(rhs, ["f", "_key"]).filter(_close(F.col("lx"), F.col("rx"), F.col("ln"), F.col("rn"))).select("f", "lv", "rv").distinct()
+    found = _met(lhs, rhs, ["f", "_key"]).filter(_close(F.col("lx"), F.col("rx"), F.col("ln"), F.col("rn"))).select("f", "lv", "rv").distinct()
     return stored(found, "close")
 
 
@@ -321,21 +327,21 @@ def candidate_pairs(a: DataFrame, b: DataFrame) -> DataFrame:
     meet = F.xxhash64("f", "v", "b", "t").alias("k")
 
     def turned(rows: DataFrame) -> DataFrame:  # left rows with the right side's values in place of theirs
-        return rows.join(close.select("f", F.col("lv").alias("v"), "rv"), ["f", "v"]).drop("v").withColumnRenamed("rv", "v")
+        return _met(rows, close.select("f", F.col("lv").alias("v"), "rv"), ["f", "v"]).drop("v").withColumnRenamed("rv", "v")
 
     left_id, right_id = F.col("id").alias("_l"), F.col("id").alias("_r")
-    found = _spread(turned(la.select("id", "f", "v", "bs", "ts"))).select(left_id, meet).join(_standing(rb).select(right_id, meet), "k")
-    found = found.unionByName(turned(_standing(la)).select(left_id, meet).join(_spread(rb.select("id", "f", "v", "bs", "ts")).select(right_id, meet), "k"))
+    found = _met(_spread(turned(la.select("id", "f", "v", "bs", "ts"))).select(left_id, meet), _standing(rb).select(right_id, meet), "k")
+    found = found.unionByName(_met(turned(_standing(la)).select(left_id, meet), _spread(rb.select("id", "f", "v", "bs", "ts")).select(right_id, meet), "k"))
     # close in both: the right row's code, its beginnings, the codes close to it, and the name without vowels
     starts = F.when(F.length("code") > 0, F.transform(F.sequence(F.lit(1), F.length("code")), lambda n: F.substring(F.col("code"), F.lit(1), n)))
     near = close.filter("f = 1").groupBy(F.col("rv").alias("code")).agg(F.collect_set("lv").alias("near"))
     none = F.array().cast("array<string>")
     bs = F.filter("bs", lambda w: w != "?")
-    codes = b.select("id", "own", "code", "bones").join(near, "code", "left").join(rb.filter("f = 0").select("id", bs.alias("bs")), "id")
+    codes = _met(_met(b.select("id", "own", "code", "bones"), near, "code", "left"), rb.filter("f = 0").select("id", bs.alias("bs")), "id")
     both = F.xxhash64("v", "b", "c").alias("k")
     rhs = codes.select("id", F.col("own").alias("v"), F.explode("bs").alias("b"), F.array_distinct(F.concat(F.coalesce(starts, none), F.coalesce("near", none), F.array("bones"))).alias("cs"))
-    lhs = turned(la.filter("f = 0").select("id", "f", "v", bs.alias("bs"))).join(a.filter("code <> ''").select("id", F.col("code").alias("c")), "id").withColumn("b", F.explode("bs"))
-    found = found.unionByName(lhs.select(left_id, both).join(rhs.withColumn("c", F.explode("cs")).select(right_id, both), "k"))
+    lhs = _met(turned(la.filter("f = 0").select("id", "f", "v", bs.alias("bs"))), a.filter("code <> ''").select("id", F.col("code").alias("c")), "id").withColumn("b", F.explode("bs"))
+    found = found.unionByName(_met(lhs.select(left_id, both), rhs.withColumn("c", F.explode("cs")).select(right_id, both), "k"))
     return stored(found.select("_l", "_r").distinct(), "candidates")
 
 
@@ -371,7 +377,7 @@ def match_companies(left: DataFrame, right: DataFrame, left_key: str, right_key:
     ids = candidate_pairs(a, b)
 
     # which industries of the left list go with which business: from rows that agree in all of the name
-    sure = a.filter("industry is not null and own <> ''").join(b.select("own", "business").distinct(), ["own", "business"], "left_semi")
+    sure = _met(a.filter("industry is not null and own <> ''"), b.select("own", "business").distinct(), ["own", "business"], "left_semi")
     kinds = sure.groupBy(F.col("industry").alias("l_industry"), F.col("business").alias("r_business")).count().withColumn(
         "_share", F.col("count") / F.sum("count").over(Window.partitionBy("r_business"))
     ).filter("_share >= 0.02")
@@ -382,7 +388,7 @@ def match_companies(left: DataFrame, right: DataFrame, left_key: str, right_key:
 
     lhs = a.select(*[F.col(c).alias(f"l_{c}") for c in a.columns if c != "id"], F.col("id").alias("_l"))
     rhs = b.select(*[F.col(c).alias(f"r_{c}") for c in b.columns if c != "id"], F.col("id").alias("_r"))
-    pairs = ids.join(lhs, "_l").join(rhs, "_r")
+    pairs = _met(_met(ids, lhs, "_l"), rhs, "_r")
     pairs = pairs.join(whole, "l_business", "left").join(kinds, ["l_industry", "r_business"], "left").join(seen, "r_business", "left")
     near_own = _close(F.col("l_own_v"), F.col("r_own_v"), F.col("l_own_n"), F.col("r_own_n"))
     near_code = _close(F.col("l_code_v"), F.col("r_code_v"), F.col("l_code_n"), F.col("r_code_n")) & (_dice(F.col("l_code_v"), F.col("r_code_v")) >= ALIKE)

@@ -140,6 +140,14 @@ def test_confidences_are_calibrated(spark):
     assert sum(h for _, h in hits) / len(hits) > 0.95
 
 
+def test_matching_gathers_no_growing_table_on_the_driver(companies, monkeypatch):
+    plans, real = {}, matching.stored
+    monkeypatch.setattr(matching, "stored", lambda df, name, **o: (plans.update({name: df._jdf.queryExecution().sparkPlan().toString()}), real(df, name, **o))[1])
+    assert _match(*companies).count() > 3
+    assert all("Join" in plans[n] and "Broadcast" not in plans[n] for n in ("close", "candidates"))
+    assert plans["pairs"].count("SortMergeJoin") == 2  # with the candidates; business words and industries may be broadcast
+
+
 # 2 splitting --------------------------------------------------------------------------------------
 @settings(max_examples=150, deadline=None)
 @given(st.text("ab .\n#-é", max_size=400), st.integers(5, 60), st.integers(0, 4))
